@@ -247,6 +247,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", group_chars: int
     each token ends in the text, both binary, little-endian unsigned 32-bit integers."""
     vocabulary, ranges = load_ranks(ranks_path), class_ranges()
     kept = df.drop(text)
+    names = [*kept.columns, "ids", "ends"]
     source = df.select(*[F.col(f"`{c}`") for c in kept.columns], text_bytes(text).alias("__text"))
 
     def run(batches):
@@ -267,7 +268,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", group_chars: int
                 ids += encode_texts(group, merger, ranges)
             ends = [np.cumsum(sizes[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in ids]
             own = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*own, binary(ids), binary(ends)], [*kept.columns, "ids", "ends"])
+            yield pa.RecordBatch.from_arrays([*own, binary(ids), binary(ends)], names)
 
     return source.mapInArrow(run, scan_schema(kept, "ids binary", "ends binary"))
 
