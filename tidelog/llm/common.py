@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,3 +117,13 @@ def window_hashes(words: np.ndarray, *widths: int) -> list[np.ndarray]:
         np.cumsum(words * powers(BASE, n), out=sums[1:])
         back = powers(BASE_INVERSE, n)
         return [mix((sums[k:] - sums[: n + 1 - k]) * back[: n + 1 - k]) if n >= k else np.zeros(0, U64) for k in widths]
+
+
+def in_parts(batches, column: str, limit: int = 2_000_000):
+    """Slices of Arrow batches whose binary `column` holds about `limit` bytes, or one row."""
+    for batch in batches:
+        sizes = np.array(pa.compute.binary_length(batch.column(column)).fill_null(0), np.int64)
+        part = np.cumsum(sizes) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(a, b - a)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe
+from tidelog.llm import bpe, line_dedup, simhash, substring_dedup
 from tidelog.llm.common import table
 
 
@@ -18,5 +18,42 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLES: dict[str, str] = {}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passage_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_line_dedup": op2_line_dedup,
+    "op4_simhash": op4_simhash,
+    "op10_substring_dedup": op10_substring_dedup,
+}
+
+LINE_SQL = """
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i
+  from documents),
+keyed as (
+  select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
+frequent as (
+  select k, max(doc_id) as keeper from keyed where length(k) >= 40
+  group by k having count(distinct doc_id) >= 5),
+marked as (
+  select l.doc_id, l.line, l.i, f.k is not null and l.doc_id <> f.keeper as lost
+  from keyed l left join frequent f on l.k = f.k)
+select doc_id, count(*) as n_lines, count(*) filter (where lost) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not lost), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_line_dedup": LINE_SQL}
