@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, line_dedup, simhash, substring_dedup
+from tidelog.llm import bpe, decontamination, line_dedup, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, toxicity, url_filter
 from tidelog.llm.common import table
 
 
@@ -22,10 +22,34 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passage_digests(table(spark, sf_dir, "documents"))
 
@@ -33,7 +57,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
+    "op5_url_filter": op5_url_filter,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
+    "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -56,4 +86,45 @@ select doc_id, count(*) as n_lines, count(*) filter (where lost) as n_dropped,
 from marked group by doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": LINE_SQL}
+QUALITY_SQL = r"""
+with docs as (
+  select row_number() over () as row, doc_id, source as host, coalesce(text, '') as t from documents),
+words as (
+  select row, unnest(ws) as w, unnest(range(len(ws))) as i
+  from (select row, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from docs)),
+windows as (
+  select row, i, string_agg(w, ' ') over five as g, count(*) over five as k
+  from words window five as (partition by row order by i rows between current row and 4 following)),
+twice as (
+  select row, i from (select row, i, count(*) over (partition by row, g) as c from windows where k = 5) where c > 1),
+repeated as (
+  select row, count(distinct j) as n_repeat_words
+  from (select row, unnest(range(i, i + 5)) as j from twice) group by row),
+lines as (
+  select row, count(*) - count(distinct line) as n_dup_lines
+  from (select row, unnest(string_split(t, chr(10))) as line from docs)
+  where regexp_matches(line, '[^\x20\x09-\x0D]') group by row),
+counted as (
+  select row, count(*) as n_words, sum(length(w)) as word_chars from words group by row),
+stats as (
+  select d.row, doc_id, host, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars,
+         cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
+         coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from docs d left join counted using (row) left join lines using (row) left join repeated using (row)),
+judged as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+         n_symbols > 0.25 * word_chars or 2 * n_dup_lines > n_words as more from stats),
+hosts as (
+  select host, count(*) as n, count(*) filter (where base_failed or more) as failed from judged group by host),
+moments as (
+  select least(greatest(avg(failed / n), 0.001), 0.999) as m, greatest(coalesce(var_samp(failed / n), 0), 1e-6) as v from hosts),
+prior as (
+  select m, least(greatest(m * (1 - m) / v - 1, 2.0), 1000.0) as s from moments),
+rates as (
+  select host, (failed + m * s) / (n + s) as host_rate from hosts, prior)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and host_rate <= 0.5 as kept
+from judged j join rates r on j.host is not distinct from r.host
+"""
+
+ORACLES: dict[str, str] = {"op2_line_dedup": LINE_SQL, "op3_quality_rules": QUALITY_SQL}
