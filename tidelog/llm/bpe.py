@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import binary, scan_schema, text_bytes
+from tidelog.llm.common import binary, in_parts, scan_schema, text_bytes
 
 # Classes of code points, and the symbols and states of the automaton.
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
@@ -148,7 +148,7 @@ def symbols_of(points: np.ndarray, ends: np.ndarray, ranges) -> np.ndarray:
 class Merger(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers.  A cache of bounded size."""
 
-    LIMIT, LONG = 600_000, 64
+    LIMIT, LONG = 300_000, 64
 
     def __init__(self, vocabulary: list[bytes]):
         super().__init__()
@@ -242,7 +242,7 @@ def encode_texts(texts: list[str], merger: Merger, ranges) -> list[bytes]:
     return [b"".join(merged[a:b]) for a, b in zip([0, *(x + 1 for x in at)], [*at, len(merged)])]
 
 
-def encode(df: DataFrame, ranks_path: str, text: str = "text", group_chars: int = 1_000_000) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     """df's columns without `text`, and `ids` and `ends`: token ids, and the byte offset at which
     each token ends in the text, both binary, little-endian unsigned 32-bit integers."""
     vocabulary, ranges = load_ranks(ranks_path), class_ranges()
@@ -253,22 +253,13 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", group_chars: int
     def run(batches):
         merger = _merger(vocabulary)
         sizes = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-        for batch in batches:
-            ids: list[bytes] = []
-            group: list[str] = []
-            total = 0
-            for raw in batch.column("__text"):
-                group.append(raw.as_py().decode("utf-8", "replace"))
-                total += len(group[-1])
-                if total >= group_chars:
-                    ids += encode_texts(group, merger, ranges)
-                    group, total = [], 0
-                    merger.trim()
-            if group:
-                ids += encode_texts(group, merger, ranges)
+        for batch in in_parts(batches, "__text"):
+            if not batch.num_rows:
+                continue
+            ids = encode_texts([x.as_py().decode("utf-8", "replace") for x in batch.column("__text")], merger, ranges)
+            merger.trim()
             ends = [np.cumsum(sizes[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in ids]
-            own = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*own, binary(ids), binary(ends)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], binary(ids), binary(ends)], names)
 
     return source.mapInArrow(run, scan_schema(kept, "ids binary", "ends binary"))
 
@@ -280,7 +271,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches):
         look = vocabulary.__getitem__
-        for batch in batches:
+        for batch in in_parts(batches, ids, 4_000_000):
             out = [b"".join(map(look, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, binary(out)], [*columns, "decoded"])
 
