@@ -9,7 +9,7 @@ How it is cut: of the `gram`-word strings in a window the one with the least has
 so equal windows choose equally, wherever they are.  All windows that choose one string are
 neighbours and travel as one run to the group of that string, 8 bytes a window.  Where many
 share a string, the prefix that splits them is lengthened to the whole window: its hash is the
-path of the node, and a batch sends a node once, with its smallest document; all others of the
+path of the node, and a batch sends a node with its smallest document only; all others of the
 batch are settled on the spot.  So a passage in a third of all documents reaches its group
 once a batch, and a group never holds more than its share of the suffixes.
 
@@ -57,16 +57,15 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def repeated_nodes(nodes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which suffixes pass a node that a smaller document's suffix passes, and which are the
-    first of their node with its smallest document."""
+def repeated_nodes(nodes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which suffixes pass a node that a smaller document's suffix passes."""
     order = np.lexsort((doc, nodes))
     n, d = nodes[order], doc[order]
     new = np.append(True, n[1:] != n[:-1]) if len(n) else np.zeros(0, bool)
     least = d[np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))] if len(n) else d
-    later, first = np.zeros(len(n), bool), np.zeros(len(n), bool)
-    later[order], first[order] = d > least, new
-    return later, first
+    later = np.zeros(len(n), bool)
+    later[order] = d > least
+    return later
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, group_bytes: int = 8_000_000) -> DataFrame:
@@ -94,14 +93,15 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
         row = np.repeat(np.arange(len(rows)), lengths)
         ids = np.array([r[0] for r in rows], np.int64)
         keys = np.array([r[1] for r in rows], np.int64)
-        later, first = repeated_nodes(nodes, ids[row])
+        later = repeated_nodes(nodes, ids[row])
         out = []
         offset = np.concatenate([[0], np.cumsum(lengths)])
         for i in np.unique(row[later]).tolist():
             a, b = runs_of(later[offset[i] : offset[i + 1]])
             out.append((i % groups, int(ids[i]), int(keys[i]), spans_of(a, b), None, None, None, None))
-        # Of a node that is passed here only its first suffix is sent, in runs of one string.
-        sent = np.flatnonzero(first)
+        # Of a node that is passed here only its smallest document's suffixes are sent, in runs of
+        # one string.
+        sent = np.flatnonzero(~later)
         if len(sent):
             s_row, s_least = row[sent], least[sent]
             new = np.concatenate([[True], (sent[1:] != sent[:-1] + 1) | (s_row[1:] != s_row[:-1]) | (s_least[1:] != s_least[:-1])])
@@ -141,7 +141,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
             return
         who, keys, cuts, nodes = map(np.concatenate, (who, keys, cuts, nodes))
         run = np.repeat(np.arange(len(who)), cuts[:, 1])
-        later, _ = repeated_nodes(nodes, who[run])
+        later = repeated_nodes(nodes, who[run])
         begin = np.concatenate([[0], np.cumsum(cuts[:, 1])])
         place = np.arange(len(nodes)) - begin[run] + cuts[run, 0]
         hit = np.flatnonzero(later)
