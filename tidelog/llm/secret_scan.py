@@ -1,7 +1,7 @@
 """Secret scans: candidate strings, then a random forest that removes false positives.
 
-Candidates are runs of at least `MIN` characters of `[A-Za-z0-9_+/=.\\-]` with a digit or mixed
-case.  The forest looks at their length, classes and transitions of characters, entropy, the
+Candidates are runs of at least `MIN` characters of `[A-Za-z0-9_+/.\\-]` with a digit or mixed
+case, and up to two `=` after them.  The forest looks at their length, classes and transitions of characters, entropy, the
 share that dictionary words cover, marks of a path or address, and the words around them.  It is
 trained in numpy on labelled findings; by default these are drawn from a seeded generator of
 keys in assignments on one side, and numbers, paths, identifiers, hashes of files, dates and
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import in_parts, text_bytes
 
 MIN, THRESHOLD = 16, 0.5
-CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.\-]{%d,}" % MIN)
+CANDIDATE = re.compile(r"[A-Za-z0-9_+/.\-]{%d,}={0,2}" % MIN)
 MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z][a-z].*[A-Z]")
 NEAR_WORD = re.compile(r"[A-Za-z]+")
 #: Fixed words: names that secrets are assigned to, names of harmless strings, dictionary.
