@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidelog.schemas import VNODES
 
+SLOTS = 4096
+WIDTH = (1 << 31) // SLOTS
+
 
 def key_hash(key: Column) -> Column:
     """The low 31 bits of the key's MD5."""
@@ -20,15 +23,28 @@ def ring(spark: SparkSession, nodes: int, vnodes: int = VNODES) -> DataFrame:
     return points.select("node", key_hash(name).alias("pos")).groupBy("pos").agg(F.max("node").alias("node"))
 
 
+def lookup_table(ring_: DataFrame) -> DataFrame:
+    """slot, points: for each of SLOTS stretches of the ring the points in it, in order, and the one
+    after it; the ring's first point follows its last."""
+    packed = ring_.agg(F.sort_array(F.collect_list(F.struct("pos", "node"))).alias("all"))
+    slots = packed.select("all", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long"))).alias("slot"))
+    low, high = F.col("slot") * WIDTH, (F.col("slot") + 1) * WIDTH
+    inside = F.filter("all", lambda p: (p["pos"] >= low) & (p["pos"] < high))
+    after = F.coalesce(F.get(F.filter("all", lambda p: p["pos"] >= high), F.lit(0)), F.get("all", F.lit(0)))
+    return slots.select("slot", inside.alias("points"), after["node"].alias("next_node"))
+
+
 def route(keys: DataFrame, ring_: DataFrame) -> DataFrame:
     """keys with node: the first point at or after the key's hash, else the ring's first.
 
-    The ring (nodes * vnodes points) is one sorted array in a single broadcast row, bounded by the
-    cluster's size; keys are routed without a shuffle by a look-up in the array."""
-    packed = ring_.agg(F.sort_array(F.collect_list(F.struct("pos", "node"))).alias("points"))
-    hashed = keys.withColumn("h", key_hash(F.col("key"))).join(F.broadcast(packed))
-    after = F.get(F.filter("points", lambda p: p["pos"] >= F.col("h")), F.lit(0))
-    return hashed.select(*keys.columns, F.coalesce(after["node"], F.get("points", F.lit(0))["node"]).alias("node"))
+    The ring is cut into a fixed number of slots, a table of that many rows, whose broadcast is
+    bounded by the cluster's size and not by the keys; a key meets the few points of its slot and
+    is not shuffled."""
+    table = F.broadcast(lookup_table(ring_).select(F.col("slot").alias("__slot"), "points", "next_node"))
+    hashed = keys.withColumn("__h", key_hash(F.col("key")))
+    joined = hashed.join(table, F.floor(F.col("__h") / WIDTH) == F.col("__slot"))
+    inside = F.get(F.filter("points", lambda p: p["pos"] >= F.col("__h")), F.lit(0))
+    return joined.select(*keys.columns, F.coalesce(inside["node"], F.col("next_node")).alias("node"))
 
 
 def distribution(keys: DataFrame, ring_: DataFrame) -> DataFrame:
