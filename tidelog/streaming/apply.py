@@ -55,7 +55,7 @@ def maintain_table(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         spark = batch.sparkSession
         old = read_table(spark, path, before=epoch)
         rows = batch.select("key", "op", "value", "seq")
-        state.latest(rows if old is None else rows.unionByName(old)).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        state.latest(rows if old is None else rows.unionByName(old), unique_seq=False).write.mode("overwrite").parquet(f"{path}/v={epoch}")
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
