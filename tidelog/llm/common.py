@@ -74,7 +74,7 @@ class WordTable(dict):
     It is a cache: beyond `limit` words `trim` empties it between two batches, which
     changes no result."""
 
-    def __init__(self, make, dtype, limit: int = 400_000):
+    def __init__(self, make, dtype, limit: int = 150_000):
         super().__init__()
         self.make, self.limit, self.n = make, limit, 0
         self.rows = np.zeros(1024, dtype)

@@ -68,7 +68,7 @@ def repeated_nodes(nodes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return later
 
 
-def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, group_bytes: int = 8_000_000) -> DataFrame:
+def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, group_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, key (of the text), spans: word spans (begin and end, packed as 64-bit integers)
     that windows cover which a smaller document holds.  A row may have several such rows."""
     groups = partitions(docs) * 4
@@ -175,7 +175,7 @@ def dedup_passages(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
     source = joined.select(*[F.col(f"`{c}`") for c in places], text_bytes(text).alias("__text"), "__spans")
 
     def cut(batches):
-        for batch in in_parts(batches, "__text", 8_000_000):
+        for batch in in_parts(batches, "__text", 4_000_000):
             kept, n_words, n_removed = [], [], []
             for raw, parts in zip(batch.column("__text"), batch.column("__spans")):
                 words = raw.as_py().split()
