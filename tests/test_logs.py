@@ -168,3 +168,37 @@ def test_streams_equal_batch(spark, tmp_path):
     q = apply.stream_changes(stream()).writeStream.outputMode("update").format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(x.key, x.value) for x in state.current_state(spark.table("changes")).collect()} == want
+
+
+def test_propose_appends_in_order(spark):
+    log = spark.createDataFrame([(1, 1, "PUT", "a", "1"), (1, 2, "PUT", "b", "2")], "term long, idx long, op string, key string, value string")
+    new = spark.createDataFrame([(5, "DEL", "a", None), (3, "PUT", "c", "9")], "order long, op string, key string, value string")
+    got = [(r.term, r.idx, r.key) for r in replication.propose(log, new, 2).orderBy("idx").collect()]
+    assert got == [(1, 1, "a"), (1, 2, "b"), (2, 3, "c"), (2, 4, "a")]
+    assert [r.idx for r in replication.propose(log.limit(0), new, 1).orderBy("idx").collect()] == [1, 2]
+
+
+def test_log_is_up_to_date(spark):
+    df = spark.createDataFrame([(3, 1, True), (2, 9, True), (2, 8, False), (1, 99, False)], "term long, idx long, want boolean")
+    ok = replication.up_to_date(F.col("term"), F.col("idx"), F.lit(2).cast("long"), F.lit(9).cast("long"))
+    assert all(r.ok == r.want for r in df.select("want", ok.alias("ok")).collect())
+
+
+def test_catalog_of_files(spark):
+    from tidelog.operators import segments
+
+    files = spark.createDataFrame([(1, 0, 10, "a", "k"), (2, 1, 20, "é,x", "z")], "file_id long, level int, file_size long, smallest string, largest string")
+    back = text.parse_manifest(text.manifest_lines(files).union(spark.createDataFrame([("version=3",), ("file=broken",)], "line string")))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, files.collect()))
+    gone = segments.remove_files(files, files.where("file_id = 1"))
+    assert [r.file_id for r in gone.collect()] == [2] and segments.list_files(files).count() == 2
+    assert segments.add_files(gone, files.where("file_id = 1")).count() == 2
+    assert segments.next_file_id(files).first()[0] == 3 and segments.next_file_id(files.limit(0)).first()[0] == 1
+    assert [r.file_id for r in segments.prune(files, "b").collect()] == [1]
+
+
+def test_cas_and_increments(spark):
+    rows = [("put", "v0"), ("cas", "v0->w"), ("cas", "v0->x"), ("inc", None), ("inc", None), ("cas", "bad")]
+    df = spark.createDataFrame([(i, "k", op, v, i, True) for i, (op, v) in enumerate(rows)], "seq long, key string, op string, value string, end_us long, success boolean")
+    got = [(r.applied, r.value) for r in history.apply_register_ops(df).orderBy("seq").collect()]
+    assert got == [(True, "v0"), (True, "w"), (False, "w"), (True, "1"), (True, "2"), (False, "2")]

@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators import state
-
 
 def op_counters(log: DataFrame, reads: DataFrame) -> DataFrame:
     """puts_total, deletes_total, gets_total (hits only), get_misses_total.  reads has column hit."""
@@ -41,11 +39,29 @@ def pivot(samples: DataFrame, names: list[str]) -> DataFrame:
     return samples.groupBy("node").pivot("name", names).agg(F.max("value"))
 
 
-def prometheus_text(metrics: DataFrame) -> DataFrame:
-    """node, body: samples (name, kind, help, value as text, pos) in exposition format."""
-    line = F.concat(F.lit("# HELP "), "name", F.lit(" "), "help", F.lit("\n# TYPE "), "name", F.lit(" "), "kind", F.lit("\n"), "name", F.lit(" "), "value", F.lit("\n"))
-    rows = metrics.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("r"))
-    return rows.select("node", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("body"))
+#: Fixed names, kinds and help texts of the exposition format, in its order.
+EXPOSED = (
+    ("kv_uptime_seconds", "gauge", "Server uptime in seconds"),
+    ("kv_puts_total", "counter", "Total number of PUT operations"),
+    ("kv_gets_total", "counter", "Total number of GET operations (hits)"),
+    ("kv_get_misses_total", "counter", "Total number of GET misses"),
+    ("kv_deletes_total", "counter", "Total number of DELETE operations"),
+    ("kv_scans_total", "counter", "Total number of SCAN operations"),
+    ("kv_compactions_total", "counter", "Total number of compaction runs"),
+    ("raft_state", "gauge", "Current Raft state (0=Follower, 1=Candidate, 2=Leader, -1=unknown)"),
+    ("raft_term", "gauge", "Current Raft term"),
+    ("raft_commit_index", "gauge", "Raft commit index"),
+    ("raft_last_applied", "gauge", "Raft last applied index"),
+    ("raft_is_leader", "gauge", "1 if this node is the leader"),
+    ("raft_log_count", "gauge", "Number of committed log entries"),
+    ("raft_snapshot_index", "gauge", "Last included index in snapshot (0=no snapshot)"),
+)
+
+
+def prometheus_text(stats: DataFrame) -> DataFrame:
+    """node, body: a row's metrics (a column each, those of EXPOSED that it has) as text."""
+    parts = [F.concat(F.lit(f"# HELP {n} {h}\n# TYPE {n} {k}\n{n} "), F.col(n).cast("string"), F.lit("\n")) for n, k, h in EXPOSED if n in stats.columns]
+    return stats.select("node", F.concat_ws("\n", *parts).alias("body"))
 
 
 def sweep_ok(sweep: DataFrame) -> DataFrame:
@@ -66,9 +82,5 @@ def run_average(runs: DataFrame) -> DataFrame:
     return runs.groupBy("config").agg(F.count("*").alias("n_runs"), F.round(F.when(t > 0, n / t).otherwise(F.lit(0.0)), 4).alias("ops"))
 
 
-def stats_bytes(log: DataFrame) -> DataFrame:
-    return state.memory_stats(log)
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -29,6 +29,15 @@ def apply_committed(log: DataFrame, applied: int, commit: int) -> DataFrame:
     return state.current_state(rows.withColumnRenamed("idx", "seq"))
 
 
+def propose(log: DataFrame, entries: DataFrame, term: int) -> DataFrame:
+    """The log with entries (order, op, key, value) appended at the next indexes.  A batch of proposals
+    is small beside the log, so only the batch is numbered in one task."""
+    end = log.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("last"))
+    numbered = entries.withColumn("n", F.row_number().over(Window.orderBy("order"))).join(F.broadcast(end))
+    new = numbered.select(F.lit(term).cast("long").alias("term"), (F.col("last") + F.col("n")).alias("idx"), "op", "key", "value")
+    return log.select("term", "idx", "op", "key", "value").unionByName(new)
+
+
 def truncate(received: DataFrame) -> DataFrame:
     """What stays of received entries (arrival, node, term, idx): an entry goes once one with another
     term arrives later at its index or below; of equal ones the first stays."""

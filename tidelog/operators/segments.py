@@ -23,6 +23,23 @@ def manifest(segments: DataFrame) -> DataFrame:
     return segments.groupBy("file_id", "level").agg(F.sum(row_bytes()).cast("long").alias("file_size"), F.min("key").alias("smallest"), F.max("key").alias("largest"))
 
 
+def add_files(catalog: DataFrame, files: DataFrame) -> DataFrame:
+    return catalog.unionByName(files)
+
+
+def remove_files(catalog: DataFrame, ids: DataFrame) -> DataFrame:
+    return catalog.join(ids.select("file_id"), "file_id", "left_anti")
+
+
+def list_files(catalog: DataFrame, level: int = -1) -> DataFrame:
+    """Files of a level, or of all for a negative one."""
+    return catalog if level < 0 else catalog.where(F.col("level") == level)
+
+
+def next_file_id(catalog: DataFrame) -> DataFrame:
+    return catalog.agg((F.coalesce(F.max("file_id"), F.lit(0)) + 1).alias("next_file_id"))
+
+
 def segment_scan(segments: DataFrame, file_id: int) -> DataFrame:
     """A file's entries, one a key, in key order; tombstones included."""
     return state.latest(segments.where(F.col("file_id") == file_id)).select("key", "op", "value").orderBy("key")

@@ -210,7 +210,7 @@ def health_stats(spark, d):
     return commands.health_text(_stats(spark, d))
 
 
-@query()
+@query("select '{\"status\":\"ok\",\"role\":\"leader\",\"raft_term\":4,\"raft_commit_index\":9500,\"raft_applied_index\":9500,\"last_snapshot_index\":0,\"memtable_size\":'||memtable_size||',\"sstable_count\":'||sstable_count||',\"total_keys\":'||total_keys||',\"wal_enabled\":'||wal_enabled||'}' as body from (" + STATS + ")", "manifest")
 def health_json(spark, d):
     named = _stats(spark, d).withColumns({"role": F.lit("leader"), "raft_term": F.lit(4), "raft_commit_index": F.lit(9500), "raft_applied_index": F.lit(9500), "last_snapshot_index": F.lit(0)})
     return text.health_json(named)
@@ -250,14 +250,14 @@ def wal_size(spark, d):
     return wal.encode(_wal_rows(spark, d)).select("file_seq", F.octet_length("content").cast("long").alias("bytes"))
 
 
-@query()
+@query("select key, value, seq from state_a", "state_a")
 def wal_roll(spark, d):
     """Numbered files replayed in order give the state of the log."""
     rows = wal.replay(wal.encode(_wal_rows(spark, d))).select((F.col("file_seq") * 1000 + F.col("pos")).alias("seq"), "op", "key", "value")
     return state.current_state(rows, unique_seq=False)  # decoding once costs less than a second pass
 
 
-@query()
+@query("select file_id, key, case when i%16=0 or prev is null then 0 else coalesce(list_max(list_filter(range(1, strlen(key)+1), lambda n: left(key, n)=left(prev, n))), 0) end::integer as shared from (select file_id, key, lag(key) over w as prev, row_number() over w - 1 as i from (select distinct file_id, key from seg) window w as (partition by file_id order by key))", "seg")
 def prefix_shared_len(spark, d):
     return segments.prefix_lengths(fx.segments(spark, d))
 
@@ -281,7 +281,7 @@ def manifest_text(spark, d):
 @query("select file_id, level, file_size, (select max(file_id)+1 from manifest) as next_file_id from manifest where level=2", "manifest")
 def manifest_list(spark, d):
     m = segments.manifest(fx.segments(spark, d))
-    return m.where("level = 2").select("file_id", "level", "file_size").join(F.broadcast(m.agg((F.max("file_id") + 1).alias("next_file_id"))))
+    return segments.list_files(m, 2).select("file_id", "level", "file_size").join(F.broadcast(segments.next_file_id(m)))
 
 
 @query("select name, id, case id when 0 then 'none' when 1 then 'zstd' when 2 then 'lz4' else 'unknown' end as back from (select p_type as name, case p_type when 'none' then 0 when 'lz4' then 2 else 1 end as id from (select distinct p_type from part) union all select * from (values ('none',0),('lz4',2),('zstd',1)) t)")
@@ -322,11 +322,13 @@ def snapshot_meta(spark, d):
     return text.read_snapshot_meta(spark, path)
 
 
-@query()
+@query("select seq, 3 as argc, 'SET' as name, key, value from ops where value is not null", "ops")
 def resp_parse(spark, d):
+    """Rows as command frames, parsed again."""
     log = fx.ops(spark, d).where("value is not null")
     frames = log.select("seq", protocol.encode_command(F.lit("SET"), F.col("key"), F.col("value")).alias("frame"))
-    return frames.select("seq", protocol.parse_command(F.col("frame")).alias("argv"))
+    argv = frames.select("seq", protocol.parse_command(F.col("frame")).alias("argv"))
+    return argv.select("seq", F.size("argv").alias("argc"), *[F.get("argv", F.lit(i)).alias(n) for i, n in enumerate(("name", "key", "value"))])
 
 
 @query("select key, '+'||'OK'||chr(13)||chr(10) as ok, ':'||seq||chr(13)||chr(10) as num, '$'||strlen(value)||chr(13)||chr(10)||value||chr(13)||chr(10) as bulk, '-ERR '||key||chr(13)||chr(10) as err from state_a", "state_a")
@@ -336,28 +338,38 @@ def resp_reply(spark, d):
 
 
 def _node_metrics(spark, d) -> DataFrame:
-    c = fx.ops(spark, d).groupBy((F.col("seq") % 3).alias("node"))
-    counted = c.agg(F.count_if(F.col("op") == "PUT").alias("p"), F.count_if(F.col("op") == "DEL").alias("x"))
-    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f"kv_{n}_total").alias("name"), F.lit(f"Total number of {h} operations").alias("help"), F.col(v).alias("n")) for i, (n, h, v) in enumerate((("puts", "PUT", "p"), ("deletes", "DELETE", "x")))])
-    return counted.select("node", F.inline(rows)).withColumn("kind", F.lit("counter")).withColumn("value", F.col("n").cast("string"))
+    """A row of all exposed metrics for each node."""
+    node, op = (F.col("seq") % 3).alias("node"), F.col("op")
+    log = fx.ops(spark, d)
+    agg = log.groupBy(node).agg(
+        F.count_if(op == "PUT").alias("kv_puts_total"), F.count_if(op == "DEL").alias("kv_deletes_total"), F.count_if(F.col("seq") % 5 == 0).alias("kv_gets_total"),
+        F.count_if(F.col("seq") % 7 == 0).alias("kv_get_misses_total"), F.count_if(F.col("seq") % 11 == 0).alias("kv_scans_total"), F.count("*").alias("raft_log_count"), F.max("seq").alias("raft_last_applied"),
+    )
+    fixed = {"kv_uptime_seconds": 3600, "kv_compactions_total": 2, "raft_term": 4, "raft_commit_index": 9500, "raft_snapshot_index": 0}
+    leader = F.col("node") == 0
+    return agg.withColumns({k: F.lit(v).cast("long") for k, v in fixed.items()} | {"raft_state": F.when(leader, 2).otherwise(0), "raft_is_leader": F.when(leader, 1).otherwise(0)})
+
+
+NODE_METRICS = "select seq%3 as node, count(*) filter (where op='PUT') as kv_puts_total, count(*) filter (where op='DEL') as kv_deletes_total, count(*) filter (where seq%5=0) as kv_gets_total, count(*) filter (where seq%7=0) as kv_get_misses_total, count(*) filter (where seq%11=0) as kv_scans_total, count(*) as raft_log_count, max(seq) as raft_last_applied, 3600 as kv_uptime_seconds, 2 as kv_compactions_total, 4 as raft_term, 9500 as raft_commit_index, 0 as raft_snapshot_index, case when seq%3=0 then 2 else 0 end as raft_state, case when seq%3=0 then 1 else 0 end as raft_is_leader from ops group by seq%3"
+EXPOSED_SQL = " || chr(10) || ".join(f"'# HELP {n} {h}' || chr(10) || '# TYPE {n} {k}' || chr(10) || '{n} ' || {n} || chr(10)" for n, k, h in metrics.EXPOSED)
 
 
-@query("select seq%3 as node, '# HELP kv_puts_total Total number of PUT operations'||chr(10)||'# TYPE kv_puts_total counter'||chr(10)||'kv_puts_total '||count(*) filter (where op='PUT')||chr(10)||chr(10)||'# HELP kv_deletes_total Total number of DELETE operations'||chr(10)||'# TYPE kv_deletes_total counter'||chr(10)||'kv_deletes_total '||count(*) filter (where op='DEL')||chr(10) as body from ops group by 1", "ops")
+@query(f"select node, {EXPOSED_SQL} as body from ({NODE_METRICS})", "ops")
 def prom_text(spark, d):
     return metrics.prometheus_text(_node_metrics(spark, d))
 
 
-@query("select node, name, cast(value as double) as value from (select seq%3 as node, 'kv_puts_total' as name, count(*) filter (where op='PUT') as value from ops group by 1 union all select seq%3, 'kv_deletes_total', count(*) filter (where op='DEL') from ops group by 1)", "ops")
+@query(f"select node, name, cast(value as double) as value from (unpivot ({NODE_METRICS}) on columns(* exclude (node)) into name name value value)", "ops")
 def prom_parse(spark, d):
+    """Metrics as text, parsed again."""
     lines = metrics.prometheus_text(_node_metrics(spark, d)).select("node", F.explode(F.split("body", "\n")).alias("line"))
-    parts = F.split("line", " ")
-    return lines.where(~F.col("line").startswith("#")).select("node", F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(1)).try_cast("double").alias("value")).where("value is not null")
+    return text.parse_metrics(lines, "node")
 
 
-@query("select seq%3 as node, cast(count(*) filter (where op='PUT') as double) as kv_puts_total, cast(count(*) filter (where op='DEL') as double) as kv_deletes_total from ops group by 1", "ops")
+@query(f"select node, cast(kv_puts_total as double) as kv_puts_total, cast(raft_log_count as double) as raft_log_count from ({NODE_METRICS})", "ops")
 def metrics_pivot(spark, d):
-    m = _node_metrics(spark, d).select("node", "name", F.col("n").cast("double").alias("value"))
-    return metrics.pivot(m, ["kv_puts_total", "kv_deletes_total"])
+    lines = metrics.prometheus_text(_node_metrics(spark, d)).select("node", F.explode(F.split("body", "\n")).alias("line"))
+    return metrics.pivot(text.parse_metrics(lines, "node"), ["kv_puts_total", "raft_log_count"])
 
 
 @query("select * from sweep where status='OK'", "sweep")
@@ -380,7 +392,7 @@ def junit_totals(spark, d):
     return text.junit_totals(back.select(F.col("failure").isNull().alias("ok")))
 
 
-@query()
+@query("select n*8.0::double as write_ops_per_sec, 0.125::double as write_time_sec, hit as read_hits, n-hit as read_misses, 0.25::double as read_time_sec, hit as scan_count, cast(0 as bigint) as verify_errors from (select count(*) as n, count(*) filter (where op='PUT') as hit from ops)", "ops")
 def bench_parse(spark, d):
     s = fx.ops(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("op") == "PUT").alias("hit"), F.count_if(F.col("op") == "DEL").alias("miss"))
     lines = F.array(
@@ -393,6 +405,14 @@ def bench_parse(spark, d):
 # --- histories
 
 
+@query("select * from hist", "hist")
+def history_json(spark, d):
+    """A history through JSON files."""
+    path = scratch(spark)
+    text.write_history(fx.history(spark, d), path)
+    return text.read_history(spark, path).select("seq", "client_id", "key", "op", "value", "result", "start_us", "end_us", "success")
+
+
 @query(
     """select r.seq, r.key, r.result, w.value as last_value, w.seq as last_seq from (select * from hist where success and op='get') r left join lateral
     (select value, seq from hist w where success and op='put' and w.key=r.key and w.end_us<=r.start_us order by end_us desc, seq desc limit 1) w on true""",
@@ -561,10 +581,13 @@ def order_violations(spark, d):
 
 @query()
 def flush_batches(spark, d):
+    """Four stores' logs, each with its own flushes."""
     log = fx.ops(spark, d).withColumn("part", F.col("seq") % 4)
     return segments.flush_batches(log, limit=4096)
 
 
+ORACLES["flush_batches"] = f"with recursive ops as ({fx.SQL['ops']}), sized as (select seq, seq%4 as part, strlen(key)+coalesce(strlen(value),0) as b, row_number() over (partition by seq%4 order by seq) as i from ops), f as (select part, i, seq, cast(0 as bigint) as batch, b as used from sized where i=1 union all select s.part, s.i, s.seq, case when f.used>=4096 then f.batch+1 else f.batch end, case when f.used>=4096 then s.b else f.used+s.b end from f join sized s on s.part=f.part and s.i=f.i+1) select part, seq, batch from f"
+
 # --- replicated logs
 
 
@@ -769,7 +792,7 @@ def varint_len(spark, d):
     return fx.table(spark, d, "lineitem").select(n).select("n", codecs.varint_length(F.col("n")).alias("bytes"))
 
 
-@query()
+@query("select key, list_reduce([2166136261::bigint] || c, lambda a, x: (xor(a, x) * 16777619) & 4294967295) as h1, list_reduce([0::bigint] || c, lambda a, x: (a * 33 + x) & 4294967295) as h2 from (select key, list_transform(range(1, strlen(key)+1), lambda i: ord(substr(key, i, 1))::bigint) as c from state_a)", "state_a")
 def fnv1a(spark, d):
     return fx.state_a(spark, d).select("key", codecs.fnv1a(F.col("key")).alias("h1"), codecs.times33(F.col("key")).alias("h2"))
 
@@ -804,7 +827,7 @@ def bloom_probe(spark, d):
     return asked.select("key", F.coalesce("there", F.lit(False)).alias("there"), bloom.may_contain(raw, F.col("key")).alias("may"))
 
 
-@query()
+@query("select 12+bits//8 as size, true as same from (select (cast(floor(-1000*ln(0.01)/(0.69314718056*0.69314718056)) as bigint)+7)//8*8 as bits)")
 def bloom_roundtrip(spark, d):
     raw = _filter(spark, d)[1]
     return spark.createDataFrame([(len(raw), bloom.serialize(*bloom.deserialize(raw)) == raw)], "size long, same boolean")

@@ -29,10 +29,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return parse_manifest(spark.read.text(path).toDF("line"))
 
 
-def parse_metrics(lines: DataFrame) -> DataFrame:
-    """name, value of `name value` lines; comments and what is not a number are left out."""
+def parse_metrics(lines: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and name, value of `name value` lines; comments and what is not a number are
+    left out."""
     parts = F.split(F.trim("line"), r"\s+")
-    rows = lines.where(~F.trim("line").startswith("#")).select(F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(1)).try_cast("double").alias("value"))
+    rows = lines.where(~F.trim("line").startswith("#")).select(*keep, F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(1)).try_cast("double").alias("value"))
     return rows.where("value is not null")
 
 

@@ -77,6 +77,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return replay(files.select(F.regexp_extract("path", r"wal_(\d+)\.log$", 1).cast("long").alias("file_seq"), "content"))
 
 
+def truncate(records: DataFrame, pos: int) -> DataFrame:
+    """Records before a position in their file."""
+    return records.where(F.col("pos") < pos)
+
+
 def record_bytes():
     """Size of a record in a file, from its columns."""
     return F.lit(17) + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
