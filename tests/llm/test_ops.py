@@ -444,3 +444,24 @@ def test_passages_without_ids(spark):
     t = " ".join(map(str, range(60)))
     got = substring_dedup.passage_digests(frame(spark, [t, t, t, t], [None, 2, 2, 1])).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_removed) for r in got) == [(-1, 0), (1, 0), (2, 60), (2, 60)]
+
+
+def test_clashing_names_and_other_columns(spark, corpus):
+    """Operators that return whole rows, on a table whose other columns have the names they add."""
+    taken = ("n_lines", "n_dropped", "n_words", "n_removed", "ids", "ends", "score", "raw", "key", "fp", "id")
+    df = frame(spark, corpus[:20])
+    for c in taken:
+        df = df.withColumn(c, F.lit(c))
+    lines = line_dedup.dedup_lines(df, min_docs=2)
+    assert lines.columns == [c for c in df.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
+    passages = substring_dedup.dedup_passages(df)
+    encoded = bpe.encode(df, queries.byte_bpe_path())
+    y = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nothing of the kind is in any of these texts")], "item_id long, text string")
+    clean = decontamination.without_leaks(toxicity.without_toxic(df, y), bench)
+    assert clean.columns == df.columns
+    single = simhash.one_each(df)
+    assert single.columns == df.columns
+    for out in (lines, passages, encoded, clean, single):
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows for c in taken if c in out.columns and out.schema[c].dataType.simpleString() == "string")

@@ -244,19 +244,20 @@ def encode_texts(texts: list[str], merger: Merger, ranges) -> list[bytes]:
 
 def encode(df: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     """df's columns without `text`, and `ids` and `ends`: token ids, and the byte offset at which
-    each token ends in the text, both binary, little-endian unsigned 32-bit integers."""
+    each token ends in the text, both binary, little-endian unsigned 32-bit integers.  Columns of df with these names go."""
     vocabulary, ranges = load_ranks(ranks_path), class_ranges()
+    df = df.drop("ids", "ends")
     kept = df.drop(text)
     names = [*kept.columns, "ids", "ends"]
-    source = df.select(*[F.col(f"`{c}`") for c in kept.columns], text_bytes(text).alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in kept.columns], text_bytes(text).alias("__tidelog_text"))
 
     def run(batches):
         merger = _merger(vocabulary)
         sizes = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-        for batch in in_parts(batches, "__text"):
+        for batch in in_parts(batches, "__tidelog_text"):
             if not batch.num_rows:
                 continue
-            ids = encode_texts([x.as_py().decode("utf-8", "replace") for x in batch.column("__text")], merger, ranges)
+            ids = encode_texts([x.as_py().decode("utf-8", "replace") for x in batch.column("__tidelog_text")], merger, ranges)
             merger.trim()
             ends = [np.cumsum(sizes[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], binary(ids), binary(ends)], names)
@@ -266,6 +267,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """df's columns and `decoded`, the bytes that the ids stand for."""
+    df = df.drop("decoded")
     vocabulary = load_ranks(ranks_path)
     columns = df.columns
 

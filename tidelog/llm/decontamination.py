@@ -183,10 +183,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
 
         def run(batches, part=part):
             items = Items(part, width)
-            for batch in in_parts(batches, "__raw", 8_000_000):
-                clean = [not items.found(raw.as_py(), share) for raw in batch.column("__raw")]
+            for batch in in_parts(batches, "__tidelog_text", 8_000_000):
+                clean = [not items.found(raw.as_py(), share) for raw in batch.column("__tidelog_text")]
                 _table.trim()
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.select(*[F.col(f"`{c}`") for c in names], text_bytes(text).alias("__raw")).mapInArrow(run, schema)
+        docs = docs.select(*[F.col(f"`{c}`") for c in names], text_bytes(text).alias("__tidelog_text")).mapInArrow(run, schema)
     return docs

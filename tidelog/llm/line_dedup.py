@@ -181,7 +181,8 @@ def cut_lines(raw: bytes, drop) -> bytes:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = 40, min_docs: int = 5, broadcast_limit: int = 32 << 20) -> DataFrame:
-    """docs' columns with `text` cut, then n_lines and n_dropped."""
+    """docs' columns with `text` cut, then n_lines and n_dropped (in place of columns so named)."""
+    docs = docs.drop("n_lines", "n_dropped")
     frequent = written(frequent_lines(docs, text, min_chars, min_docs))
     n = frequent.count()
     shards = 1 << max(0, (n // SHARD_KEYS).bit_length())
@@ -195,12 +196,12 @@ def _finish(docs: DataFrame, text: str, extra: str, drops) -> DataFrame:
     """Cut every text; `drops(batch, texts)` gives the numbers of the lines to drop."""
     names = docs.columns
     own = [F.col(f"`{c}`") for c in names if c != text]
-    source = docs.select(*own, *([extra] if extra else []), text_bytes(text).alias("__text"))
+    source = docs.select(*own, *([extra] if extra else []), text_bytes(text).alias("__tidelog_text"))
     places = [c for c in names if c != text]
 
     def run(batches):
-        for batch in in_parts(batches, "__text", 8_000_000):
-            raws = [x.as_py() for x in batch.column("__text")]
+        for batch in in_parts(batches, "__tidelog_text", 8_000_000):
+            raws = [x.as_py() for x in batch.column("__tidelog_text")]
             lost = drops(batch, raws)
             new = {
                 text: pa.array([cut_lines(r, d).decode("utf-8", "replace") for r, d in zip(raws, lost)], pa.string()),
@@ -216,7 +217,7 @@ def _finish(docs: DataFrame, text: str, extra: str, drops) -> DataFrame:
 def _probe_held(docs, text, arrays, shards, min_chars, min_docs) -> DataFrame:
     blobs = {r.shard: bytes(r.blob) for r in arrays.collect()}  # below the limit checked above
     held = docs.sparkSession.sparkContext.broadcast(blobs)
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(LOWEST)))
+    keyed = docs.withColumn("__tidelog_id", F.coalesce("doc_id", F.lit(LOWEST)))
 
     def drops(batch, raws):
         tables = {k: Shard(b) for k, b in held.value.items()}
@@ -230,7 +231,7 @@ def _probe_held(docs, text, arrays, shards, min_chars, min_docs) -> DataFrame:
         if keys:
             hi, lo = split_hash(keys)
             row_ = np.array(row)
-            ids = batch.column("__id").to_numpy()[row_]
+            ids = batch.column("__tidelog_id").to_numpy()[row_]
             lost = np.zeros(len(row_), bool)
             dealt = shard_of(hi, shards)
             for k, t in tables.items():
@@ -240,7 +241,7 @@ def _probe_held(docs, text, arrays, shards, min_chars, min_docs) -> DataFrame:
                 out[row[j]].append(at[j])
         return out
 
-    return _finish(keyed, text, "", drops).drop("__id")
+    return _finish(keyed, text, "", drops).drop("__tidelog_id")
 
 
 def _probe_routed(docs, text, arrays, shards, min_chars, min_docs) -> DataFrame:
@@ -283,21 +284,21 @@ def _probe_routed(docs, text, arrays, shards, min_chars, min_docs) -> DataFrame:
                         ids.append(doc)
                         ks.append(key)
                         lost.append(own.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.int64()), binary(lost)], ["l_doc", "l_key", "lost"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.int64()), binary(lost)], ["__tidelog_l_doc", "__tidelog_l_key", "lost"])
 
-    lost = dealt.mapInArrow(probe, "l_doc long, l_key long, lost binary").groupBy("l_doc", "l_key").agg(F.collect_list("lost").alias("__lost"))
-    keyed = docs.withColumn("__key", row_key(text))
-    joined = keyed.join(lost, F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("__key") == F.col("l_key")), "left").drop("l_doc", "l_key")
+    lost = dealt.mapInArrow(probe, "__tidelog_l_doc long, __tidelog_l_key long, lost binary").groupBy("__tidelog_l_doc", "__tidelog_l_key").agg(F.collect_list("lost").alias("__tidelog_lost"))
+    keyed = docs.withColumn("__tidelog_key", row_key(text))
+    joined = keyed.join(lost, F.col("doc_id").eqNullSafe(F.col("__tidelog_l_doc")) & (F.col("__tidelog_key") == F.col("__tidelog_l_key")), "left").drop("__tidelog_l_doc", "__tidelog_l_key")
 
     def drops(batch, raws):
-        return [sorted(set(np.frombuffer(b"".join(x), "<i8").tolist())) if x else [] for x in batch.column("__lost").to_pylist()]
+        return [sorted(set(np.frombuffer(b"".join(x), "<i8").tolist())) if x else [] for x in batch.column("__tidelog_lost").to_pylist()]
 
-    kept = joined.drop("__lost", "__key")
+    kept = joined.drop("__tidelog_lost", "__tidelog_key")
     return _finish_with(joined, kept.columns, text, drops)
 
 
 def _finish_with(joined: DataFrame, names: list[str], text: str, drops) -> DataFrame:
-    return _finish(joined.drop("__key"), text, "", drops).select(*[f"`{c}`" for c in names], "n_lines", "n_dropped")
+    return _finish(joined.drop("__tidelog_key"), text, "", drops).select(*[f"`{c}`" for c in names], "n_lines", "n_dropped")
 
 
 def line_digests(docs: DataFrame, **options) -> DataFrame:

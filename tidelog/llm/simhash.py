@@ -201,9 +201,9 @@ def one_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the near-copies: of each component the row with its smallest id stays (of
     several with that id one)."""
     found = near_duplicates(docs, text).where("doc_id <=> component_id")
-    best = found.groupBy("component_id", "doc_id").agg(F.min("key").alias("__key")).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("__doc"), "__key")
+    best = found.groupBy("component_id", "doc_id").agg(F.min("key").alias("__tidelog_key")).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("__tidelog_doc"), "__tidelog_key")
     names = docs.columns
-    keyed = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("__key", F.coalesce(row_key(text), F.lit(0)))
-    kept = keyed.join(best, ["__doc", "__key"], "left_semi")
-    twins = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__doc", "__key").orderBy(F.lit(1))))
-    return twins.where("__n = 1").select(*[f"`{c}`" for c in names])
+    keyed = docs.withColumn("__tidelog_doc", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("__tidelog_key", F.coalesce(row_key(text), F.lit(0)))
+    kept = keyed.join(best, ["__tidelog_doc", "__tidelog_key"], "left_semi")
+    twins = kept.withColumn("__tidelog_n", F.row_number().over(Window.partitionBy("__tidelog_doc", "__tidelog_key").orderBy(F.lit(1))))
+    return twins.where("__tidelog_n = 1").select(*[f"`{c}`" for c in names])

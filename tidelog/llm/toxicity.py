@@ -246,17 +246,17 @@ def fit(rows: list[tuple[bytes, int]]) -> tuple[dict[str, tuple[int, float]], tu
     return terms, fit_curve([matcher.weigh(raw) for raw, _ in kept], np.array([y for _, y in kept], float))
 
 
-def _scored(docs: DataFrame, model, text: str, columns: list, names: list[str], schema: str, keep_if=None) -> DataFrame:
+def _scored(docs: DataFrame, model, text: str, columns: list, names: list[str], schema: str, keep_if=None, result: str = "score") -> DataFrame:
     terms, curve = model
 
     def run(batches):
         matcher = Matcher(terms)
-        for batch in in_parts(batches, "__raw", 8_000_000):
-            score = probability([matcher.weigh(r.as_py()) for r in batch.column("__raw")], curve)
-            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*names, "score"])
+        for batch in in_parts(batches, "__tidelog_text", 8_000_000):
+            score = probability([matcher.weigh(r.as_py()) for r in batch.column("__tidelog_text")], curve)
+            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*names, result])
             yield out.filter(pa.array(score < keep_if)) if keep_if is not None else out
 
-    return docs.select(*columns, text_bytes(text).alias("__raw")).mapInArrow(run, schema)
+    return docs.select(*columns, text_bytes(text).alias("__tidelog_text")).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -273,4 +273,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", limit:
     names = docs.columns
     columns = [F.col(f"`{c}`") for c in names]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return _scored(docs, model, text, columns, names, f"{schema}, score double", THRESHOLD).select(*columns)
+    return _scored(docs, model, text, columns, names, f"{schema}, __tidelog_score double", THRESHOLD, "__tidelog_score").select(*columns)
