@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import state
 
-#: Fixed reply texts of the protocol.
-INFO = "# Server\r\nkv_store_version:1.0.0\r\nos:Windows\r\nredis_version:6.0.0  /* compatible */\r\n\r\n# Keyspace\r\n"
+#: The INFO reply: sections and fields of the protocol, with this engine's own version.
+INFO = "# Server\r\ntidelog_version:1.0.0\r\n\r\n# Keyspace\r\n"
 COMMANDS = ("ping", "set", "get", "del", "keys", "scan", "exists", "dbsize", "flushdb", "info", "health", "quit", "save", "bgsave", "command")
 
 
@@ -78,4 +78,4 @@ def dispatch(argv: DataFrame) -> DataFrame:
 def health_text(stats: DataFrame) -> DataFrame:
     """The HEALTH reply body from memtable_size, sstable_count, total_keys and wal_enabled."""
     parts = [F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in ("memtable_size", "sstable_count", "total_keys", "wal_enabled")]
-    return stats.select(F.concat(F.lit("# KV Store Health\r\nstatus:ok\r\n"), F.concat_ws("\r\n", *parts), F.lit("\r\n")).alias("body"))
+    return stats.select(F.concat(F.lit("# Health\r\nstatus:ok\r\n"), F.concat_ws("\r\n", *parts), F.lit("\r\n")).alias("body"))

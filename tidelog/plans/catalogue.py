@@ -205,7 +205,7 @@ def engine_stats(spark, d):
     return _stats(spark, d)
 
 
-@query("select '# KV Store Health'||chr(13)||chr(10)||'status:ok'||chr(13)||chr(10)||'memtable_size:'||memtable_size||chr(13)||chr(10)||'sstable_count:'||sstable_count||chr(13)||chr(10)||'total_keys:'||total_keys||chr(13)||chr(10)||'wal_enabled:'||wal_enabled||chr(13)||chr(10) as body from (" + STATS + ")", "manifest")
+@query("select '# Health'||chr(13)||chr(10)||'status:ok'||chr(13)||chr(10)||'memtable_size:'||memtable_size||chr(13)||chr(10)||'sstable_count:'||sstable_count||chr(13)||chr(10)||'total_keys:'||total_keys||chr(13)||chr(10)||'wal_enabled:'||wal_enabled||chr(13)||chr(10) as body from (" + STATS + ")", "manifest")
 def health_stats(spark, d):
     return commands.health_text(_stats(spark, d))
 

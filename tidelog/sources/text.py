@@ -79,7 +79,7 @@ def health_json(stats: DataFrame) -> DataFrame:
 
 def junit_cases(results: DataFrame) -> DataFrame:
     """A test case element a row, from results (name, ok, ops, failures)."""
-    return results.select(F.col("name").alias("_name"), F.lit("JepsenTest").alias("_classname"), F.when(~F.col("ok"), F.struct(F.lit("LinearizabilityViolation").alias("_type"), F.concat(F.lit("ops="), "ops", F.lit(", failures="), "failures").alias("_VALUE"))).alias("failure"))
+    return results.select(F.col("name").alias("_name"), F.lit("HistoryCheck").alias("_classname"), F.when(~F.col("ok"), F.struct(F.lit("LinearizabilityViolation").alias("_type"), F.concat(F.lit("ops="), "ops", F.lit(", failures="), "failures").alias("_VALUE"))).alias("failure"))
 
 
 def write_junit(results: DataFrame, path: str) -> None:
