@@ -127,4 +127,20 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged j join rates r on j.host is not distinct from r.host
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": LINE_SQL, "op3_quality_rules": QUALITY_SQL}
+PASSAGE_SQL = r"""
+with docs as (
+  select row_number() over () as row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+words as (select row, doc_id, unnest(ws) as w, unnest(range(len(ws))) as i from docs),
+windows as (
+  select row, doc_id, unnest(range(len(ws) - 49)) as i, unnest(list_transform(range(len(ws) - 49), lambda k: md5(array_to_string(ws[k + 1 : k + 50], ' ')))) as g
+  from docs where len(ws) >= 50),
+first as (select g, min(doc_id) as least from windows group by g),
+gone as (
+  select distinct row, unnest(range(w.i, w.i + 50)) as i from windows w join first f using (g) where f.least < w.doc_id)
+select d.doc_id, count(w.w) as n_words, count(g.i) as n_removed,
+       sha256(coalesce(string_agg(w.w, ' ' order by w.i) filter (where g.i is null), '')) as kept_sha256
+from docs d left join words w on d.row = w.row left join gone g on w.row = g.row and w.i = g.i
+group by d.row, d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_line_dedup": LINE_SQL, "op3_quality_rules": QUALITY_SQL, "op10_substring_dedup": PASSAGE_SQL}
