@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import binary, in_parts, scan_schema, text_bytes
+from tidelog.llm.common import binary, held, in_parts, scan_schema, small_batches, text_bytes
 
 # Classes of code points, and the symbols and states of the automaton.
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
@@ -148,7 +148,7 @@ def symbols_of(points: np.ndarray, ends: np.ndarray, ranges) -> np.ndarray:
 class Merger(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers.  A cache of bounded size."""
 
-    LIMIT, LONG = 300_000, 64
+    LIMIT, LONG = 200_000, 64
 
     def __init__(self, vocabulary: list[bytes]):
         super().__init__()
@@ -218,17 +218,6 @@ def load_ranks(path: str) -> list[bytes]:
     return out
 
 
-_workers: dict = {}
-
-
-def _merger(vocabulary: list[bytes]) -> Merger:
-    key = (len(vocabulary), hash(tuple(vocabulary[-300:])))
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = Merger(vocabulary)
-    return _workers[key]
-
-
 def encode_texts(texts: list[str], merger: Merger, ranges) -> list[bytes]:
     """Of each text its ids, little-endian unsigned 32-bit."""
     joined = "\n".join(texts)
@@ -246,13 +235,13 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     """df's columns without `text`, and `ids` and `ends`: token ids, and the byte offset at which
     each token ends in the text, both binary, little-endian unsigned 32-bit integers.  Columns of df with these names go."""
     vocabulary, ranges = load_ranks(ranks_path), class_ranges()
-    df = df.drop("ids", "ends")
+    df = small_batches(df.drop("ids", "ends"))
     kept = df.drop(text)
     names = [*kept.columns, "ids", "ends"]
     source = df.select(*[F.col(f"`{c}`") for c in kept.columns], text_bytes(text).alias("__tidelog_text"))
 
     def run(batches):
-        merger = _merger(vocabulary)
+        merger = held(("pieces", hash(tuple(vocabulary))), lambda: Merger(vocabulary))
         sizes = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
         for batch in in_parts(batches, "__tidelog_text"):
             if not batch.num_rows:
@@ -267,7 +256,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """df's columns and `decoded`, the bytes that the ids stand for."""
-    df = df.drop("decoded")
+    df = small_batches(df.drop("decoded"))
     vocabulary = load_ranks(ranks_path)
     columns = df.columns
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -119,6 +121,36 @@ def window_hashes(words: np.ndarray, *widths: int) -> list[np.ndarray]:
         return [mix((sums[k:] - sums[: n + 1 - k]) * back[: n + 1 - k]) if n >= k else np.zeros(0, U64) for k in widths]
 
 
+#: Rows of an Arrow batch between Spark and Python, at most.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are so small that neither side of the pipe to Python holds
+    many texts at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """A worker's cache for `key`, kept from task to task.  A worker holds one at a time: the first
+    use of another key frees it."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # a worker lives on, so give the memory back
+        except (OSError, AttributeError):
+            pass
+        _held[key] = make()
+    return _held[key]
+
+
 def in_parts(batches, column: str, limit: int = 2_000_000):
     """Slices of Arrow batches whose binary `column` holds about `limit` bytes, or one row."""
     for batch in batches:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import U64, WordTable, in_parts, text_bytes, window_hashes
+from tidelog.llm.common import U64, WordTable, held, in_parts, small_batches, text_bytes, window_hashes
 
 WIDTH, SHARE, BLOCK_WINDOWS = 5, 0.8, 500_000
 EDGES = re.compile(r"^\W+|\W+$")
@@ -52,12 +52,13 @@ def _describe(raw: bytes):
     return xxhash.xxh64_intdigest(own.lower().encode("utf-8", "replace")), kind, text.rstrip("\"'”’)]")[-1:] in (".", "!", "?", ":")
 
 
-_table = WordTable(_describe, FIELDS)
+def _words() -> WordTable:
+    return held("template words", lambda: WordTable(_describe, FIELDS))
 
 
 def template(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template words, the plain words' hashes, and which words are slots."""
-    rows = _table.look(raw.split())
+    rows = _words().look(raw.split())
     word, kind = rows["word"], rows["kind"].copy()
     if len(kind):
         starts = np.append(True, rows["ends"][:-1])
@@ -154,7 +155,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int
     schema = f"doc_id {kind}, item_id long, n_windows long, n_found long, reworded boolean"
     names = ["doc_id", "item_id", "n_windows", "n_found", "reworded"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    source = docs.select("doc_id", text_bytes(text).alias("raw"))
+    source = small_batches(docs).select("doc_id", text_bytes(text).alias("raw"))
     out = docs.sparkSession.createDataFrame([], schema)
     for part in blocks(benchmark, width, block_windows):
 
@@ -166,7 +167,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int
                     got = items.found(raw.as_py(), share)
                     rows += got
                     which += [i] * len(got)
-                _table.trim()
+                _words().trim()
                 if rows:
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(which)), *cols], names)
@@ -185,8 +186,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
             items = Items(part, width)
             for batch in in_parts(batches, "__tidelog_text", 8_000_000):
                 clean = [not items.found(raw.as_py(), share) for raw in batch.column("__tidelog_text")]
-                _table.trim()
+                _words().trim()
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.select(*[F.col(f"`{c}`") for c in names], text_bytes(text).alias("__tidelog_text")).mapInArrow(run, schema)
+        docs = small_batches(docs).select(*[F.col(f"`{c}`") for c in names], text_bytes(text).alias("__tidelog_text")).mapInArrow(run, schema)
     return docs

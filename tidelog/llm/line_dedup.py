@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import U64, binary, in_parts, mix, partitions, row_key, scan_schema, text_bytes, written
+from tidelog.llm.common import U64, binary, in_parts, mix, partitions, row_key, scan_schema, small_batches, text_bytes, written
 
 STRIP = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 200_000
@@ -160,7 +160,7 @@ def frequent_lines(docs: DataFrame, text: str, min_chars: int, min_docs: int) ->
                 got = got.groupby(["hi", "lo"], sort=False)["id"].agg(["size", "max"]).reset_index()
                 yield pa.RecordBatch.from_arrays([pa.array(got[c].to_numpy(np.int64)) for c in got], ["hi", "lo", "docs", "keeper"])
 
-    counted = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("id"), text_bytes(text).alias("raw")).mapInArrow(count, "hi long, lo long, docs long, keeper long")
+    counted = small_batches(docs).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("id"), text_bytes(text).alias("raw")).mapInArrow(count, "hi long, lo long, docs long, keeper long")
     return counted.groupBy("hi", "lo").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper")).where(F.col("docs") >= min_docs)
 
 
@@ -196,7 +196,7 @@ def _finish(docs: DataFrame, text: str, extra: str, drops) -> DataFrame:
     """Cut every text; `drops(batch, texts)` gives the numbers of the lines to drop."""
     names = docs.columns
     own = [F.col(f"`{c}`") for c in names if c != text]
-    source = docs.select(*own, *([extra] if extra else []), text_bytes(text).alias("__tidelog_text"))
+    source = small_batches(docs).select(*own, *([extra] if extra else []), text_bytes(text).alias("__tidelog_text"))
     places = [c for c in names if c != text]
 
     def run(batches):
@@ -245,7 +245,7 @@ def _probe_held(docs, text, arrays, shards, min_chars, min_docs) -> DataFrame:
 
 
 def _probe_routed(docs, text, arrays, shards, min_chars, min_docs) -> DataFrame:
-    keys = docs.select(F.col("doc_id"), row_key(text).alias("key"), F.coalesce("doc_id", F.lit(LOWEST)).alias("id"), text_bytes(text).alias("raw"))
+    keys = small_batches(docs).select(F.col("doc_id"), row_key(text).alias("key"), F.coalesce("doc_id", F.lit(LOWEST)).alias("id"), text_bytes(text).alias("raw"))
     probe_schema = "shard long, salt int, kind int, doc_id long, key long, lines binary, blob binary"
     names = ["shard", "salt", "kind", "doc_id", "key", "lines", "blob"]
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import in_parts, text_bytes
+from tidelog.llm.common import held, in_parts, small_batches, text_bytes
 from tidelog.llm.labelled import held_out, training_rows
 
 BUCKETS, DIM, LIMIT = 1 << 17, 10, 2500
@@ -109,12 +109,14 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = L
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted."""
     weights, bias = Train().fit(training_rows(docs, labels, "quality", limit, text))
 
+    model = hash((weights.tobytes(), bias))
+
     def run(batches):
-        scorer = Scorer(weights)
+        scorer = held(("scorer", model), lambda: Scorer(weights))
         for batch in in_parts(batches, "raw", 8_000_000):
             got = [scorer.score(x.as_py(), bias) for x in batch.column("raw")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], ["doc_id", "held_out", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), text_bytes(text).alias("raw")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+    out = small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), text_bytes(text).alias("raw")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

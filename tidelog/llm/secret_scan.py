@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import in_parts, text_bytes
+from tidelog.llm.common import in_parts, small_batches, text_bytes
 
 MIN, THRESHOLD = 16, 0.5
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/.\-]{%d,}={0,2}" % MIN)
@@ -183,4 +183,4 @@ def scan(docs: DataFrame, text: str = "text", forest: Forest | None = None, thre
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(which)), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
 
-    return docs.select("doc_id", text_bytes(text).alias("raw")).mapInArrow(run, f"doc_id {kind}, begin long, end long, score double, secret_sha256 string")
+    return small_batches(docs).select("doc_id", text_bytes(text).alias("raw")).mapInArrow(run, f"doc_id {kind}, begin long, end long, score double, secret_sha256 string")

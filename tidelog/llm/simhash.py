@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import U64, binary, in_parts, partitions, row_key, text_bytes, written
+from tidelog.llm.common import U64, binary, in_parts, partitions, row_key, small_batches, text_bytes, written
 from tidelog.llm.components import components
 
 SHINGLE, SEED, BITS, BLOCK = 3, 42, 64, 16
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             got = np.array([fingerprint(x.as_py()) for x in batch.column("raw")], U64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(got)], ["doc_id", "key", "fp"])
 
-    return docs.select("doc_id", F.coalesce(row_key(text), F.lit(0)).alias("key"), text_bytes(text).alias("raw")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, fp long")
+    return small_batches(docs).select("doc_id", F.coalesce(row_key(text), F.lit(0)).alias("key"), text_bytes(text).alias("raw")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, fp long")
 
 
 def _masks() -> list[tuple[int, list[int]]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import in_parts, text_bytes
+from tidelog.llm.common import held, in_parts, small_batches, text_bytes
 from tidelog.llm.labelled import held_out, training_rows
 
 LIMIT, MAX_TERMS, WINDOW, THRESHOLD = 6000, 600, 6, 0.7
@@ -248,15 +248,16 @@ def fit(rows: list[tuple[bytes, int]]) -> tuple[dict[str, tuple[int, float]], tu
 
 def _scored(docs: DataFrame, model, text: str, columns: list, names: list[str], schema: str, keep_if=None, result: str = "score") -> DataFrame:
     terms, curve = model
+    key = hash((tuple(sorted(terms.items())), curve))
 
     def run(batches):
-        matcher = Matcher(terms)
+        matcher = held(("matcher", key), lambda: Matcher(terms))
         for batch in in_parts(batches, "__tidelog_text", 8_000_000):
             score = probability([matcher.weigh(r.as_py()) for r in batch.column("__tidelog_text")], curve)
             out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*names, result])
             yield out.filter(pa.array(score < keep_if)) if keep_if is not None else out
 
-    return docs.select(*columns, text_bytes(text).alias("__tidelog_text")).mapInArrow(run, schema)
+    return small_batches(docs).select(*columns, text_bytes(text).alias("__tidelog_text")).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
