@@ -6,6 +6,7 @@ brute force.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,12 @@ def query(oracle: str | None = None, *views: str):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    """A new folder that all executors share; a local one only where the cluster names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
 
 
 LIVE = "op='PUT' and value<>''"
