@@ -255,6 +255,11 @@ def wal_size(spark, d):
     return wal.encode(_wal_rows(spark, d)).select("file_seq", F.octet_length("content").cast("long").alias("bytes"))
 
 
+@query("select cast(floor(seq/1000) as bigint) as file_seq, seq%1000 as pos, op, key, nullif(value,'') as value from ops where seq%1000<100", "ops")
+def wal_truncate(spark, d):
+    return wal.truncate(wal.replay(wal.encode(_wal_rows(spark, d))), 100)
+
+
 @query("select key, value, seq from state_a", "state_a")
 def wal_roll(spark, d):
     """Numbered files replayed in order give the state of the log."""
@@ -289,6 +294,16 @@ def manifest_list(spark, d):
     return segments.list_files(m, 2).select("file_id", "level", "file_size").join(F.broadcast(segments.next_file_id(m)))
 
 
+@query("select * from manifest where level<>0 union all select (select max(file_id)+1 from manifest), 1, cast(sum(file_size) as bigint), min(smallest), max(largest) from manifest where level=0", "manifest")
+def manifest_edit(spark, d):
+    """A catalog after the files of level 0 gave way to one of level 1."""
+    m = segments.manifest(fx.segments(spark, d))
+    gone = segments.list_files(m, 0)
+    merged = gone.agg(F.sum("file_size").alias("file_size"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
+    new = merged.join(F.broadcast(segments.next_file_id(m))).select(F.col("next_file_id").alias("file_id"), F.lit(1).alias("level"), "file_size", "smallest", "largest")
+    return segments.add_files(segments.remove_files(m, gone), new)
+
+
 @query("select name, id, case id when 0 then 'none' when 1 then 'zstd' when 2 then 'lz4' else 'unknown' end as back from (select p_type as name, case p_type when 'none' then 0 when 'lz4' then 2 else 1 end as id from (select distinct p_type from part) union all select * from (values ('none',0),('lz4',2),('zstd',1)) t)")
 def codec_name(spark, d):
     names = fx.table(spark, d, "part").select(F.col("p_type").alias("name")).distinct().union(spark.createDataFrame([("none",), ("lz4",), ("zstd",)], "name string"))
@@ -633,6 +648,12 @@ def snapshot_plus_log(spark, d):
     return replication.snapshot_plus_log(fx.raft_log(spark, d), 6000)
 
 
+@query("select 5 as term, n_nationkey+1+(select max(idx) from rlog) as idx, 'PUT' as op, n_name as key, 'v' as value from nation union all select * from rlog where idx>9900", "rlog")
+def raft_propose(spark, d):
+    entries = fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("order"), F.lit("PUT").alias("op"), F.col("n_name").alias("key"), F.lit("v").alias("value"))
+    return replication.propose(fx.raft_log(spark, d), entries, 5).where("idx > 9900")
+
+
 @query("select * from rlog where idx>=7001 order by idx limit 128", "rlog")
 def repl_batch(spark, d):
     return replication.replication_batch(fx.raft_log(spark, d), 7001)
@@ -740,6 +761,14 @@ def stream_metrics(spark, d):
     return apply.windowed(rows).withColumn("total", F.round("total", 4))
 
 
+@query(f"select node, raft_term as term from ({NODE_METRICS}) where raft_is_leader=1", "ops")
+def leader_node(spark, d):
+    """The node whose exposed metrics say that it leads, of several the one with the greatest term."""
+    lines = metrics.prometheus_text(_node_metrics(spark, d)).select("node", F.explode(F.split("body", "\n")).alias("line"))
+    wide = metrics.pivot(text.parse_metrics(lines, "node"), ["raft_is_leader", "raft_term"])
+    return wide.where("raft_is_leader = 1").orderBy(F.desc("raft_term"), "node").limit(1).select("node", F.col("raft_term").cast("int").alias("term"))
+
+
 # --- sharding
 
 
