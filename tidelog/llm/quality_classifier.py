@@ -13,6 +13,8 @@ class, every score is that class's share (0.5 without rows).
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -45,19 +47,18 @@ class Train:
         ones = sum(y for _, y in rows)
         if not rows or ones in (0, len(rows)):
             return weights, 0.0 if not rows else (30.0 if ones else -30.0)
-        cache: dict[bytes, np.ndarray] = {}
         docs = []
         for raw, y in dict(rows).items():  # one of each text
             words = raw.split()
-            parts = []
-            for w in words:
-                if w not in cache:
-                    cache[w] = np.array(features(w), np.int32)
-                parts.append(cache[w])
-            repeats = sum(a == b for a, b in zip(words, words[1:]))
             if words:
-                own, n = np.unique(np.concatenate([*parts, np.full(repeats, SAME, np.int32)]), return_counts=True)
-                docs.append((own, n / n.sum(), y))
+                counted = Counter(words)
+                parts = [features(w) for w in counted]
+                times = np.repeat([*counted.values(), 1], [*map(len, parts), 1])
+                repeats = sum(map(bytes.__eq__, words, words[1:]))
+                times[-1] = repeats
+                own, place = np.unique(np.fromiter(chain(*parts, [SAME]), np.int32, len(times)), return_inverse=True)
+                n = np.bincount(place, times)
+                docs.append((own, (n / n.sum()).astype(np.float32), y))
         rng = np.random.default_rng(self.seed)
         vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
         layer, bias = np.zeros((2, DIM)), np.log([1 - ones / len(rows), ones / len(rows)])
