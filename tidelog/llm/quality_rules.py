@@ -12,48 +12,54 @@ fails.  Documents without a host form one host.  Rows with one id each get their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import written
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-
-
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def document_counts(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
-    """docs' other columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """docs' other columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+
+    Windows are hashed for every document, but placed and sorted only where two hashes agree."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda line: F.length(_without(line, BLANKS)) > 0)
-    first = docs.select(
+    trimmed = docs.select(*kept, t.alias("__text"), F.btrim(t, F.lit(BLANKS)).alias("__trimmed"))
+    split = F.when(F.col("__trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("__trimmed", r"[\x20\x09-\x0D]+"))
+    lines = F.filter(F.split("__text", "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
+    symbols = F.length("__text") - F.length(F.regexp_replace("__text", f"[{SYMBOLS}]+", ""))
+    zero = trimmed.select(*kept, split.alias("__split"), lines.alias("__lines"), symbols.cast("long").alias("n_symbols"))
+    first = zero.select(
         *kept,
-        F.transform(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("__words"),
-        lines.alias("__lines"),
-        F.length(_without(t, BLANKS)).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
+        "n_symbols",
+        F.transform("__split", lambda w: F.xxhash64(w)).alias("__words"),
+        F.length(F.array_join("__split", "")).cast("long").alias("word_chars"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
     )
     words, n = F.col("__words"), F.size("__words")
-    hashed = F.transform(
-        F.sequence(F.lit(0), n - width),
-        lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("h"), i.alias("i")),
-    )
-    windows = F.when(n >= width, F.array_sort(hashed)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    second = first.select(*kept, "word_chars", "n_symbols", n.cast("long").alias("n_words"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), windows.alias("__windows"))
+    hashed = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
+    second = first.select(
+        *kept, "word_chars", "n_symbols", "n_dup_lines", n.cast("long").alias("n_words"),
+        F.when(n >= width, hashed).otherwise(F.array().cast("array<bigint>")).alias("__hashes"),
+    )
+    hashes = F.col("__hashes")
+    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    third = second.select(*kept, *COUNTS[:4], F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), placed).otherwise(none).alias("__windows"))
     w = F.col("__windows")
 
     def twin(x, k):
         return F.coalesce(F.get(w, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(w, k + 1)["h"] == x["h"], F.lit(False))
 
-    third = second.withColumn("__at", F.array_sort(F.transform(F.filter(w, twin), lambda x: x["i"])))
+    fourth = third.withColumn("__at", F.array_sort(F.transform(F.filter(w, twin), lambda x: x["i"])))
     at = F.col("__at")
     covered = F.transform(at, lambda p, k: F.least(F.lit(width), F.coalesce(F.get(at, k + 1) - p, F.lit(width))))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x)
-    return third.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", total.alias("n_repeat_words"))
+    return fourth.select(*kept, *COUNTS[:4], total.alias("n_repeat_words"))
 
 
 def beta_prior(rates: DataFrame) -> tuple[float, float]:
@@ -80,8 +86,5 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", host_limit:
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit))
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-
 def verdicts(docs: DataFrame) -> DataFrame:
     return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept")
