@@ -25,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import U64, WordTable, binary, in_parts, partitions, row_key, scan_schema, text_bytes, window_hashes
+from tidelog.llm.common import U64, WordTable, binary, held, in_parts, partitions, row_key, scan_schema, small_batches, text_bytes, window_hashes
 
 WIDTH, GRAM = 50, 16
+SEND_BYTES = 24 << 20
 
-_words = WordTable(xxhash.xxh64_intdigest, U64)
+def _words() -> WordTable:
+    return held("words", lambda: WordTable(xxhash.xxh64_intdigest, U64))
 
 
 def least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -47,7 +49,7 @@ def paths(raw: bytes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     words = raw.split()  # of bytes: at 09-0D and 20 alone
     if len(words) < width:
         return np.zeros(0, U64), np.zeros(0, U64)
-    grams, nodes = window_hashes(_words.look(words), gram, width)
+    grams, nodes = window_hashes(_words().look(words), gram, width)
     return nodes, least_of_windows(grams, width - gram + 1)
 
 
@@ -88,7 +90,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
             node_list.append(nodes)
             least_list.append(least)
             lengths.append(len(nodes))
-        _words.trim()
+        _words().trim()
         nodes, least = np.concatenate(node_list), np.concatenate(least_list)
         row = np.repeat(np.arange(len(rows)), lengths)
         ids = np.array([r[0] for r in rows], np.int64)
@@ -119,10 +121,31 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
         return out
 
     def emit(batches):
+        """What is sent to one group is gathered over many groups of documents, so that rows stay
+        large however many groups there are."""
+        waiting: dict[int, list[tuple]] = {}
+        size = 0
+
+        def flushed():
+            rows = [(home, None, None, None, *(b"".join(p[i] for p in parts) for i in range(4, 8))) for home, parts in waiting.items()]
+            for i in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256]), types)], names)
+
         for batch in in_parts(batches, "raw", group_bytes):
             rows = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
             out = scan(rows) if rows else []
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 8, types)], names)
+            done = [r for r in out if r[7] is None]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
+            for r in out:
+                if r[7] is not None:
+                    waiting.setdefault(r[0], []).append(r)
+                    size += len(r[7])
+            if size >= SEND_BYTES:
+                yield from flushed()
+                waiting.clear()
+                size = 0
+        yield from flushed()
 
     def build(batches):
         """A task's subtrees."""
@@ -161,23 +184,25 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
             heads = at[part[:-1]]
             yield pa.RecordBatch.from_arrays([pa.array(w[heads]), pa.array(k[heads]), binary([spans[a:b].tobytes() for a, b in zip(part[:-1].tolist(), part[1:].tolist())])], ["doc_id", "key", "spans"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(row_key(text), F.lit(0)).alias("key"), text_bytes(text).alias("raw")).where("doc_id is not null")
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(row_key(text), F.lit(0)).alias("key"), text_bytes(text).alias("raw")).where("doc_id is not null")
     return source.mapInArrow(emit, schema).repartitionById(groups, F.col("home")).mapInArrow(build, "doc_id long, key long, spans binary")
 
 
 def dedup_passages(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """docs' columns with `text` as the kept words, joined by one space, then n_words, n_removed."""
-    spans = repeated_passages(docs, text, width).groupBy("doc_id", "key").agg(F.collect_list("spans").alias("__spans")).toDF("__doc", "__key", "__spans")
-    keyed = docs.withColumn("__k", F.coalesce(row_key(text), F.lit(0)))
+    """docs' columns with `text` as the kept words, joined by one space, then n_words and n_removed (in
+    place of columns so named)."""
+    docs = docs.drop("n_words", "n_removed")
+    spans = repeated_passages(docs, text, width).groupBy("doc_id", "key").agg(F.collect_list("spans").alias("__tidelog_spans")).toDF("__tidelog_doc", "__tidelog_key", "__tidelog_spans")
+    keyed = docs.withColumn("__tidelog_k", F.coalesce(row_key(text), F.lit(0)))
     names = docs.columns
     places = [c for c in names if c != text]
-    joined = keyed.join(spans, (F.col("doc_id") == F.col("__doc")) & (F.col("__k") == F.col("__key")), "left")
-    source = joined.select(*[F.col(f"`{c}`") for c in places], text_bytes(text).alias("__text"), "__spans")
+    joined = keyed.join(spans, (F.col("doc_id") == F.col("__tidelog_doc")) & (F.col("__tidelog_k") == F.col("__tidelog_key")), "left")
+    source = joined.select(*[F.col(f"`{c}`") for c in places], text_bytes(text).alias("__tidelog_text"), "__tidelog_spans")
 
     def cut(batches):
-        for batch in in_parts(batches, "__text", 4_000_000):
+        for batch in in_parts(batches, "__tidelog_text", 4_000_000):
             kept, n_words, n_removed = [], [], []
-            for raw, parts in zip(batch.column("__text"), batch.column("__spans")):
+            for raw, parts in zip(batch.column("__tidelog_text"), batch.column("__tidelog_spans")):
                 words = raw.as_py().split()
                 removed = 0
                 if parts.is_valid:
