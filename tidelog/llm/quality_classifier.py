@@ -14,27 +14,42 @@ class, every score is that class's share (0.5 without rows).
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import held, in_parts, small_batches, text_bytes
+from tidelog.llm.common import BASE, U64, held, in_parts, mix, small_batches, text_bytes
 from tidelog.llm.labelled import held_out, training_rows
 
 BUCKETS, DIM, LIMIT = 1 << 17, 10, 2500
-SAME = crc32(b"<same>") % BUCKETS
-
-
-def features(word: bytes) -> list[int]:
-    marked = b"<" + word + b">"
-    out = [crc32(marked) % BUCKETS]
-    for k in (3, 4, 5):
-        out += [crc32(marked[i : i + k]) % BUCKETS for i in range(len(marked) - k + 1)]
-    return out
+SIZES = (3, 4, 5)
+#: The feature of a word that repeats the word before it.
+SAME = 0
+
+
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the features of all words, and the place in the list of the word that each is of."""
+    joined = np.frombuffer(b"".join(b"<%b>" % w for w in words), np.uint8).astype(U64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(starts + lengths, lengths) - np.arange(len(joined))  # characters to the word's end
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.append(U64(1), np.full(int(lengths.max(initial=1)) - 1, BASE, U64)))
+        terms = joined * power[np.arange(len(joined)) - starts[owner]]
+        hashes = [mix(np.add.reduceat(terms, starts)) if len(words) else np.zeros(0, U64)]
+        owners = [np.arange(len(words))]
+        gram = joined
+        for k in range(2, max(SIZES) + 1):
+            gram = gram[:-1] * U64(BASE) + joined[k - 1 :] if len(gram) > 1 else np.zeros(0, U64)
+            if k in SIZES:
+                inside = left[: len(gram)] >= k
+                hashes.append(mix(gram[inside] + U64(k)))
+                owners.append(owner[: len(gram)][inside])
+        rows = (np.concatenate(hashes) % U64(BUCKETS - 1)).astype(np.int64) + 1
+    return rows, np.concatenate(owners)
 
 
 class Train:
@@ -52,13 +67,11 @@ class Train:
             words = raw.split()
             if words:
                 counted = Counter(words)
-                parts = [features(w) for w in counted]
-                times = np.repeat([*counted.values(), 1], [*map(len, parts), 1])
-                repeats = sum(map(bytes.__eq__, words, words[1:]))
-                times[-1] = repeats
-                own, place = np.unique(np.fromiter(chain(*parts, [SAME]), np.int32, len(times)), return_inverse=True)
-                n = np.bincount(place, times)
-                docs.append((own, (n / n.sum()).astype(np.float32), y))
+                rows_, owner = features(list(counted))
+                n = np.bincount(rows_, np.fromiter(counted.values(), np.int64, len(counted))[owner], BUCKETS)
+                n[SAME] = sum(map(bytes.__eq__, words, words[1:]))
+                own = np.flatnonzero(n).astype(np.int32)
+                docs.append((own, (n[own] / n.sum()).astype(np.float32), y))
         rng = np.random.default_rng(self.seed)
         vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
         layer, bias = np.zeros((2, DIM)), np.log([1 - ones / len(rows), ones / len(rows)])
@@ -83,27 +96,35 @@ class Train:
 class Scorer(dict):
     """word -> (sum of its features' weights, their number) as one complex number; a cache."""
 
+    LIMIT, LONG, AT_ONCE = 800_000, 64, 100_000
+
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights = weights.tolist()
-
-    def __missing__(self, word: bytes) -> complex:
-        own = features(word)
-        w = self.weights
-        out = complex(sum([w[i] for i in own]), len(own))
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-    def score(self, raw: bytes, bias: float) -> float:
-        words = raw.split()
-        total = sum(map(self.__getitem__, words))
-        repeats = sum(map(bytes.__eq__, words, words[1:]))
-        total += repeats * complex(self.weights[SAME], 1)
-        if len(self) > 300_000:
+        self.weights = weights
+
+    def learn(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), self.AT_ONCE):
+            part = words[i : i + self.AT_ONCE]
+            rows, owner = features(part)
+            sums, n = np.bincount(owner, self.weights[rows], len(part)), np.bincount(owner, minlength=len(part))
+            self.update(zip(part, (sums + 1j * n).tolist()))
+
+    def score(self, raws: list[bytes], bias: float) -> list[float]:
+        split = [raw.split() for raw in raws]
+        new = [w for w in set().union(*split) if w not in self]
+        self.learn(new)
+        out = []
+        for words in split:
+            total = sum(map(self.__getitem__, words))
+            total += sum(map(bytes.__eq__, words, words[1:])) * complex(self.weights[SAME], 1)
+            z = bias + (total.real / total.imag if words else 0.0)
+            out.append(float(1 / (1 + np.exp(-z))))
+        if len(self) > self.LIMIT:
             self.clear()
-        z = bias + (total.real / total.imag if words else 0.0)
-        return float(1 / (1 + np.exp(-z)))
+        for w in new:
+            if len(w) > self.LONG:
+                self.pop(w, None)
+        return out
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -114,8 +135,8 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = L
 
     def run(batches):
         scorer = held(("scorer", model), lambda: Scorer(weights))
-        for batch in in_parts(batches, "raw", 8_000_000):
-            got = [scorer.score(x.as_py(), bias) for x in batch.column("raw")]
+        for batch in in_parts(batches, "raw", 4_000_000):
+            got = scorer.score(batch.column("raw").to_pylist(), bias)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], ["doc_id", "held_out", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
