@@ -148,7 +148,7 @@ def symbols_of(points: np.ndarray, ends: np.ndarray, ranges) -> np.ndarray:
 class Merger(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers.  A cache of bounded size."""
 
-    LIMIT, LONG = 200_000, 64
+    LIMIT, LONG = 500_000, 64
 
     def __init__(self, vocabulary: list[bytes]):
         super().__init__()
