@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -119,43 +120,48 @@ class Automaton:
         return (term, e) if term else None
 
 
-def _family(words: set[str]) -> int:
-    """Near-copies share most words, and so, mostly, the word that hashes lowest."""
-    from zlib import crc32
+def _families(rows) -> tuple[dict[str, int], tuple[np.ndarray, np.ndarray], list[int]]:
+    """Numbers of the words, in how many families of each class a word occurs, and how many there are.
 
-    return min(map(crc32, map(str.encode, words)), default=0)
-
-
-def learn_terms(rows: list[tuple[set[str], int]], min_docs: int = 4, share: float = 0.004, purity: float = 0.9, max_terms: int = MAX_TERMS) -> dict[str, tuple[int, float]]:
-    """Terms, the edits they allow and their weights (log odds), from (distinct words, toxic)."""
-    families: dict[tuple[int, int], set[str]] = {}
+    A family is the documents whose lowest word hash is one: near-copies share most words, and so,
+    mostly, that one.  Documents are held as arrays of word numbers."""
+    number: dict[str, int] = {}
+    families: dict[tuple[int, int], list[np.ndarray]] = {}
     for words, y in rows:
-        own = families.setdefault((_family(words), y), set())
-        own |= words
-    counts = (Counter(), Counter())
+        own = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+        lowest = min(map(crc32, map(str.encode, words)), default=0)
+        families.setdefault((lowest, y), []).append(own)
+    counts = (np.zeros(len(number), np.int64), np.zeros(len(number), np.int64))
     total = [0, 0]
-    for (_, y), words in families.items():
+    for (_, y), parts in families.items():
         total[y] += 1
-        counts[y].update(words)
+        counts[y][np.unique(np.concatenate(parts))] += 1
+    return number, counts, total
+
+
+def learn_terms(rows, min_docs: int = 4, share: float = 0.004, purity: float = 0.9, max_terms: int = MAX_TERMS) -> dict[str, tuple[int, float]]:
+    """Terms, the edits they allow and their weights (log odds), from (distinct words, toxic) of
+    documents."""
+    number, counts, total = _families(rows)
     if not all(total):
         return {}
     least = max(min_docs, share * total[1])
     good = []
-    for w, n1 in counts[1].items():
-        n0 = counts[0][w]
+    for w, i in number.items():
+        n0, n1 = int(counts[0][i]), int(counts[1][i])
         if len(w) >= 4 and n1 >= least and (n1 / total[1]) / (n1 / total[1] + (n0 + 0.5) / total[0]) >= purity:
             good.append((-n1, w))
     terms = {w: allowed_edits(w) for _, w in sorted(good)[:max_terms]}
     auto = Automaton(terms)
     near = (Counter(), Counter())
-    for y in (0, 1):
-        for w, n in counts[y].items():
-            if w not in terms and (hit := auto.match(w)):
-                near[y][hit[0]] += n
+    for w, i in number.items():
+        if w not in terms and (hit := auto.match(w)):
+            for y in (0, 1):
+                near[y][hit[0]] += int(counts[y][i])
     for w in terms:
         if near[0][w] and near[1][w] / total[1] < 3 * near[0][w] / total[0]:
             terms[w] = 0
-    odds = lambda w: float(np.log((counts[1][w] + 0.5) / total[1]) - np.log((counts[0][w] + 0.5) / total[0]))
+    odds = lambda w: float(np.log((counts[1][number[w]] + 0.5) / total[1]) - np.log((counts[0][number[w]] + 0.5) / total[0]))
     return {w: (e, odds(w)) for w, e in terms.items()}
 
 
@@ -240,7 +246,7 @@ def fit_curve(sums: list[tuple[float, float]], y: np.ndarray, steps: int = 100)
 def fit(rows: list[tuple[bytes, int]]) -> tuple[dict[str, tuple[int, float]], tuple[float, ...]]:
     """Terms and curve."""
     kept = list(dict(rows).items())
-    words = [({c for w in set(raw.decode("utf-8", "replace").split()) if (c := core(w))}, y) for raw, y in kept]
+    words = (({c for w in set(raw.decode("utf-8", "replace").split()) if (c := core(w))}, y) for raw, y in kept)
     terms = learn_terms(words)
     matcher = Matcher(terms)
     return terms, fit_curve([matcher.weigh(raw) for raw, _ in kept], np.array([y for _, y in kept], float))
