@@ -203,6 +203,16 @@ def test_simhash(spark, corpus):
     assert sorted(r.doc_id for r in one) == sorted(set(comp))
 
 
+def test_one_each_of_components_with_one_smallest_id(spark):
+    """Components whose smallest ids are equal, or all null, each keep a row."""
+    r = random.Random(9)
+    a, b, c, d, e = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(5)]
+    rows = [(7, a), (7, b), (8, a), (None, c), (None, c), (None, d), (None, e), (9, e), (None, None)]
+    got = simhash.one_each(frame(spark, [t for _, t in rows], [i for i, _ in rows])).select("doc_id", "text").collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(map(tuple, got), key=key) == sorted([(7, a), (7, b), (None, c), (None, d), (9, e), (None, None)], key=key)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_balls_meet_exactly(spark, seed):
     """Families of fingerprints around centres: links join what brute force joins."""

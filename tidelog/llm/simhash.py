@@ -181,15 +181,16 @@ def links(fps: DataFrame, per_task: int = 4_000_000) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, key (of the text), fp and component_id: the smallest doc_id that links reach."""
+    """doc_id, key (of the text), fp, label (the component's least fp) and component_id: the
+    smallest doc_id that links reach, which several components may have."""
     prints = written(fingerprints(docs, text))
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(distinct.select("fp")))
     of_fp = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     of_fp = written(of_fp)
     ids = of_fp.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = of_fp.join(ids, "label").select("fp", "component_id")
-    return prints.join(of_fp, "fp").select("doc_id", "key", "fp", "component_id")
+    of_fp = of_fp.join(ids, "label").select("fp", "label", "component_id")
+    return prints.join(of_fp, "fp").select("doc_id", "key", "fp", "label", "component_id")
 
 
 def near_duplicate_digests(docs: DataFrame) -> DataFrame:
@@ -201,7 +202,7 @@ def one_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the near-copies: of each component the row with its smallest id stays (of
     several with that id one)."""
     found = near_duplicates(docs, text).where("doc_id <=> component_id")
-    best = found.groupBy("component_id", "doc_id").agg(F.min("key").alias("__tidelog_key")).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("__tidelog_doc"), "__tidelog_key")
+    best = found.groupBy("label", "doc_id").agg(F.min("key").alias("__tidelog_key")).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("__tidelog_doc"), "__tidelog_key")
     names = docs.columns
     keyed = docs.withColumn("__tidelog_doc", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("__tidelog_key", F.coalesce(row_key(text), F.lit(0)))
     kept = keyed.join(best, ["__tidelog_doc", "__tidelog_key"], "left_semi")
