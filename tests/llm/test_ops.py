@@ -398,6 +398,20 @@ def test_leaks_in_blocks(spark, corpus):
     assert decontamination.leaks(df, bench.limit(0)).count() == 0 and decontamination.leaks(df.limit(0), bench).count() == 0
 
 
+def test_items_with_one_id_are_apart(spark):
+    """Benchmark rows with one id, or without, and different texts: each is found by its own windows."""
+    r = random.Random(13)
+    say = lambda n: " ".join("".join(r.choice("mnopqr") for _ in range(6)) for _ in range(n))
+    short, long, other, last = say(8), say(40), say(30), say(9)
+    rows = [(1, long), (1, short), (2, short + " x"), (2, long + " y"), (None, other), (None, last)]
+    docs = frame(spark, ["a " + long + " b", "a " + short + " b", other, last, "nothing here"])
+    for block in (10, 500_000):
+        bench = spark.createDataFrame(rows, "item_id long, text string").coalesce(1)
+        got = decontamination.leaks(docs, bench, block_windows=block).select("doc_id", "item_id", "n_windows").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted([(0, 1, 36), (0, 2, 37), (1, 1, 4), (1, 2, 5), (2, None, 26), (3, None, 5)], key=repr)
+        assert [x.doc_id for x in decontamination.without_leaks(docs, bench, block_windows=block).collect()] == [4]
+
+
 # 9
 
 

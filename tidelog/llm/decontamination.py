@@ -11,7 +11,8 @@ the reverse.  So a copy with other numbers or names is caught too, and told apar
 The items are the query set: they are read in blocks of at most `block_windows` windows, and
 each block passes over the documents once, so no table held in memory grows with the benchmark.
 Windows of placeholders alone say nothing and are left out.  An item shorter than `width` is
-one window.  Items without any window are never found.  Nulls count as empty texts.
+one window.  Items without any window are never found.  Nulls count as empty texts.  Every row
+of the benchmark is an item of its own, also where ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -80,13 +81,15 @@ def windows(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Items:
-    """A block of items with the hash table of their windows, by window width."""
+    """A block of items with the hash table of their windows, by window width.  Items are told
+    apart by their place in the block."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], width: int):
+    def __init__(self, rows: list[tuple[int | None, bytes]], width: int):
+        self.ids = [item_id for item_id, _ in rows]
         self.plain, self.slots, self.total = {}, {}, {}
         self.by_width: dict[int, tuple[np.ndarray, dict]] = {}
         tables: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for item, raw in rows:
+        for item, (_, raw) in enumerate(rows):
             w = min(width, len(raw.split()))
             if w:
                 hashes, self.plain[item], self.slots[item] = windows(raw, w)
@@ -100,8 +103,8 @@ class Items:
             sieve[(keys & U64((1 << 20) - 1)).astype(np.int64)] = True
             self.by_width[w] = (keys, sieve, dict(t))
 
-    def found(self, raw: bytes, share: float) -> list[tuple[int, int, int, bool]]:
-        """(item, its windows, those found, reworded) of the items that a text holds."""
+    def found(self, raw: bytes, share: float) -> list[tuple[int | None, int, int, bool]]:
+        """(item_id, its windows, those found, reworded) of the items that a text holds."""
         hits: dict[int, list] = defaultdict(list)
         plain = slots = None
         for w, (keys, sieve, table) in self.by_width.items():
@@ -132,7 +135,7 @@ class Items:
                     seen |= {h for _, _, h in parts}
                     changed |= other
             if len(seen) >= share * self.total[item]:
-                out.append((item, self.total[item], len(seen), changed))
+                out.append((self.ids[item], self.total[item], len(seen), changed))
         return out
 
 
