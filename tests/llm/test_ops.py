@@ -464,6 +464,23 @@ def test_passages(spark, corpus, width):
     assert substring_dedup.passage_digests(df.limit(0)).count() == 0
 
 
+def test_hot_strings_are_split(spark):
+    """A shared line of 20 words amid different texts: its windows spread over the groups, and copies still meet."""
+    r = random.Random(21)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    line = say(20)
+    texts = [f"{say(45)} {line} {say(45)}" for _ in range(120)]
+    texts += texts[:10]
+    source = frame(spark, texts).select("doc_id", F.col("text").cast("binary").alias("raw"))
+    groups, hot = substring_dedup.plan_groups(source, 50, 16, 4_000_000, few=10)
+    nodes, least = map(np.concatenate, zip(*(substring_dedup.paths(t.encode(), 50, 16) for t in texts)))
+    assert len(hot) and set(hot.tolist()) <= set(least.tolist())
+    held = np.bincount(substring_dedup.homes(least, nodes, groups, hot), minlength=groups)
+    assert held.max() < 2 * held.mean()
+    got = substring_dedup.dedup_passages(frame(spark, texts).select("doc_id", "text")).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.text) for x in got) == brute_passages(list(enumerate(texts)), 50)
+
+
 def test_passages_without_ids(spark):
     t = " ".join(map(str, range(60)))
     got = substring_dedup.passage_digests(frame(spark, [t, t, t, t], [None, 2, 2, 1])).collect()

@@ -7,11 +7,11 @@ pass.  Such nodes, followed from suffix to suffix, are the maximal repeats.
 
 How it is cut: of the `gram`-word strings in a window the one with the least hash is chosen,
 so equal windows choose equally, wherever they are.  All windows that choose one string are
-neighbours and travel as one run to the group of that string, 8 bytes a window.  Where many
-share a string, the prefix that splits them is lengthened to the whole window: its hash is the
-path of the node, and a batch sends a node with its smallest document only; all others of the
-batch are settled on the spot.  So a passage in a third of all documents reaches its group
-once a batch, and a group never holds more than its share of the suffixes.
+neighbours and travel as one run to the group of that string, 8 bytes a window.  Strings are
+counted first, and where windows in number choose one string, the prefix that deals them is
+lengthened to the whole window: they go to the group of their path's hash, where equal windows
+still meet.  Counts decide on the way alone, never on the result.  A batch sends a node with
+its smallest document only; all others of the batch are settled on the spot.
 
 A node's path is a 64-bit hash of its words.  A null or empty text has no words.  Rows with
 one id do not remove each other's words; a row without an id neither removes nor loses any.
@@ -25,10 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import U64, WordTable, binary, held, in_parts, partitions, row_key, scan_schema, small_batches, text_bytes, window_hashes
+from tidelog.llm.common import U64, WordTable, binary, held, in_parts, partitions, row_key, scan_schema, small_batches, text_bytes, window_hashes, written
 
 WIDTH, GRAM = 50, 16
 SEND_BYTES = 24 << 20
+#: Windows that a group holds, about; windows between two counts of a task; the least share of
+#: these, as 1 / RARE, that is counted; windows of one string that are never split.
+GROUP_WINDOWS, COUNT_WINDOWS, RARE, FEW = 4_000_000, 4_000_000, 1 << 16, 1000
 
 def _words() -> WordTable:
     return held("words", lambda: WordTable(xxhash.xxh64_intdigest, U64))
@@ -70,11 +73,65 @@ def repeated_nodes(nodes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return later
 
 
+def string_counts(source: DataFrame, width: int, gram: int, group_bytes: int) -> DataFrame:
+    """string, n: how many windows choose a string, too low by at most 1 / RARE of all windows; the
+    null string has the number of all."""
+
+    def run(batches):
+        strings, sizes, total, held_now = [], [], 0, 0
+
+        def counted():
+            if not strings:
+                return
+            values, at = np.unique(np.concatenate(strings), return_inverse=True)
+            n = np.bincount(at, np.concatenate(sizes)).astype(np.int64)
+            often = n * RARE >= held_now
+            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], ["string", "n"])
+
+        for batch in in_parts(batches, "raw", group_bytes):
+            for raw in batch.column("raw"):
+                words = raw.as_py().split()
+                if len(words) >= width:
+                    least = least_of_windows(window_hashes(_words().look(words), gram)[0], width - gram + 1)
+                    begin = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+                    strings.append(least[begin])
+                    sizes.append(np.diff(np.append(begin, len(least))))
+                    held_now += len(least)
+            _words().trim()
+            if held_now >= COUNT_WINDOWS:
+                yield from counted()
+                total += held_now
+                strings, sizes, held_now = [], [], 0
+        yield from counted()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total + held_now], pa.int64())], ["string", "n"])
+
+    return source.select("raw").mapInArrow(run, "string long, n long").groupBy("string").agg(F.sum("n").alias("n"))
+
+
+def plan_groups(source: DataFrame, width: int, gram: int, group_bytes: int, few: int = FEW) -> tuple[int, np.ndarray]:
+    """The number of groups, and in order the strings that over a quarter of a group's share choose."""
+    counts = written(string_counts(source, width, gram, group_bytes))
+    total = (counts.where("string is null").first() or [None, 0])[1]
+    groups = max(partitions(source) * 4, -(-total // GROUP_WINDOWS))
+    most = max(few, total // (4 * min(groups, RARE // 8)))
+    hot = counts.where(F.col("string").isNotNull() & (2 * F.col("n") > most)).select("string").collect()
+    return groups, np.sort(np.array([r.string for r in hot], np.int64).view(U64))
+
+
+def homes(least: np.ndarray, nodes: np.ndarray, groups: int, hot: np.ndarray) -> np.ndarray:
+    """The group of each window: that of its string, or of its path where the string is hot."""
+    by = least
+    if len(hot):
+        by = np.where(hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least, nodes, least)
+    return (by % U64(groups)).astype(np.int64)
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, group_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, key (of the text), spans: word spans (begin and end, packed as 64-bit integers)
     that windows cover which a smaller document holds.  A row may have several such rows."""
-    groups = partitions(docs) * 4
     gram = min(gram, width)
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(row_key(text), F.lit(0)).alias("key"), text_bytes(text).alias("raw")).where("doc_id is not null")
+    groups, hot = plan_groups(source, width, gram, group_bytes)
     schema = "home int, doc_id long, key long, spans binary, docs binary, keys binary, cuts binary, nodes binary"
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
@@ -102,14 +159,14 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
             a, b = runs_of(later[offset[i] : offset[i + 1]])
             out.append((i % groups, int(ids[i]), int(keys[i]), spans_of(a, b), None, None, None, None))
         # Of a node that is passed here only its smallest document's suffixes are sent, in runs of
-        # one string.
+        # one group.
         sent = np.flatnonzero(~later)
         if len(sent):
-            s_row, s_least = row[sent], least[sent]
-            new = np.concatenate([[True], (sent[1:] != sent[:-1] + 1) | (s_row[1:] != s_row[:-1]) | (s_least[1:] != s_least[:-1])])
+            s_row, s_home = row[sent], homes(least[sent], nodes[sent], groups, hot)
+            new = np.concatenate([[True], (sent[1:] != sent[:-1] + 1) | (s_row[1:] != s_row[:-1]) | (s_home[1:] != s_home[:-1])])
             begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, len(sent)))
-            home = (s_least[begin] % U64(groups)).astype(np.int64)
+            home = s_home[begin]
             order = np.argsort(home, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], home[order][1:] != home[order][:-1], [True]]))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -140,7 +197,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
             for r in out:
                 if r[7] is not None:
                     waiting.setdefault(r[0], []).append(r)
-                    size += len(r[7])
+                    size += sum(map(len, r[4:]))
             if size >= SEND_BYTES:
                 yield from flushed()
                 waiting.clear()
@@ -184,7 +241,6 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
             heads = at[part[:-1]]
             yield pa.RecordBatch.from_arrays([pa.array(w[heads]), pa.array(k[heads]), binary([spans[a:b].tobytes() for a, b in zip(part[:-1].tolist(), part[1:].tolist())])], ["doc_id", "key", "spans"])
 
-    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(row_key(text), F.lit(0)).alias("key"), text_bytes(text).alias("raw")).where("doc_id is not null")
     return source.mapInArrow(emit, schema).repartitionById(groups, F.col("home")).mapInArrow(build, "doc_id long, key long, spans binary")
 
 
