@@ -130,3 +130,18 @@ def test_flush_batches_restart_at_the_limit(spark):
 def test_prefix_lengths(spark):
     df = spark.createDataFrame([(1, k) for k in ("apple", "apples", "apt", "bar", "éa", "éb")], "file_id long, key string")
     assert {r.key: r.shared for r in segments.prefix_lengths(df).collect()} == {"apple": 0, "apples": 5, "apt": 2, "bar": 0, "éa": 0, "éb": 2}
+
+
+def test_pages_end_at_a_short_page_alone():
+    from tidelog.plans import catalogue
+
+    total = 10_500_250  # keys 0, 1, ...
+
+    def page_after(last):
+        first = 0 if last is None else last + 1
+        n = min(1000, total - first)
+        return None, n, first + n - 1
+
+    pages = list(catalogue.pages_until_short(page_after, 1000))
+    assert len(pages) == 10_501 and sum(n for _, _, n, _ in pages) == total
+    assert pages[-1][3] == total - 1

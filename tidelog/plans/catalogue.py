@@ -131,18 +131,28 @@ def scan_page(spark, d):
     return state.scan_page(fx.ops(spark, d), 20, 25)
 
 
+def pages_until_short(page_after, size: int):
+    """(last key before a page, the page, its rows, its last key) of all pages; page_after(last) gives
+    a page, its rows and its last key.  The page with fewer than `size` rows is the last."""
+    last, n = None, size
+    while n >= size:
+        page, n, key = page_after(last)
+        yield last, page, n, key
+        last = key
+
+
 @query("select key,value,seq from state_a", "state_a")
 def scan_all_pages(spark, d):
     """Pages after the last key, until one is short: all keys once."""
     log = fx.ops(spark, d).select("seq", "op", "key", "value")
-    pages, last = [], None
-    for _ in range(10_000):
+
+    def page_after(last):
         page = state.scan_after(log, last, 1000)
-        rows = page.agg(F.count("*").alias("n"), F.max("key").alias("k")).first()
-        pages.append(state.between(state.current_state(log), None, rows.k).where(F.lit(True) if last is None else F.col("key") > last) if rows.n else page)
-        if rows.n < 1000:
-            break
-        last = rows.k
+        return page, *page.agg(F.count("*"), F.max("key")).first()
+
+    pages = []
+    for last, page, n, key in pages_until_short(page_after, 1000):
+        pages.append(state.between(state.current_state(log), None, key).where(F.lit(True) if last is None else F.col("key") > last) if n else page)
     return metrics.union_all(pages)
 
 
