@@ -423,6 +423,15 @@ def test_secrets(spark):
     assert secret_scan.scan(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_values_after_secret_names():
+    forest = secret_scan.train()
+    found = lambda t: [t[a:b] for a, b in secret_scan.candidates(t) if forest.vote(secret_scan.features(t, a, b)) >= 0.5]
+    assert found('password = "Tr0ubad0r3"') == ["Tr0ubad0r3"]
+    assert "pa$$w0rd!2024xyz" in found("passwd=pa$$w0rd!2024xyz")
+    assert found("pwd: 'qzkvhtrwplmxn'") == ["qzkvhtrwplmxn"]
+    assert found("the key idea gave access to the session room") == []
+
+
 def test_forest_generalises():
     held = secret_scan.labelled_findings(600, seed=99)
     forest = secret_scan.train()

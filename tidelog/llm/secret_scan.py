@@ -1,7 +1,8 @@
 """Secret scans: candidate strings, then a random forest that removes false positives.
 
 Candidates are runs of at least `MIN` characters of `[A-Za-z0-9_+/.\\-]` with a digit or mixed
-case, and up to two `=` after them.  The forest looks at their length, classes and transitions of characters, entropy, the
+case, and up to two `=` after them; and any quoted or unbroken value after a secret name, whatever
+its length and characters.  A value and a run inside it are two candidates.  The forest looks at their length, classes and transitions of characters, entropy, the
 share that dictionary words cover, marks of a path or address, and the words around them.  It is
 trained in numpy on labelled findings; by default these are drawn from a seeded generator of
 keys in assignments on one side, and numbers, paths, identifiers, hashes of files, dates and
@@ -36,6 +37,8 @@ NEAR_WORD = re.compile(r"[A-Za-z]+")
 SECRET_NAMES = frozenset("token secret password passwd pwd key apikey auth credential credentials bearer access private session".split())
 PLAIN_NAMES = frozenset("commit sha md5 checksum hash digest version build order invoice card account phone id uuid isbn issue page file path url date see example".split())
 DICTIONARY = tuple("example test demo sample user name file data index page http https www com org net html main home local usr bin src lib config version license apache public static image report release build order number the and for with from this that".split())
+#: A secret name with what may stand between it and its value, then the value: quoted, or unbroken.
+ASSIGNED = re.compile(r"(?<![A-Za-z])(?:%s)(?![A-Za-z])[0-9]*[\"']?(?:\s*(?::=|=>|==?|:)\s*|[ \t]+)(?:\"([^\"\n]+)\"|'([^'\n]+)'|(\S+))" % "|".join(sorted(SECRET_NAMES, key=len, reverse=True)), re.I)
 PUNCTUATED = "=:\"'"
 
 
@@ -87,6 +90,12 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int
         lambda: ("mail ", word() + "." + word() + pick(string.digits, 2) + "." + word() + ".example.com"),
         lambda: (r.choice(["token = \"", "key = '", "password: "]), r.choice(["example", "test", "sample"]) + "_" + word() + "_" + r.choice(["data", "value1", "name2", "user01"])),
     ]
+    common = ["the", "to", "of", "is", "required", "and", "value", "none", "in", "was"]
+    harmless += [
+        lambda: (r.choice(["key ", "access ", "the secret ", "private ", "session ", "password ", "token "]), r.choice([word(), r.choice(common)])),
+        lambda: (r.choice(["key: ", "session: ", "access: ", "token "]), r.choice([word(), r.choice(common), str(r.randint(1, 99))])),
+        lambda: (r.choice(["key ", "session "]), str(r.randint(1, 999))),
+    ]
     names = ["token", "api_key", "secret", "password", "auth_token", "access key", "private key", "TOKEN", "apikey", "session token"]
     joins = [" = \"", "=\"", ": ", "=", " = '", ": \"", " "]
     bodies = [lambda: pick(hexa, r.choice([32, 40, 40, 64])), lambda: pick(hexa.upper(), 40), lambda: pick(alnum, r.randint(20, 48)), lambda: pick(alnum + "+/", r.randint(24, 60)) + "==", lambda: pick(string.ascii_uppercase + string.digits, 20), lambda: word()[:3] + "_" + pick(alnum, 36)]
@@ -96,6 +105,9 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int
         right = r.choice(["", "\"", " ", "' ", "\" "]) + " ".join(word() for _ in range(r.randint(0, 5)))
         if i % 2:
             head, body = r.choice(names) + r.choice(joins), r.choice(bodies)()
+            if i % 6 == 1:  # short, broken by other characters, or of small letters alone
+                head = r.choice(["password", "passwd", "pwd", "db_password", "secret"]) + r.choice(joins[:6])
+                body = r.choice([lambda: pick(alnum, r.randint(6, 15)), lambda: pick(alnum + "!$%&*#@^", r.randint(8, 20)), lambda: pick(string.ascii_lowercase, r.randint(8, 24)), lambda: word().title() + pick(string.digits, 4) + pick("!$#", 1)])()
         else:
             head, body = r.choice(harmless)()
         begin = len(left) + len(head)
@@ -159,8 +171,24 @@ def train(findings=None, **options) -> Forest:
     return Forest(**options).fit(x, np.array([y for *_, y in found], float))
 
 
+def assigned(text: str) -> list[tuple[int, int]]:
+    """Values after secret names; unbroken ones without quotes and stops at their edges."""
+    out, at = [], 0
+    while m := ASSIGNED.search(text, at):
+        begin, end = m.span(m.lastindex)
+        at = begin  # the value may be a name itself
+        if m.lastindex == 3:
+            value = m.group(3)
+            begin += len(value) - len(value.lstrip("\"'`("))
+            end -= len(value) - len(value.rstrip("\"'`,;.:)]}>"))
+        if begin < end:
+            out.append((begin, end))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if MIXED.search(m.group())]
+    runs = [m.span() for m in CANDIDATE.finditer(text) if MIXED.search(m.group())]
+    return sorted({*runs, *assigned(text)})
 
 
 def scan(docs: DataFrame, text: str = "text", forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
