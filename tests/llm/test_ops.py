@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, components, decontamination, line_dedup, quality_classifier, quality_rules, queries, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from tidelog.llm import bpe, common, components, decontamination, line_dedup, quality_classifier, quality_rules, queries, secret_scan, simhash, substring_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "\n\n", "a", "x" * 30_000, "é" * 50, "\u3000\x1c\x85 y", "one two three"]
@@ -473,23 +473,75 @@ def test_passages(spark, corpus, width):
     assert substring_dedup.passage_digests(df.limit(0)).count() == 0
 
 
-def test_hot_strings_are_split(spark):
-    """A shared line of 20 words amid different texts: its windows spread over the groups, and copies still meet."""
+def loads(texts, width, gram, groups, hot):
+    """Suffixes of each group."""
+    out = np.zeros(groups, np.int64)
+    for t in texts:
+        words = np.array([xxhash.xxh64_intdigest(w) for w in t.encode().split()], np.uint64)
+        _, ends, _ = substring_dedup.prefixes(words, width, gram, hot)
+        out += np.bincount((ends % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return out
+
+
+@pytest.mark.parametrize("n", [16, 20, 24, 49])
+def test_hot_strings_are_split(spark, n):
+    """One phrase in every document amid different texts: prefixes that end in it are lengthened, so that no
+    group has three times the mean, and copies still meet."""
     r = random.Random(21)
     say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
-    line = say(20)
-    texts = [f"{say(45)} {line} {say(45)}" for _ in range(120)]
+    line = say(n)
+    texts = [f"{say(45)} {line} {say(45)}" for _ in range(240)]
     texts += texts[:10]
     source = frame(spark, texts).select("doc_id", F.col("text").cast("binary").alias("raw"))
     groups, hot = substring_dedup.plan_groups(source, 50, 16, 4_000_000, few=10)
-    nodes, least = map(np.concatenate, zip(*(substring_dedup.paths(t.encode(), 50, 16) for t in texts)))
-    assert len(hot) and set(hot.tolist()) <= set(least.tolist())
-    held = np.bincount(substring_dedup.homes(least, nodes, groups, hot), minlength=groups)
-    assert held.max() < 2 * held.mean()
+    assert groups == 16 and n - 15 <= len(hot) <= n + 15
+    held = loads(texts, 50, 16, groups, hot)
+    assert held.max() < 3 * held.mean()
     got = substring_dedup.dedup_passages(frame(spark, texts).select("doc_id", "text")).collect()
     assert sorted((x.doc_id, x.n_words, x.n_removed, x.text) for x in got) == brute_passages(list(enumerate(texts)), 50)
 
 
+def test_groups_grow_with_the_suffixes(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(100)]
+    source = frame(spark, texts).select("doc_id", F.col("text").cast("binary").alias("raw"))
+    monkeypatch.setattr(substring_dedup, "GROUP_WINDOWS", 10)
+    assert substring_dedup.plan_groups(source, 50, 16, 4_000_000)[0] == 110
+    assert substring_dedup.plan_groups(source.limit(0), 50, 16, 4_000_000)[0] == 16
+
+
+def test_words_decide_not_hashes(monkeypatch):
+    """Nodes, strings and texts whose hashes collide."""
+    r = random.Random(5)
+    words = np.array([r.randrange(3) for _ in range(600)])
+    want = np.unique([words[i : i + 7].tolist() for i in range(594)], axis=0, return_inverse=True)[1].ravel()
+    place = substring_dedup.sorted_places(np.append(words, [0] * 7), 7)[:594]
+    assert (np.unique(place, return_inverse=True)[1] == want).all()
+    nodes, doc, at = (want % 5).astype(np.uint64), np.arange(594) // 50, np.arange(594)
+    assert not substring_dedup.agree(words, at, substring_dedup.first_passes(nodes, doc), 7)
+    assert substring_dedup.agree(words, at, substring_dedup.first_passes(want.astype(np.uint64), doc), 7)
+
+
+@pytest.mark.parametrize("few", [2, 100])
+def test_passages_with_colliding_hashes(spark, corpus, monkeypatch, few):
+    """Hashes of six bits: the words decide all the same, with prefixes of either kind."""
+    original, hashes = substring_dedup.prefixes, common.window_hashes
+
+    def prefixes(*args):  # goes to the workers by value
+        substring_dedup.window_hashes = lambda words, *widths: [h % np.uint64(61) for h in hashes(words, *widths)]
+        try:
+            return original(*args)
+        finally:
+            substring_dedup.window_hashes = hashes
+
+    monkeypatch.setattr(substring_dedup, "prefixes", prefixes)
+    monkeypatch.setattr(substring_dedup, "FEW", few)
+    texts = [t for t in corpus if len(t or "") < 3000][:30]
+    texts += ["to be " * 60, "x to be " + "to be " * 40]
+    df = frame(spark, texts, [99 - i for i in range(len(texts))]).select("doc_id", "text")
+    got = substring_dedup.dedup_passages(df, width=12).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == brute_passages([(99 - i, t) for i, t in enumerate(texts)], 12)
+
+
 def test_passages_without_ids(spark):
     t = " ".join(map(str, range(60)))
     got = substring_dedup.passage_digests(frame(spark, [t, t, t, t], [None, 2, 2, 1])).collect()

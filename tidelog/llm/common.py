@@ -94,8 +94,12 @@ class WordTable(dict):
             self.clear()
             self.n = 0
 
+    def places(self, words: list) -> np.ndarray:
+        """Numbers of the words, which stay until `trim`: one word, one number."""
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
     def look(self, words: list) -> np.ndarray:
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        at = self.places(words)  # first, as it may replace the rows
         return self.rows[at]
 
 

@@ -1,20 +1,29 @@
 """Removal of long passages that an earlier document holds.
 
-The suffixes of all documents, one a word, form a suffix tree that is cut below its root:
-suffixes go to groups by a prefix, each group's subtree is built in memory, and only its deep
-internal nodes matter, those `width` words below the root that suffixes of several documents
-pass.  Such nodes, followed from suffix to suffix, are the maximal repeats.
-
-How it is cut: of the `gram`-word strings in a window the one with the least hash is chosen,
-so equal windows choose equally, wherever they are.  All windows that choose one string are
-neighbours and travel as one run to the group of that string, 8 bytes a window.  Strings are
-counted first, and where windows in number choose one string, the prefix that deals them is
-lengthened to the whole window: they go to the group of their path's hash, where equal windows
-still meet.  Counts decide on the way alone, never on the result.  A batch sends a node with
-its smallest document only; all others of the batch are settled on the spot.
-
-A node's path is a 64-bit hash of its words.  A null or empty text has no words.  Rows with
-one id do not remove each other's words; a row without an id neither removes nor loses any.
+The suffixes of all documents, one a word, form a suffix tree, of which the internal nodes that
+lie `width` words below the root and that suffixes of several documents pass are the maximal
+repeats.  The tree is cut below its root by prefixes of variable length, so that each part fits
+in memory:
+
+* A suffix's prefix reaches from its first word through a string of `gram` words: the one with
+  the least hash in its first `width` words.  Suffixes with equal first `width` words have equal
+  prefixes, wherever they are; a prefix ends where its string ends, so prefixes of neighbours
+  mostly end in one string, and such suffixes travel together, as one stretch of text.
+* Strings are counted first.  A prefix does not end in a string that many suffixes hold: it is
+  lengthened to the least of the other strings, and where there is no other, to `width` words.
+* Prefixes that end in one string go to one group; groups are sized by the number of suffixes.
+
+In its group, a string that one document alone holds is the root of leaves and is left at once.
+Of the others the subtrees are built, by bundles of strings of bounded size: suffixes are sorted by
+their words up to depth `width`, and a node is a run of suffixes that agree so far.  Deeper nodes
+remove nothing more.  Words are compared as they are; hashes only deal suffixes out.
+
+A batch sends a node with its smallest document only; all others of the batch are settled on
+the spot, and so are those of nodes which all batches hold, if their task has sent a smaller document.
+Counts decide on the way alone, never on the result.
+
+A null or empty text has no words.  Rows with one id do not remove each other's words; a row
+without an id neither removes nor loses any.
 """
 
 from __future__ import annotations
@@ -28,10 +37,15 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import U64, WordTable, binary, held, in_parts, partitions, row_key, scan_schema, small_batches, text_bytes, window_hashes, written
 
 WIDTH, GRAM = 50, 16
-SEND_BYTES = 24 << 20
-#: Windows that a group holds, about; windows between two counts of a task; the least share of
-#: these, as 1 / RARE, that is counted; windows of one string that are never split.
-GROUP_WINDOWS, COUNT_WINDOWS, RARE, FEW = 4_000_000, 4_000_000, 1 << 16, 1000
+SEND_BYTES = 48 << 20
+#: Suffixes that a group holds, about; words of the texts whose subtrees are built at once, about;
+#: nodes sent by a task that it remembers.
+GROUP_WINDOWS, BUNDLE_WORDS, REMEMBERED = 2_000_000, 1_000_000, 20_000
+#: Words between two counts of a task; the least share of these, as 1 / RARE, that is counted; suffixes
+#: that may share a string always; the share of a group that may, as 1 / PART.
+COUNT_WORDS, RARE, FEW, PART = 4_000_000, 1 << 18, 100, 64
+NONE = U64(0xFFFFFFFFFFFFFFFF)
+
 
 def _words() -> WordTable:
     return held("words", lambda: WordTable(xxhash.xxh64_intdigest, U64))
@@ -47,13 +61,22 @@ def least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def paths(raw: bytes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of every window its node's path, and the hash of the string that it chooses."""
-    words = raw.split()  # of bytes: at 09-0D and 20 alone
-    if len(words) < width:
-        return np.zeros(0, U64), np.zeros(0, U64)
-    grams, nodes = window_hashes(_words().look(words), gram, width)
-    return nodes, least_of_windows(grams, width - gram + 1)
+def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def prefixes(values: np.ndarray, width: int, gram: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of a text's word hashes: its node's hash, the hash that its prefix ends in,
+    and whether the prefix is the whole window."""
+    if len(values) < width:
+        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
+    grams, nodes = window_hashes(values, gram, width)
+    least = least_of_windows(np.where(is_in(grams, hot), NONE, grams), width - gram + 1)
+    whole = least == NONE
+    return nodes, np.where(whole, nodes, least), whole
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,68 +85,121 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def repeated_nodes(nodes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which suffixes pass a node that a smaller document's suffix passes."""
+def heads_of(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def first_passes(nodes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each suffix the one with the smallest document that passes the same node."""
     order = np.lexsort((doc, nodes))
-    n, d = nodes[order], doc[order]
-    new = np.append(True, n[1:] != n[:-1]) if len(n) else np.zeros(0, bool)
-    least = d[np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))] if len(n) else d
-    later = np.zeros(len(n), bool)
-    later[order] = d > least
-    return later
+    heads = heads_of(nodes[order])
+    out = np.empty(len(nodes), np.int64)
+    out[order] = np.repeat(order[heads], np.diff(np.append(heads, len(nodes))))
+    return out
+
+
+def agree(words: np.ndarray, at: np.ndarray, other: np.ndarray, width: int) -> bool:
+    """Whether the `width` words from `at` are those from `other`; both ascend in stretches."""
+    far = at != other
+    if not far.any():
+        return True
+    if not np.array_equal(words[at[far] + width - 1], words[other[far] + width - 1]):
+        return False
+    # Where a window follows a window that agrees, and so does its twin, the last word is enough.
+    follows = np.zeros(len(at), bool)
+    follows[1:] = far[1:] & far[:-1] & (at[1:] == at[:-1] + 1) & (other[1:] == other[:-1] + 1)
+    begin = far & ~follows
+    a, b = at[begin], other[begin]
+    return all(np.array_equal(words[a + k], words[b + k]) for k in range(width - 1))
+
+
+def sorted_places(words: np.ndarray, width: int) -> np.ndarray:
+    """The place of every suffix among the sorted suffixes, as far as `width` words tell (suffixes that
+    agree share it).  The array must hold `width` more values than there are suffixes."""
+    rank, depth = np.unique(words, return_inverse=True)[1].astype(np.int64), 1
+    while depth < width:
+        step = min(depth, width - depth)
+        pair = rank[:-step] * (int(rank.max()) + 1) + rank[step:]
+        rank, depth = np.unique(pair, return_inverse=True)[1].astype(np.int64), depth + step
+    return rank
+
+
+def subtree_passes(texts: list[bytes], sizes: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
+    """Of all suffixes (`sizes` of each text, in order) the smallest document that passes their node;
+    `least` is the smallest document that holds each text."""
+    number: dict[bytes, int] = {}
+    words = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t.split(b" ")), np.int64)
+    lengths = sizes + width - 1
+    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    place = sorted_places(np.concatenate([words, np.zeros(width, np.int64)]), width)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    inner = np.arange(len(text)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    node = place[begin[text] + inner]
+    order = np.argsort(node, kind="stable")
+    heads = heads_of(node[order])
+    smallest = np.minimum.reduceat(least[text][order], heads)
+    out = np.empty(len(node), np.int64)
+    out[order] = np.repeat(smallest, np.diff(np.append(heads, len(node))))
+    return out
 
 
 def string_counts(source: DataFrame, width: int, gram: int, group_bytes: int) -> DataFrame:
-    """string, n: how many windows choose a string, too low by at most 1 / RARE of all windows; the
-    null string has the number of all."""
+    """string, n: how often a string of `gram` words occurs, too low by at most 1 / RARE of all words; the
+    null string has the number of all suffixes of `width` words at least."""
 
     def run(batches):
-        strings, sizes, total, held_now = [], [], 0, 0
+        strings, total, held_now = [], 0, 0
 
         def counted():
-            if not strings:
-                return
-            values, at = np.unique(np.concatenate(strings), return_inverse=True)
-            n = np.bincount(at, np.concatenate(sizes)).astype(np.int64)
-            often = n * RARE >= held_now
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], ["string", "n"])
+            if strings:
+                values = np.sort(np.concatenate(strings))
+                heads = heads_of(values)
+                n = np.diff(np.append(heads, len(values)))
+                often = n * RARE >= len(values)
+                yield pa.RecordBatch.from_arrays([pa.array(values[heads][often].view(np.int64)), pa.array(n[often])], ["string", "n"])
 
         for batch in in_parts(batches, "raw", group_bytes):
             for raw in batch.column("raw"):
-                words = raw.as_py().split()
+                words = raw.as_py().split()  # of bytes: at 09-0D and 20 alone
                 if len(words) >= width:
-                    least = least_of_windows(window_hashes(_words().look(words), gram)[0], width - gram + 1)
-                    begin = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-                    strings.append(least[begin])
-                    sizes.append(np.diff(np.append(begin, len(least))))
-                    held_now += len(least)
+                    strings.append(window_hashes(_words().look(words), gram)[0])
+                    held_now += len(strings[-1])
+                    total += len(words) - width + 1
             _words().trim()
-            if held_now >= COUNT_WINDOWS:
+            if held_now >= COUNT_WORDS:
                 yield from counted()
-                total += held_now
-                strings, sizes, held_now = [], [], 0
+                strings, held_now = [], 0
         yield from counted()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total + held_now], pa.int64())], ["string", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["string", "n"])
 
     return source.select("raw").mapInArrow(run, "string long, n long").groupBy("string").agg(F.sum("n").alias("n"))
 
 
 def plan_groups(source: DataFrame, width: int, gram: int, group_bytes: int, few: int = FEW) -> tuple[int, np.ndarray]:
-    """The number of groups, and in order the strings that over a quarter of a group's share choose."""
+    """The number of groups, and in order the strings that no prefix ends in.
+
+    A string is one if it occurs more often than 1 / PART of a group's suffixes, or than 2 / RARE of all words
+    where groups are more than that allows: so there are fewer than RARE of them, 2 MB."""
     counts = written(string_counts(source, width, gram, group_bytes))
     total = (counts.where("string is null").first() or [None, 0])[1]
     groups = max(partitions(source) * 4, -(-total // GROUP_WINDOWS))
-    most = max(few, total // (4 * min(groups, RARE // 8)))
+    most = max(few, total // min(groups * PART, RARE // 2))
     hot = counts.where(F.col("string").isNotNull() & (2 * F.col("n") > most)).select("string").collect()
     return groups, np.sort(np.array([r.string for r in hot], np.int64).view(U64))
 
 
-def homes(least: np.ndarray, nodes: np.ndarray, groups: int, hot: np.ndarray) -> np.ndarray:
-    """The group of each window: that of its string, or of its path where the string is hot."""
-    by = least
-    if len(hot):
-        by = np.where(hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least, nodes, least)
-    return (by % U64(groups)).astype(np.int64)
+def packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+#: A stretch of suffixes whose prefixes end in one string: document, key, string, first suffix, number
+#: of suffixes, bytes of its text.
+STRETCH = np.dtype([("doc", "<i8"), ("key", "<i8"), ("string", "<u8"), ("first", "<i4"), ("size", "<i4"), ("bytes", "<i4")])
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, group_bytes: int = 4_000_000) -> DataFrame:
@@ -132,72 +208,93 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
     gram = min(gram, width)
     source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(row_key(text), F.lit(0)).alias("key"), text_bytes(text).alias("raw")).where("doc_id is not null")
     groups, hot = plan_groups(source, width, gram, group_bytes)
-    schema = "home int, doc_id long, key long, spans binary, docs binary, keys binary, cuts binary, nodes binary"
+    schema = "home int, doc_id long, key long, spans binary, stretches binary, texts binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
 
     def spans_of(starts, ends):  # of runs of windows
         return np.stack([starts, ends + width - 1], 1).astype("<i8").tobytes()
 
-    def scan(rows):
-        """One group of documents: what is settled here, and the runs to send."""
-        node_list, least_list, lengths = [], [], []
-        for _, _, raw in rows:
-            nodes, least = paths(raw, width, gram)
-            node_list.append(nodes)
-            least_list.append(least)
-            lengths.append(len(nodes))
-        _words().trim()
-        nodes, least = np.concatenate(node_list), np.concatenate(least_list)
+    def scan(rows, sent_before: dict):
+        """One batch of documents: what is settled here, and for each group the stretches to send."""
+        table = _words()
+        split = [raw.split() for _, _, raw in rows]
+        numbers = [table.places(w) for w in split]
+        node_list, end_list, whole_list = zip(*(prefixes(table.rows[n], width, gram, hot) for n in numbers))
+        lengths = np.array([len(x) for x in node_list], np.int64)
+        nodes, ends, whole = np.concatenate(node_list), np.concatenate(end_list), np.concatenate(whole_list)
         row = np.repeat(np.arange(len(rows)), lengths)
         ids = np.array([r[0] for r in rows], np.int64)
-        keys = np.array([r[1] for r in rows], np.int64)
-        later = repeated_nodes(nodes, ids[row])
-        out = []
         offset = np.concatenate([[0], np.cumsum(lengths)])
+        words = np.concatenate(numbers)
+        word_at = np.concatenate([[0], np.cumsum([len(w) for w in split])])
+        place = np.arange(len(nodes)) - offset[row] + word_at[row]  # of each window among all words
+        first = first_passes(nodes, ids[row])
+        if not agree(words, place, place[first], width):  # two different windows with one hash
+            exact = sorted_places(np.concatenate([words, np.zeros(width, np.int64)]), width)
+            first = first_passes(exact[place], ids[row])
+        later = ids[row] > ids[row[first]]
+        table.trim()
+        joined = [b" ".join(w) for w in split]
+        cuts = [np.concatenate([[0], np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)]) for w in split]
+
+        def text_of(i: int, a: int, size: int) -> bytes:
+            return joined[i][cuts[i][a] : cuts[i][a + size + width - 1] - 1]
+
+        # Nodes that are dealt by themselves may be in every batch: a task sends the smallest documents alone.
+        for at in np.flatnonzero(whole & ~later).tolist():
+            i, doc = int(row[at]), int(ids[row[at]])
+            window = text_of(i, at - int(offset[i]), 1)
+            before = sent_before.get(window)
+            if before is not None and before < doc:
+                later[at] = True
+            elif before is None or doc < before:
+                if len(sent_before) >= REMEMBERED:
+                    sent_before.clear()
+                sent_before[window] = doc
+        settled = []
         for i in np.unique(row[later]).tolist():
             a, b = runs_of(later[offset[i] : offset[i + 1]])
-            out.append((i % groups, int(ids[i]), int(keys[i]), spans_of(a, b), None, None, None, None))
-        # Of a node that is passed here only its smallest document's suffixes are sent, in runs of
-        # one group.
+            settled.append((i % groups, int(ids[i]), int(rows[i][1]), spans_of(a, b), None, None))
         sent = np.flatnonzero(~later)
-        if len(sent):
-            s_row, s_home = row[sent], homes(least[sent], nodes[sent], groups, hot)
-            new = np.concatenate([[True], (sent[1:] != sent[:-1] + 1) | (s_row[1:] != s_row[:-1]) | (s_home[1:] != s_home[:-1])])
-            begin = np.flatnonzero(new)
-            size = np.diff(np.append(begin, len(sent)))
-            home = s_home[begin]
-            order = np.argsort(home, kind="stable")
-            cut = np.flatnonzero(np.concatenate([[True], home[order][1:] != home[order][:-1], [True]]))
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                own = order[a:b]
-                at = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(size[own])[:-1]]), size[own]) + np.arange(size[own].sum())
-                who = s_row[begin[own]]
-                start = sent[begin[own]] - offset[who]
-                out.append((int(home[order[a]]), None, None, None, ids[who].tobytes(), keys[who].tobytes(), np.stack([start, size[own]], 1).astype("<i4").tobytes(), nodes[sent[at]].tobytes()))
-        return out
+        if not len(sent):
+            return settled, []
+        new = np.append(True, (sent[1:] != sent[:-1] + 1) | (row[sent[1:]] != row[sent[:-1]]) | (ends[sent[1:]] != ends[sent[:-1]]))
+        begin = np.flatnonzero(new)
+        stretch = np.zeros(len(begin), STRETCH)
+        who = row[sent[begin]]
+        stretch["doc"], stretch["key"] = ids[who], np.array([r[1] for r in rows], np.int64)[who]
+        stretch["string"], stretch["first"], stretch["size"] = ends[sent[begin]], sent[begin] - offset[who], np.diff(np.append(begin, len(sent)))
+        home = (stretch["string"] % U64(groups)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        texts = [text_of(i, a, n) for i, a, n in zip(who[order].tolist(), stretch["first"][order].tolist(), stretch["size"][order].tolist())]
+        stretch, home = stretch[order], home[order]
+        stretch["bytes"] = list(map(len, texts))
+        heads = np.append(heads_of(home), len(home)).tolist()
+        return settled, [(int(home[a]), stretch[a:b].tobytes(), b"".join(texts[a:b])) for a, b in zip(heads[:-1], heads[1:])]
 
     def emit(batches):
-        """What is sent to one group is gathered over many groups of documents, so that rows stay
-        large however many groups there are."""
+        """What is sent to one group is gathered over many batches, so that rows stay large however
+        many groups there are."""
         waiting: dict[int, list[tuple]] = {}
+        sent_before: dict[bytes, int] = {}
         size = 0
 
         def flushed():
-            rows = [(home, None, None, None, *(b"".join(p[i] for p in parts) for i in range(4, 8))) for home, parts in waiting.items()]
+            rows = [(home, None, None, None, packed(b"".join(p[1] for p in parts)), packed(b"".join(p[2] for p in parts))) for home, parts in waiting.items()]
             for i in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256]), types)], names)
 
         for batch in in_parts(batches, "raw", group_bytes):
             rows = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            out = scan(rows) if rows else []
-            done = [r for r in out if r[7] is None]
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
-            for r in out:
-                if r[7] is not None:
-                    waiting.setdefault(r[0], []).append(r)
-                    size += sum(map(len, r[4:]))
+            if not rows:
+                continue
+            settled, sent = scan(rows, sent_before)
+            if settled:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*settled), types)], names)
+            for part in sent:
+                waiting.setdefault(part[0], []).append(part)
+                size += len(part[1]) + len(part[2])
             if size >= SEND_BYTES:
                 yield from flushed()
                 waiting.clear()
@@ -205,41 +302,74 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
         yield from flushed()
 
     def build(batches):
-        """A task's subtrees."""
-        who, keys, cuts, nodes = [], [], [], []
+        """A group's subtrees."""
+        blobs, stretches = [], []
         for batch in batches:
-            got = [batch.column(i).to_pylist() for i in range(1, 8)]
+            got = [batch.column(i).to_pylist() for i in range(1, 6)]
             settled = [i for i, x in enumerate(got[2]) if x is not None]
             yield pa.RecordBatch.from_arrays([pa.array([got[0][i] for i in settled], pa.int64()), pa.array([got[1][i] for i in settled], pa.int64()), binary([got[2][i] for i in settled])], ["doc_id", "key", "spans"])
-            for d, k, c, n in zip(*got[3:]):
-                if n is not None:
-                    who.append(np.frombuffer(d, np.int64))
-                    keys.append(np.frombuffer(k, np.int64))
-                    cuts.append(np.frombuffer(c, "<i4").reshape(-1, 2))
-                    nodes.append(np.frombuffer(n, U64))
-        if not who:
+            for s, t in zip(got[3], got[4]):
+                if s is not None:
+                    stretches.append(np.frombuffer(unpacked(s), STRETCH))
+                    blobs.append(t)
+        if not stretches:
             return
-        who, keys, cuts, nodes = map(np.concatenate, (who, keys, cuts, nodes))
-        run = np.repeat(np.arange(len(who)), cuts[:, 1])
-        later = repeated_nodes(nodes, who[run])
-        begin = np.concatenate([[0], np.cumsum(cuts[:, 1])])
-        place = np.arange(len(nodes)) - begin[run] + cuts[run, 0]
-        hit = np.flatnonzero(later)
-        if not len(hit):
+        # Strings of one document are roots of leaves.
+        every = np.concatenate([s[["doc", "string"]] for s in stretches])
+        order = np.argsort(every["string"], kind="stable")
+        heads = heads_of(every["string"][order])
+        doc = every["doc"][order]
+        shared = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
+        stays = np.empty(len(every), bool)
+        stays[order] = np.repeat(shared, np.diff(np.append(heads, len(every))))
+        del every, order, doc
+        kept, texts, begin = [], [], 0
+        for i, s in enumerate(stretches):
+            own = np.flatnonzero(stays[begin : begin + len(s)])
+            begin += len(s)
+            if len(own):
+                whole, cut = unpacked(blobs[i]), np.concatenate([[0], np.cumsum(s["bytes"], dtype=np.int64)])
+                texts += [whole[a:b] for a, b in zip(cut[own].tolist(), cut[own + 1].tolist())]
+                kept.append(s[own])
+            blobs[i] = stretches[i] = None
+        if not kept:
             return
-        order = np.lexsort((place[hit], keys[run[hit]], who[run[hit]]))
-        hit = hit[order]
-        w, k, p = who[run[hit]], keys[run[hit]], place[hit]
-        new_row = np.concatenate([[True], (w[1:] != w[:-1]) | (k[1:] != k[:-1])])
-        new_run = new_row | np.concatenate([[True], p[1:] > p[:-1] + 1])
-        at = np.flatnonzero(new_run)
-        last = np.append(at[1:], len(p)) - 1
-        spans = np.stack([p[at], p[last] + width], 1).astype("<i8")
-        of_row = np.flatnonzero(np.append(new_row[at], True))
-        for i in range(0, len(of_row) - 1, 5000):
-            part = of_row[i : i + 5001]
-            heads = at[part[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(w[heads]), pa.array(k[heads]), binary([spans[a:b].tobytes() for a, b in zip(part[:-1].tolist(), part[1:].tolist())])], ["doc_id", "key", "spans"])
+        kept = np.concatenate(kept)
+        order = np.argsort(kept["string"], kind="stable")
+        heads = heads_of(kept["string"][order])
+        # Bundles of whole strings.
+        words = np.add.reduceat((kept["size"][order] + width - 1).astype(np.int64), heads)
+        bundle = np.cumsum(words) // BUNDLE_WORDS
+        cuts = np.append(heads[heads_of(bundle)], len(order)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield from bundle_spans(kept[order[a:b]], [texts[i] for i in order[a:b].tolist()])
+
+    def bundle_spans(own, texts):
+        number: dict[bytes, int] = {}
+        which = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
+        sizes, least = np.zeros(len(number), np.int64), np.full(len(number), np.iinfo(np.int64).max)
+        sizes[which] = own["size"]
+        np.minimum.at(least, which, own["doc"])
+        passes = subtree_passes(list(number), sizes, least, width)
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        # Of a text that only its smallest document holds, and that smaller ones pass nowhere, nothing goes.
+        first_of = np.minimum.reduceat(passes, begin[:-1])
+        hit = np.flatnonzero(first_of[which] < own["doc"])
+        hit = hit[np.lexsort((own["first"][hit], own["key"][hit], own["doc"][hit]))]
+        rows: list[tuple[int, int, bytes]] = []
+        at = None
+        for i in hit.tolist():
+            u = which[i]
+            a, b = runs_of(passes[begin[u] : begin[u + 1]] < own["doc"][i])
+            spans = spans_of(a + own["first"][i], b + own["first"][i])
+            if at == (own["doc"][i], own["key"][i]):
+                rows[-1][2].append(spans)
+            else:
+                at = (own["doc"][i], own["key"][i])
+                rows.append((int(at[0]), int(at[1]), [spans]))
+        for i in range(0, len(rows), 5000):
+            part = rows[i : i + 5000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), binary([b"".join(r[2]) for r in part])], ["doc_id", "key", "spans"])
 
     return source.mapInArrow(emit, schema).repartitionById(groups, F.col("home")).mapInArrow(build, "doc_id long, key long, spans binary")
 
