@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import U64, WordTable, binary, held, in_parts, partitions, row_key, scan_schema, small_batches, text_bytes, window_hashes, written
 
-WIDTH, GRAM = 50, 16
-SEND_BYTES = 48 << 20
+WIDTH, GRAM = 50, 8
+SEND_BYTES = 16 << 20
 #: Suffixes that a group holds, about; words of the texts whose subtrees are built at once, about;
 #: nodes sent by a task that it remembers.
 GROUP_WINDOWS, BUNDLE_WORDS, REMEMBERED = 2_000_000, 1_000_000, 20_000
-#: Words between two counts of a task; the least share of these, as 1 / RARE, that is counted; suffixes
-#: that may share a string always; the share of a group that may, as 1 / PART.
-COUNT_WORDS, RARE, FEW, PART = 4_000_000, 1 << 18, 100, 64
+#: Words between two counts of a task; the least share of these, as 1 / RARE, that is counted; places
+#: that a string may always have; the share of a group's suffixes that it may have, as 1 / PART.
+COUNT_WORDS, RARE, FEW, PART = 2_000_000, 1 << 18, 100, 20
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -61,20 +61,37 @@ def least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Which values are in an ordered array."""
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+class Strings:
+    """A set of hashes; most others are told by their low bits."""
 
+    def __init__(self, ordered: np.ndarray):
+        self.ordered, self.low = ordered, np.zeros(1 << 20, bool)
+        self.low[(ordered & U64((1 << 20) - 1)).astype(np.int64)] = True
 
-def prefixes(values: np.ndarray, width: int, gram: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of a text's word hashes: its node's hash, the hash that its prefix ends in,
-    and whether the prefix is the whole window."""
+    def hold(self, values: np.ndarray) -> np.ndarray:
+        out = self.low[(values & U64((1 << 20) - 1)).astype(np.int64)]
+        at = np.flatnonzero(out)
+        out[at] = self.ordered[np.minimum(np.searchsorted(self.ordered, values[at]), len(self.ordered) - 1)] == values[at] if len(self.ordered) else False
+        return out
+
+
+def starts_of(lengths: np.ndarray, width: int) -> np.ndarray:
+    """Of texts that lie one after another the places where a window of each may begin."""
+    end = np.cumsum(lengths)
+    free = np.ones(int(end[-1]) if len(end) else 0, bool)
+    for e, n in zip(end[lengths > 0].tolist(), lengths[lengths > 0].tolist()):
+        free[e - min(n, width - 1) : e] = False
+    return np.flatnonzero(free)
+
+
+def prefixes(values: np.ndarray, starts: np.ndarray, width: int, gram: int, hot: Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of word hashes at `starts`: the node's hash, the hash that the prefix ends in, and
+    whether the prefix is the whole window."""
     if len(values) < width:
         return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
     grams, nodes = window_hashes(values, gram, width)
-    least = least_of_windows(np.where(is_in(grams, hot), NONE, grams), width - gram + 1)
+    grams[hot.hold(grams)] = NONE
+    nodes, least = nodes[starts], least_of_windows(grams, width - gram + 1)[starts]
     whole = least == NONE
     return nodes, np.where(whole, nodes, least), whole
 
@@ -91,11 +108,14 @@ def heads_of(ordered: np.ndarray) -> np.ndarray:
 
 
 def first_passes(nodes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of each suffix the one with the smallest document that passes the same node."""
-    order = np.lexsort((doc, nodes))
+    """Of each suffix the first of those with the smallest document that pass the same node."""
+    n = len(nodes)
+    order = np.argsort(nodes)
     heads = heads_of(nodes[order])
-    out = np.empty(len(nodes), np.int64)
-    out[order] = np.repeat(order[heads], np.diff(np.append(heads, len(nodes))))
+    rank = np.unique(doc, return_inverse=True)[1]
+    least = np.minimum.reduceat(rank[order] * n + order, heads) % n if n else order
+    out = np.empty(n, np.int64)
+    out[order] = np.repeat(least, np.diff(np.append(heads, n)))
     return out
 
 
@@ -145,8 +165,8 @@ def subtree_passes(texts: list[bytes], sizes: np.ndarray, least: np.ndarray, wid
 
 
 def string_counts(source: DataFrame, width: int, gram: int, group_bytes: int) -> DataFrame:
-    """string, n: how often a string of `gram` words occurs, too low by at most 1 / RARE of all words; the
-    null string has the number of all suffixes of `width` words at least."""
+    """string, n: how often a string of `gram` words occurs, too low by at most 1 / RARE of all words or by
+    one a count; the null string has the number of all suffixes of `width` words at least."""
 
     def run(batches):
         strings, total, held_now = [], 0, 0
@@ -156,16 +176,17 @@ def string_counts(source: DataFrame, width: int, gram: int, group_bytes: int) ->
                 values = np.sort(np.concatenate(strings))
                 heads = heads_of(values)
                 n = np.diff(np.append(heads, len(values)))
-                often = n * RARE >= len(values)
+                often = (n > 1) & (n * RARE >= len(values))
                 yield pa.RecordBatch.from_arrays([pa.array(values[heads][often].view(np.int64)), pa.array(n[often])], ["string", "n"])
 
         for batch in in_parts(batches, "raw", group_bytes):
-            for raw in batch.column("raw"):
-                words = raw.as_py().split()  # of bytes: at 09-0D and 20 alone
-                if len(words) >= width:
-                    strings.append(window_hashes(_words().look(words), gram)[0])
-                    held_now += len(strings[-1])
-                    total += len(words) - width + 1
+            split = [w for raw in batch.column("raw") if len(w := raw.as_py().split()) >= width]  # of bytes: at 09-0D and 20 alone
+            lengths = np.array([len(w) for w in split], np.int64)
+            if len(split):
+                values = _words().look([x for w in split for x in w])
+                strings.append(window_hashes(values, gram)[0][starts_of(lengths, gram)])
+                held_now += len(strings[-1])
+                total += int((lengths - width + 1).sum())
             _words().trim()
             if held_now >= COUNT_WORDS:
                 yield from counted()
@@ -197,17 +218,31 @@ def unpacked(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
+def by_column(rows: np.ndarray) -> bytes:
+    """A table of the type below, column after column, which compresses better."""
+    return b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in STRETCH.names)
+
+
+def by_row(data: bytes) -> np.ndarray:
+    n, at = len(data) // STRETCH.itemsize, 0
+    out = np.empty(n, STRETCH)
+    for c in STRETCH.names:
+        out[c] = np.frombuffer(data, STRETCH[c], n, at)
+        at += n * STRETCH[c].itemsize
+    return out
+
+
 #: A stretch of suffixes whose prefixes end in one string: document, key, string, first suffix, number
 #: of suffixes, bytes of its text.
 STRETCH = np.dtype([("doc", "<i8"), ("key", "<i8"), ("string", "<u8"), ("first", "<i4"), ("size", "<i4"), ("bytes", "<i4")])
 
 
-def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, group_bytes: int = 4_000_000) -> DataFrame:
+def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, group_bytes: int = 3_000_000) -> DataFrame:
     """doc_id, key (of the text), spans: word spans (begin and end, packed as 64-bit integers)
     that windows cover which a smaller document holds.  A row may have several such rows."""
     gram = min(gram, width)
     source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(row_key(text), F.lit(0)).alias("key"), text_bytes(text).alias("raw")).where("doc_id is not null")
-    groups, hot = plan_groups(source, width, gram, group_bytes)
+    groups, frequent = plan_groups(source, width, gram, group_bytes)
     schema = "home int, doc_id long, key long, spans binary, stretches binary, texts binary"
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
@@ -215,36 +250,38 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
     def spans_of(starts, ends):  # of runs of windows
         return np.stack([starts, ends + width - 1], 1).astype("<i8").tobytes()
 
-    def scan(rows, sent_before: dict):
+    def scan(rows, hot: Strings, sent_before: dict):
         """One batch of documents: what is settled here, and for each group the stretches to send."""
         table = _words()
         split = [raw.split() for _, _, raw in rows]
-        numbers = [table.places(w) for w in split]
-        node_list, end_list, whole_list = zip(*(prefixes(table.rows[n], width, gram, hot) for n in numbers))
-        lengths = np.array([len(x) for x in node_list], np.int64)
-        nodes, ends, whole = np.concatenate(node_list), np.concatenate(end_list), np.concatenate(whole_list)
-        row = np.repeat(np.arange(len(rows)), lengths)
+        lengths = np.array([len(w) for w in split], np.int64)
+        flat = [x for w in split for x in w]
+        del split
+        words = table.places(flat)
+        place = starts_of(lengths, width)  # of each window among all words
+        nodes, ends, whole = prefixes(table.rows[words], place, width, gram, hot)
+        table.trim()
         ids = np.array([r[0] for r in rows], np.int64)
-        offset = np.concatenate([[0], np.cumsum(lengths)])
-        words = np.concatenate(numbers)
-        word_at = np.concatenate([[0], np.cumsum([len(w) for w in split])])
-        place = np.arange(len(nodes)) - offset[row] + word_at[row]  # of each window among all words
+        word_at = np.concatenate([[0], np.cumsum(lengths)])
+        row = np.searchsorted(word_at, place, "right") - 1
+        offset = np.searchsorted(place, word_at)
         first = first_passes(nodes, ids[row])
         if not agree(words, place, place[first], width):  # two different windows with one hash
             exact = sorted_places(np.concatenate([words, np.zeros(width, np.int64)]), width)
             first = first_passes(exact[place], ids[row])
         later = ids[row] > ids[row[first]]
-        table.trim()
-        joined = [b" ".join(w) for w in split]
-        cuts = [np.concatenate([[0], np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)]) for w in split]
+        del words, first, nodes
+        joined = b" ".join(flat)
+        cut = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1)])
+        del flat
 
-        def text_of(i: int, a: int, size: int) -> bytes:
-            return joined[i][cuts[i][a] : cuts[i][a + size + width - 1] - 1]
+        def text_of(at: int, size: int) -> bytes:
+            return joined[cut[at] : cut[at + size + width - 1] - 1]
 
         # Nodes that are dealt by themselves may be in every batch: a task sends the smallest documents alone.
         for at in np.flatnonzero(whole & ~later).tolist():
-            i, doc = int(row[at]), int(ids[row[at]])
-            window = text_of(i, at - int(offset[i]), 1)
+            doc = int(ids[row[at]])
+            window = text_of(int(place[at]), 1)
             before = sent_before.get(window)
             if before is not None and before < doc:
                 later[at] = True
@@ -262,39 +299,40 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
         new = np.append(True, (sent[1:] != sent[:-1] + 1) | (row[sent[1:]] != row[sent[:-1]]) | (ends[sent[1:]] != ends[sent[:-1]]))
         begin = np.flatnonzero(new)
         stretch = np.zeros(len(begin), STRETCH)
-        who = row[sent[begin]]
+        who, head = row[sent[begin]], place[sent[begin]]
         stretch["doc"], stretch["key"] = ids[who], np.array([r[1] for r in rows], np.int64)[who]
-        stretch["string"], stretch["first"], stretch["size"] = ends[sent[begin]], sent[begin] - offset[who], np.diff(np.append(begin, len(sent)))
+        stretch["string"], stretch["first"], stretch["size"] = ends[sent[begin]], head - word_at[who], np.diff(np.append(begin, len(sent)))
         home = (stretch["string"] % U64(groups)).astype(np.int64)
         order = np.argsort(home, kind="stable")
-        texts = [text_of(i, a, n) for i, a, n in zip(who[order].tolist(), stretch["first"][order].tolist(), stretch["size"][order].tolist())]
+        texts = [text_of(a, n) for a, n in zip(head[order].tolist(), stretch["size"][order].tolist())]
         stretch, home = stretch[order], home[order]
         stretch["bytes"] = list(map(len, texts))
         heads = np.append(heads_of(home), len(home)).tolist()
-        return settled, [(int(home[a]), stretch[a:b].tobytes(), b"".join(texts[a:b])) for a, b in zip(heads[:-1], heads[1:])]
+        return settled, [(int(home[a]), stretch[a:b], b"".join(texts[a:b])) for a, b in zip(heads[:-1], heads[1:])]
 
     def emit(batches):
         """What is sent to one group is gathered over many batches, so that rows stay large however
         many groups there are."""
         waiting: dict[int, list[tuple]] = {}
         sent_before: dict[bytes, int] = {}
-        size = 0
+        hot, size = Strings(frequent), 0
 
         def flushed():
-            rows = [(home, None, None, None, packed(b"".join(p[1] for p in parts)), packed(b"".join(p[2] for p in parts))) for home, parts in waiting.items()]
-            for i in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256]), types)], names)
+            homes = list(waiting)
+            for i in range(0, len(homes), 256):
+                rows = [(home, None, None, None, packed(by_column(np.concatenate([p[1] for p in waiting[home]]))), packed(b"".join(p[2] for p in waiting[home]))) for home in homes[i : i + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
         for batch in in_parts(batches, "raw", group_bytes):
             rows = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
             if not rows:
                 continue
-            settled, sent = scan(rows, sent_before)
+            settled, sent = scan(rows, hot, sent_before)
             if settled:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*settled), types)], names)
             for part in sent:
                 waiting.setdefault(part[0], []).append(part)
-                size += len(part[1]) + len(part[2])
+                size += part[1].nbytes + len(part[2])
             if size >= SEND_BYTES:
                 yield from flushed()
                 waiting.clear()
@@ -310,7 +348,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
             yield pa.RecordBatch.from_arrays([pa.array([got[0][i] for i in settled], pa.int64()), pa.array([got[1][i] for i in settled], pa.int64()), binary([got[2][i] for i in settled])], ["doc_id", "key", "spans"])
             for s, t in zip(got[3], got[4]):
                 if s is not None:
-                    stretches.append(np.frombuffer(unpacked(s), STRETCH))
+                    stretches.append(by_row(unpacked(s)))
                     blobs.append(t)
         if not stretches:
             return
