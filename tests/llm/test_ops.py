@@ -561,7 +561,7 @@ def test_values_after_secret_names():
 def test_forest_generalises():
     held = secret_scan.labelled_findings(600, seed=99)
     forest = secret_scan.train()
-    right = sum((forest.vote(secret_scan.features(t, a, b)) >= 0.5) == bool(y) for t, a, b, y in held)
+    right = sum((forest.vote(secret_scan.features(t, a, b, p)) >= 0.5) == bool(y) for t, a, b, y, p in held)
     assert right / len(held) > 0.95
 
 
