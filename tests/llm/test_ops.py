@@ -603,7 +603,7 @@ def loads(texts, width, gram, groups, hot):
     """Suffixes of each group."""
     out = np.zeros(groups, np.int64)
     for t in texts:
-        words = np.array([xxhash.xxh64_intdigest(w) for w in t.encode().split()], np.uint64)
+        words = substring_dedup.Words([t.encode()]).hashes
         _, ends, _ = substring_dedup.prefixes(words, np.arange(len(words) - width + 1), width, gram, substring_dedup.Strings(hot))
         out += np.bincount((ends % np.uint64(groups)).astype(np.int64), minlength=groups)
     return out
@@ -642,9 +642,22 @@ def test_words_decide_not_hashes(monkeypatch):
     want = np.unique([words[i : i + 7].tolist() for i in range(594)], axis=0, return_inverse=True)[1].ravel()
     place = substring_dedup.sorted_places(np.append(words, [0] * 7), 7)[:594]
     assert (np.unique(place, return_inverse=True)[1] == want).all()
+    texts = [b" ".join(b"%d" % w for w in words[i : i + 50].tolist()) for i in range(0, 600, 50)]
+    held = substring_dedup.Words(texts)
     nodes, doc, at = (want % 5).astype(np.uint64), np.arange(594) // 50, np.arange(594)
-    assert not substring_dedup.agree(words, at, substring_dedup.first_passes(nodes, doc), 7)
-    assert substring_dedup.agree(words, at, substring_dedup.first_passes(want.astype(np.uint64), doc), 7)
+    assert not substring_dedup.agree(held, at, substring_dedup.first_passes(nodes, doc), 7)
+    assert substring_dedup.agree(held, at, substring_dedup.first_passes(want.astype(np.uint64), doc), 7)
+
+
+def test_words_by_array_operations(corpus):
+    texts = [(t or "").encode() for t in corpus] + [b" \t a\x0b\x0cb\r\n", b"x", b"", b"\x00 \xff\x00"]
+    held = substring_dedup.Words(texts)
+    split = [t.split() for t in texts]
+    assert held.lengths.tolist() == [len(w) for w in split]
+    flat = [w for t in split for w in t]
+    assert held.text.split(b" ")[:-1] == flat and [held.slice(i, 1) for i in range(len(flat))] == flat
+    assert len(np.unique(held.hashes)) == len(set(flat)) == len({(h, w) for h, w in zip(held.hashes.tolist(), flat)})
+    assert len(substring_dedup.Words([]).hashes) == len(substring_dedup.Words([b"", b" "]).hashes) == 0
 
 
 @pytest.mark.parametrize("few", [2, 100])

@@ -30,11 +30,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import U64, WordTable, binary, held, in_parts, partitions, row_key, scan_schema, small_batches, text_bytes, window_hashes, written
+from tidelog.llm.common import BASE, BASE_INVERSE, U64, binary, in_parts, mix, partitions, powers, row_key, scan_schema, small_batches, text_bytes, window_hashes, written
 
 WIDTH, GRAM = 50, 8
 SEND_BYTES = 16 << 20
@@ -47,8 +46,30 @@ COUNT_WORDS, RARE, FEW, PART = 2_000_000, 1 << 18, 100, 20
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
-def _words() -> WordTable:
-    return held("words", lambda: WordTable(xxhash.xxh64_intdigest, U64))
+class Words:
+    """The words of several texts, one after another, by array operations on their bytes: `text` with one
+    space behind each word, `cut` where each begins (and the end), `lengths` of the texts in words, `hashes`."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) if texts else np.zeros(0, np.uint8)
+        blank = (data == 32) | (data - np.uint8(9) < 5)
+        after = blank.copy()
+        after[:1] = False
+        after[1:] &= ~blank[:-1]
+        ends = np.flatnonzero(after)
+        text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        self.lengths = np.diff(np.searchsorted(ends, text_ends), prepend=0)
+        plain = np.where(blank, np.uint8(32), data)[~blank | after]
+        self.text = plain.tobytes()
+        self.cut = np.append(0, np.flatnonzero(plain == 32) + 1)
+        sums = np.zeros(len(plain) + 1, U64)
+        with np.errstate(over="ignore"):
+            np.cumsum((plain.astype(U64) + U64(1)) * powers(BASE, len(plain))[: len(plain)], out=sums[1:])
+            begin = self.cut[:-1]
+            self.hashes = mix((sums[self.cut[1:] - 1] - sums[begin]) * powers(BASE_INVERSE, len(plain))[begin])
+
+    def slice(self, at: int, n: int) -> bytes:
+        return self.text[self.cut[at] : self.cut[at + n] - 1]
 
 
 def least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -119,19 +140,13 @@ def first_passes(nodes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def agree(words: np.ndarray, at: np.ndarray, other: np.ndarray, width: int) -> bool:
-    """Whether the `width` words from `at` are those from `other`; both ascend in stretches."""
-    far = at != other
-    if not far.any():
-        return True
-    if not np.array_equal(words[at[far] + width - 1], words[other[far] + width - 1]):
-        return False
-    # Where a window follows a window that agrees, and so does its twin, the last word is enough.
-    follows = np.zeros(len(at), bool)
-    follows[1:] = far[1:] & far[:-1] & (at[1:] == at[:-1] + 1) & (other[1:] == other[:-1] + 1)
-    begin = far & ~follows
-    a, b = at[begin], other[begin]
-    return all(np.array_equal(words[a + k], words[b + k]) for k in range(width - 1))
+def agree(words, at: np.ndarray, other: np.ndarray, width: int) -> bool:
+    """Whether the `width` words from each `at` are those from `other`; words.slice gives them."""
+    far = np.flatnonzero(at != other)
+    a, b = at[far], other[far]
+    cuts = np.append(np.flatnonzero(np.append(True, (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1))), len(a)) if len(a) else np.zeros(1, int)
+    sizes = (np.diff(cuts) + width - 1).tolist()
+    return all(words.slice(x, n) == words.slice(y, n) for x, y, n in zip(a[cuts[:-1]].tolist(), b[cuts[:-1]].tolist(), sizes))
 
 
 def sorted_places(words: np.ndarray, width: int) -> np.ndarray:
@@ -180,14 +195,10 @@ def string_counts(source: DataFrame, width: int, gram: int, group_bytes: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(values[heads][often].view(np.int64)), pa.array(n[often])], ["string", "n"])
 
         for batch in in_parts(batches, "raw", group_bytes):
-            split = [w for raw in batch.column("raw") if len(w := raw.as_py().split()) >= width]  # of bytes: at 09-0D and 20 alone
-            lengths = np.array([len(w) for w in split], np.int64)
-            if len(split):
-                values = _words().look([x for w in split for x in w])
-                strings.append(window_hashes(values, gram)[0][starts_of(lengths, gram)])
-                held_now += len(strings[-1])
-                total += int((lengths - width + 1).sum())
-            _words().trim()
+            words = Words([raw.as_py() for raw in batch.column("raw")])
+            strings.append(window_hashes(words.hashes, gram)[0][starts_of(words.lengths, gram)])
+            held_now += len(strings[-1])
+            total += len(starts_of(words.lengths, width))
             if held_now >= COUNT_WORDS:
                 yield from counted()
                 strings, held_now = [], 0
@@ -252,31 +263,23 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
 
     def scan(rows, hot: Strings, sent_before: dict):
         """One batch of documents: what is settled here, and for each group the stretches to send."""
-        table = _words()
-        split = [raw.split() for _, _, raw in rows]
-        lengths = np.array([len(w) for w in split], np.int64)
-        flat = [x for w in split for x in w]
-        del split
-        words = table.places(flat)
-        place = starts_of(lengths, width)  # of each window among all words
-        nodes, ends, whole = prefixes(table.rows[words], place, width, gram, hot)
-        table.trim()
+        words = Words([raw for _, _, raw in rows])
+        place = starts_of(words.lengths, width)  # of each window among all words
+        nodes, ends, whole = prefixes(words.hashes, place, width, gram, hot)
         ids = np.array([r[0] for r in rows], np.int64)
-        word_at = np.concatenate([[0], np.cumsum(lengths)])
+        word_at = np.concatenate([[0], np.cumsum(words.lengths)])
         row = np.searchsorted(word_at, place, "right") - 1
         offset = np.searchsorted(place, word_at)
         first = first_passes(nodes, ids[row])
         if not agree(words, place, place[first], width):  # two different windows with one hash
-            exact = sorted_places(np.concatenate([words, np.zeros(width, np.int64)]), width)
-            first = first_passes(exact[place], ids[row])
+            number: dict[bytes, int] = {}
+            numbers = [number.setdefault(w, len(number)) for w in words.text.split()]
+            first = first_passes(sorted_places(np.array(numbers + [0] * width), width)[place], ids[row])
         later = ids[row] > ids[row[first]]
-        del words, first, nodes
-        joined = b" ".join(flat)
-        cut = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1)])
-        del flat
+        del first, nodes
 
         def text_of(at: int, size: int) -> bytes:
-            return joined[cut[at] : cut[at + size + width - 1] - 1]
+            return words.slice(at, size + width - 1)
 
         # Nodes that are dealt by themselves may be in every batch: a task sends the smallest documents alone.
         for at in np.flatnonzero(whole & ~later).tolist():
