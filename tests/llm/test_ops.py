@@ -165,6 +165,33 @@ def test_host_verdicts_shrink(spark):
     assert 0.1 < got[300].host_rate < 1
 
 
+def test_own_failures_weigh_with_the_host_s(spark):
+    """A document that fails a rule goes, but for a host that hardly ever fails; a bad host goes whole."""
+    good = " ".join(f"word{i}" for i in range(40))
+    noisy, lines = good.replace(" ", " ### "), "\n".join(["same here"] * 2 + [f"line number {i}" for i in range(3)] + ["same here"] * 2)
+    rows = []
+    for host, n, bad in (("clean", 1500, 1), ("usual", 300, 36), ("bad", 300, 240)):
+        rows += [(noisy if i < bad else good, host) for i in range(n)]
+    rows += [(lines, "usual"), (lines, "clean"), (noisy + "\n" + lines, "clean")]
+    df = spark.createDataFrame([(i, t, "en", h, 0) for i, (t, h) in enumerate(rows)], SCHEMA)
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert got[0].kept and got[0].n_failed == 1 and got[1].kept
+    assert not got[1500].kept and got[1500 + 36].kept
+    assert not any(got[i].kept for i in range(1800, 2100)) and not any(got[i].base_failed for i in range(1800, 2100))
+    assert (got[2100].n_dup_lines, got[2100].n_lines, got[2100].kept, got[2101].kept, got[2102].kept) == (3, 7, False, True, False)
+
+
+def test_prior_takes_noise_for_noise(spark):
+    """Small hosts of one true rate are pooled; hosts that differ are not."""
+    r = random.Random(3)
+    of = lambda rows: quality_rules.beta_prior(spark.createDataFrame(rows, "n long, failed long"))
+    alike = of([(20, sum(r.random() < 0.2 for _ in range(20))) for _ in range(2000)])
+    apart = of([(200, 10 if i % 2 else 150) for i in range(50)])
+    assert sum(alike) > 200 and abs(alike[0] / sum(alike) - 0.2) < 0.02
+    assert sum(apart) < 5 and abs(apart[0] / sum(apart) - 0.4) < 0.01
+    assert of([(7, 0)]) == of([(9, 0)]) and of([]) == (0.5, 0.5) and sum(of([(1, 1), (1, 0)])) >= 1
+
+
 # 4
 
 

@@ -47,6 +47,17 @@ def row_key(text: str) -> Column:
     return F.xxhash64(F.col(f"`{text}`"))
 
 
+#: Copies of a table that is looked up by keys which most rows may share.
+SALTS = 16
+
+
+def looked_up(asking: DataFrame, table: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+    """asking joined with a table of distinct keys (null is one); rows of one key are dealt to tasks by `by`."""
+    dealt = asking.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed(key, "__key")
+    return dealt.join(copies, (F.col("__salt") == F.col("__copy")) & F.col(f"`{key}`").eqNullSafe(F.col("__key")), how).drop("__salt", "__copy", "__key")
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -101,7 +101,7 @@ repeated as (
   select row, count(distinct j) as n_repeat_words
   from (select row, unnest(range(i, i + 5)) as j from twice) group by row),
 lines as (
-  select row, count(*) - count(distinct line) as n_dup_lines
+  select row, count(*) - count(distinct line) as n_dup_lines, count(*) as n_lines
   from (select row, unnest(string_split(t, chr(10))) as line from docs)
   where regexp_matches(line, '[^\x20\x09-\x0D]') group by row),
 counted as (
@@ -109,21 +109,25 @@ counted as (
 stats as (
   select d.row, doc_id, host, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars,
          cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
-         coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+         coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_lines, 0) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words
   from docs d left join counted using (row) left join lines using (row) left join repeated using (row)),
 judged as (
   select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
-         n_symbols > 0.25 * word_chars or 2 * n_dup_lines > n_words as more from stats),
+         (n_symbols > 0.1::double * word_chars)::int + (n_dup_lines > 0.3::double * n_lines)::int as n_failed from stats),
 hosts as (
-  select host, count(*) as n, count(*) filter (where base_failed or more) as failed from judged group by host),
-moments as (
-  select least(greatest(avg(failed / n), 0.001), 0.999) as m, greatest(coalesce(var_samp(failed / n), 0), 1e-6) as v from hosts),
+  select host, count(*) as n, count(*) filter (where base_failed or n_failed > 0) as failed from judged group by host),
+sums as (
+  select count(*) as k, sum(n) as n, sum(failed) as x, sum(failed * failed / n) as xx, sum(n * n)::double as nn from hosts),
+spread as (
+  select *, least(greatest(x / n, 0.001), 0.999) as m, (xx - x * x / n) / nullif(k - 1, 0) as b, (n - nn / n) / nullif(k - 1, 0) as s from sums),
+within_hosts as (
+  select *, case when n > k then (x - xx) / (n - k) else m * (1 - m) end as w from spread),
 prior as (
-  select m, least(greatest(m * (1 - m) / v - 1, 2.0), 1000.0) as s from moments),
+  select m, 1 / least(greatest(coalesce((b - w) / nullif(b + (s - 1) * w, 0), 0), 1e-4), 0.5) - 1 as strength from within_hosts),
 rates as (
-  select host, (failed + m * s) / (n + s) as host_rate from hosts, prior)
+  select host, (failed + m * strength) / (n + strength) as host_rate from hosts, prior)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and host_rate <= 0.5 as kept
+       not base_failed and host_rate * power(20, n_failed) <= 1 - host_rate as kept
 from judged j join rates r on j.host is not distinct from r.host
 """
 

@@ -14,7 +14,7 @@ without "://", has an empty host and path and no rule.  Repeated rows each get t
 if no page is decided by a rule, every other page is allowed.
 
 Hosts, names and words may be those of most pages: tables that are looked up by them are
-repeated `SALTS` times, and the rows that ask are dealt to the copies.
+repeated, and the rows that ask are dealt to the copies.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import looked_up, written
 from tidelog.llm.labelled import held_out
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONGEST_WORD, BUCKETS, SALTS = 20, 1 << 16, 16
+LONGEST_WORD, BUCKETS = 20, 1 << 16
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -79,13 +79,6 @@ def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
     return out[::-1]
 
 
-def looked_up(asking: DataFrame, table: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
-    """asking joined with a table of distinct keys; rows of one key are dealt to tasks by `by`."""
-    dealt = asking.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
-
-
 def rule_names(rules) -> list[str]:
     """The names in the hosts and paths of the rules."""
     return sorted({x for _, text in rules for x in re.split(r"[^a-z0-9]+", text) if x})
