@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import held, in_parts, small_batches, text_bytes
 from tidelog.llm.labelled import held_out, training_rows
 
-LIMIT, MAX_TERMS, WINDOW, THRESHOLD = 6000, 600, 6, 0.7
+LIMIT, WINDOW, THRESHOLD = 6000, 6, 0.7
 QUOTED, NEAR, EDIT = 0.25, 0.25, 0.9
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 OPENING, CLOSING = "\"'“‘«„‹", "\"'”’»“›"
@@ -139,7 +139,7 @@ def _families(rows) -> tuple[dict[str, int], tuple[np.ndarray, np.ndarray], list
     return number, counts, total
 
 
-def learn_terms(rows, min_docs: int = 4, share: float = 0.004, purity: float = 0.9, max_terms: int = MAX_TERMS) -> dict[str, tuple[int, float]]:
+def learn_terms(rows, min_docs: int = 4, share: float = 0.004, purity: float = 0.9) -> dict[str, tuple[int, float]]:
     """Terms, the edits they allow and their weights (log odds), from (distinct words, toxic) of
     documents."""
     number, counts, total = _families(rows)
@@ -150,8 +150,8 @@ def learn_terms(rows, min_docs: int = 4, share: float = 0.004, purity: float = 0
     for w, i in number.items():
         n0, n1 = int(counts[0][i]), int(counts[1][i])
         if len(w) >= 4 and n1 >= least and (n1 / total[1]) / (n1 / total[1] + (n0 + 0.5) / total[0]) >= purity:
-            good.append((-n1, w))
-    terms = {w: allowed_edits(w) for _, w in sorted(good)[:max_terms]}
+            good.append(w)
+    terms = {w: allowed_edits(w) for w in sorted(good)}
     auto = Automaton(terms)
     near = (Counter(), Counter())
     for w, i in number.items():
