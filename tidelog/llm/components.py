@@ -1,7 +1,8 @@
 """Connected components of a graph whose links lie in a table.
 
 Large-star and small-star steps in turn (Kiveris et al., "Connected components in MapReduce
-and beyond") until no link changes.  Every step is a hash aggregation and a join over links;
+and beyond") until no link changes, which takes few rounds (at most the square of the logarithm
+of a component's members).  Every step is a hash aggregation and a join over links;
 the links stay in tables on shared storage, and the driver sees one count a round.
 """
 
@@ -35,17 +36,15 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return linked.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, label: of each node of a link its component's least node.  links: columns a and b."""
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         links = written(_star(_star(links, True), False))
         # Equal sums of hashes of all links: nothing has changed.
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components: no fixed point; raise rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("label")).union(links.select("b", "b").distinct())

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import U64, binary, in_parts, partitions, row_key, small_batches, text_bytes, written
+from tidelog.llm.common import U64, binary, in_parts, looked_up, partitions, row_key, small_batches, text_bytes, written
 from tidelog.llm.components import components
 
 SHINGLE, SEED, BITS, BLOCK = 3, 42, 64, 16
@@ -189,8 +189,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     of_fp = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     of_fp = written(of_fp)
     ids = of_fp.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = of_fp.join(ids, "label").select("fp", "label", "component_id")
-    return prints.join(of_fp, "fp").select("doc_id", "key", "fp", "label", "component_id")
+    # A component may hold most fingerprints, and a fingerprint most documents.
+    of_fp = looked_up(of_fp, ids, "label", F.col("fp")).select("fp", "label", "component_id")
+    return looked_up(prints, of_fp, "fp", F.concat_ws(" ", "doc_id", "key")).select("doc_id", "key", "fp", "label", "component_id")
 
 
 def near_duplicate_digests(docs: DataFrame) -> DataFrame:
