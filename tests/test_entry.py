@@ -1,5 +1,6 @@
 """The entry points, and the catalogue's queries against DuckDB on small tables."""
 
+import contextlib
 from pathlib import Path
 
 import pytest
@@ -8,7 +9,7 @@ import __spark_entry__
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DATA = Path("/root/testdata/sf0.001")
-SAMPLE = ["kv_state", "kv_state_large", "scan_page", "lookup_status", "flushdb", "compact_level", "register_violations", "log_truncate", "commit_index", "replica_diff", "shard_route", "prom_parse", "wal_replay_prefix", "manifest_text", "flush_batches"]
+SAMPLE = ["kv_state", "kv_state_large", "scan_page", "lookup_status", "flushdb", "compact_level", "register_violations", "log_truncate", "commit_index", "replica_diff", "shard_route", "prom_parse", "wal_replay_prefix", "manifest_text", "flush_batches", "cas_apply", "lru_hits", "row_crc32", "bloom_build", "bloom_probe", "scan_numbered_pages", "log_append", "segment_write", "segment_footer", "snapshot_pack", "codec_roundtrip", "compact_scheduled", "cmd_retries", "stream_changes", "stream_windows", "health_json", "raft_propose"]
 
 
 def test_names():
@@ -34,3 +35,16 @@ def test_against_sql(spark, name):
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert rows and [r.key for r in rows] == sorted(r.key for r in rows)
+
+
+def test_only_the_queries_of_what_cannot_be_imported_go(monkeypatch):
+    """A missing package of the training-data operators leaves all other queries."""
+    import sys
+
+    gone = {k for k in __spark_entry__.queries() if k == "pipeline" or (k.startswith("op") and k[2].isdigit())}
+    for name in [n for n in sys.modules if n.startswith("tidelog.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    with pytest.warns(UserWarning) if gone else contextlib.nullcontext():
+        left = __spark_entry__.queries()
+    assert len(left) > 125 and not gone & set(left)

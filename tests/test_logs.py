@@ -114,6 +114,89 @@ def test_hashes(spark):
     assert df.select(F.crc32(F.lit("123456789").cast("binary"))).first()[0] == 0xCBF43926 == zlib.crc32(b"123456789")
 
 
+def test_hashes_of_keys_of_all_lengths():
+    """Few very long keys among many short ones: memory is that of the keys."""
+    import time
+    import tracemalloc
+
+    r = random.Random(2)
+    keys = [bytes(r.randrange(256) for _ in range(r.randint(0, 40))) for _ in range(500)] + [b"", bytes(range(256)) * 8000]
+    tracemalloc.start()
+    began = time.perf_counter()
+    a, b = codecs.key_hashes(keys)
+    assert tracemalloc.get_traced_memory()[1] < 100e6 and time.perf_counter() - began < 30
+    tracemalloc.stop()
+    for k, x, y in zip(keys[::50] + keys[-2:], a[::50].tolist() + a[-2:].tolist(), b[::50].tolist() + b[-2:].tolist()):
+        h, t = 0x811C9DC5, 0
+        for c in k:
+            c = c - 256 if c > 127 else c
+            h, t = ((h ^ (c & 0xFFFFFFFF)) * 0x01000193) & 0xFFFFFFFF, (t * 33 + c) & 0xFFFFFFFF
+        assert (x, y) == (h, t)
+    assert len(codecs.key_hashes([])[0]) == 0
+
+
+def test_filters_are_sized_by_their_keys(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    assert bloom.sized(keys) == bloom.params(3000, 0.01) and bloom.sized(keys.limit(0)) == bloom.params(1, 0.01)
+
+
+def test_least_recently_used(spark):
+    from collections import OrderedDict
+
+    r = random.Random(4)
+    rows = [(i, i % 2, f"k{r.randrange(12)}") for i in range(400)]
+    want = {}
+    for part in (0, 1):
+        cache, hits = OrderedDict(), 0
+        for _, p, k in rows:
+            if p == part:
+                hits += k in cache
+                cache.pop(k, None)
+                cache[k] = 1
+                if len(cache) > 5:
+                    cache.popitem(last=False)
+        want[part] = (hits, 200 - hits)
+    df = spark.createDataFrame(rows, "seq long, part long, key string").orderBy(F.rand(1))
+    assert {x.part: (x.hits, x.misses) for x in bloom.lru_hits(df, 5).collect()} == want
+
+
+def test_blocks_and_snapshot_files(spark):
+    from tidelog.sources import snapshot
+
+    blocks = [b"", b"a", b"abc" * 5000, bytes(range(256)) * 900]
+    df = spark.createDataFrame([(i, c, b) for i, b in enumerate(blocks) for c in (0, 1, 2)], "id long, codec int, content binary")
+    packed = df.withColumn("packed", codecs.compress(F.col("codec"), F.col("content"))).withColumn("size", F.octet_length("content").cast("long"))
+    rows = packed.withColumn("back", codecs.decompress(F.col("codec"), F.col("packed"), F.col("size"))).withColumn("most", codecs.compress_bound(F.col("codec"), F.col("size"))).collect()
+    assert all(x.back == x.content and len(x.packed) <= x.most for x in rows)
+    assert all(len(x.packed) < 0.2 * x.size for x in rows if x.id == 2 and x.codec)
+    raw = snapshot.pack_files(7, 3, [("catalog", b"x"), ("é", b""), ("seg", blocks[3])])
+    assert list(snapshot.unpack_files(raw)) == [(7, 3, "catalog", b"x"), (7, 3, "é", b""), (7, 3, "seg", blocks[3])]
+    assert raw[:16] == bytes([7, 0, 0, 0, 0, 0, 0, 0, 3, 0, 0, 0, 0, 0, 0, 0]) and raw[-4:] == bytes(4)
+    for cut in (0, 10, 17, 30, len(raw) - 10):
+        assert len(list(snapshot.unpack_files(raw[:cut]))) == (0 if cut < 34 else 2)
+    files = spark.createDataFrame([(n, f"f{i}", b) for n in (0, 1) for i, b in enumerate(blocks)], "node int, name string, content binary")
+    back = snapshot.unpack(snapshot.pack(files, 9, 2)).collect()
+    assert sorted((x.node, x.name, bytes(x.content)) for x in back) == sorted((x.node, x.name, bytes(x.content)) for x in files.collect())
+    assert {(x.last_included_index, x.last_included_term) for x in back} == {(9, 2)}
+
+
+def test_state_tables_merge_their_deltas(spark, tmp_path):
+    """Bases and deltas give the same rows however often they are merged, and old ones go."""
+    r = random.Random(8)
+    rows = [(i, r.choice(["PUT", "PUT", "DEL"]), f"k{r.randrange(9)}", str(i)) for i in range(140)]
+    log = spark.createDataFrame(rows, "seq long, op string, key string, value string")
+    for part in range(7):
+        log.where(F.col("seq") % 7 == (part * 3) % 7).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want = sorted(map(tuple, state.latest(log).collect()))
+    for every in (1, 2, 3, 100):
+        path = str(tmp_path / f"t{every}")
+        apply.maintain_table(apply.read_log(spark, str(tmp_path / "in"), 1), path, str(tmp_path / f"c{every}"), every).awaitTermination()
+        assert sorted(map(tuple, apply.read_table(spark, path).collect())) == want
+        assert apply.read_table(spark, path, before=0) is None
+        left = sorted(x.name for x in (tmp_path / f"t{every}").iterdir() if "=" in x.name)
+        assert left == {1: ["base=5", "base=6"], 2: ["base=3", "base=5", "delta=4", "delta=6"], 3: ["base=2", "base=5", "delta=3", "delta=4", "delta=6"], 100: [f"delta={i}" for i in range(7)]}[every]
+
+
 def test_ring_routes_like_bisection(spark):
     import bisect
 
@@ -146,6 +229,7 @@ def test_bloom_has_no_false_negatives(spark):
 
 
 def test_reports(spark):
+    # Fixed lines of the benchmark's report format.
     lines = ["Write 5000 entries, cost 0.123 sec, 40650 ops/sec", "Read 1000 random keys, hit 999, miss 1, cost 0.001 sec", "Scan all keys: 5000 entries found", "Data integrity check: 0 errors found", "noise"]
     got = text.parse_benchmark(spark.createDataFrame([(x,) for x in lines], "line string")).first().asDict()
     assert got == {"write_ops_per_sec": 40650.0, "write_time_sec": 0.123, "read_hits": 999, "read_misses": 1, "read_time_sec": 0.001, "scan_count": 5000, "verify_errors": 0}

@@ -145,3 +145,38 @@ def test_pages_end_at_a_short_page_alone():
     pages = list(catalogue.pages_until_short(page_after, 1000))
     assert len(pages) == 10_501 and sum(n for _, _, n, _ in pages) == total
     assert pages[-1][3] == total - 1
+
+
+def test_stored_logs_and_pages(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(r.choice(["PUT", "PUT", "DEL"]), f"k{r.randrange(400):03d}", r.choice("abc")) for _ in range(900)]
+    df = log(spark, [*rows, ("PUT", "", "x")])
+    path = str(tmp_path / "log")
+    for part in range(3):
+        state.append(df.where(F.col("seq") % 3 == part), path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 900 and kv(state.current_state(stored)) == model(rows)
+    live = sorted(model(rows))
+    pages = state.numbered_pages(state.write_sorted(stored, str(tmp_path / "sorted")), 7).collect()
+    assert sorted((x.page, x.pos, x.key) for x in pages) == [(i // 7, i, k) for i, k in enumerate(live)]
+    assert state.numbered_pages(state.write_sorted(df.limit(0), str(tmp_path / "none")), 7).count() == 0
+
+
+def test_scheduler_merges_when_due(spark):
+    rows = [(f, 0 if f > 1 else 1, f * 10 + i, "PUT", f"k{i}", str(f)) for f in (1, 2, 3) for i in range(4)]
+    df = spark.createDataFrame(rows, "file_id long, level int, seq long, op string, key string, value string")
+    assert {(x.file_id, x.level) for x in segments.poll(df).collect()} == {(-6, 6)} and kv(segments.merge(segments.poll(df))) == {f"k{i}": "3" for i in range(4)}
+    one = df.where("file_id < 3")
+    assert sorted(map(tuple, segments.poll(one).collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_saved_states_and_footers(spark, tmp_path):
+    df = log(spark, [("PUT", f"k{i:03d}", "v") for i in range(300)])
+    names = spark.createDataFrame([("Save",), ("BGSAVE",), ("get",)], "name string")
+    assert [x.reply for x in commands.save(df, str(tmp_path / "saved"), names).collect()] == ["+OK\r\n", "+OK\r\n", None]
+    assert spark.read.parquet(str(tmp_path / "saved")).count() == 300
+    segments.write_segments(state.latest(df), str(tmp_path / "seg"))
+    files = sorted((x.smallest, x.largest, x.n_rows) for x in segments.read_footers(spark, str(tmp_path / "seg")).where("n_rows > 0").collect())
+    assert sum(n for *_, n in files) == 300 and all(a[1] < b[0] for a, b in zip(files, files[1:]))
+    got = commands.retries(spark.createDataFrame([(5, 1000)], "seq long, start_us long"), 3).orderBy("attempt").collect()
+    assert [(x.at_us, x.node) for x in got] == [(1000, 2), (101_000, 0), (301_000, 1)]

@@ -1,7 +1,8 @@
 """Bloom filters with double hashing, built in partial filters that are merged.
 
 Each task folds its keys into one filter; filters of one size are or-ed.  The bits are a
-parameter, so what is merged and broadcast has a fixed size.
+parameter, so what is merged and broadcast has a fixed size; `sized` takes them from a count of the keys.
+Keys beyond MOST_KEYS (a filter of 120 MB at 1 %) are for filters by segment, not for one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.codecs import key_hashes
 
-LN2 = 0.69314718056
+LN2, MOST_KEYS = 0.69314718056, 100_000_000
 
 
 def params(n: int, p: float) -> tuple[int, int]:
@@ -28,6 +29,14 @@ def params(n: int, p: float) -> tuple[int, int]:
     return bits, max(1, int(bits * LN2 / n))
 
 
+def sized(keys: DataFrame, p: float = 0.01) -> tuple[int, int]:
+    """Bits and hashes for the keys that there are."""
+    n = keys.where("key is not null").count()
+    if n > MOST_KEYS:
+        raise ValueError(f"{n} keys are too many for one filter; build one a segment")
+    return params(max(n, 1), p)
+
+
 def params_columns(n: Column, p: Column) -> tuple[Column, Column]:
     raw = F.floor(-n * F.log(p) / F.lit(LN2 * LN2)).cast("long")
     bits = F.floor((raw + 7) / 8).cast("long") * 8

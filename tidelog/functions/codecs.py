@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of the file format.
 CODECS = {"none": 0, "zstd": 1, "lz4": 2}
+PACKERS = {1: "zstd", 2: "lz4_raw"}
 FNV_OFFSET, FNV_PRIME = 0x811C9DC5, 0x01000193
+FEW_KEYS = 16
 
 
 def codec_id(name: Column) -> Column:
@@ -62,19 +65,57 @@ def decode_varint(raw: bytes, at: int = 0) -> tuple[int, int]:
         shift += 7
 
 
+def compress(codec: Column, content: Column) -> Column:
+    """A block as its codec (by number) packs it."""
+
+    @F.pandas_udf("binary")
+    def packed(ids: pd.Series, blocks: pd.Series) -> pd.Series:
+        return pd.Series([bytes(b) if i == 0 else pa.Codec(PACKERS[i]).compress(b, asbytes=True) for i, b in zip(ids, blocks)])
+
+    return packed(codec, content)
+
+
+def decompress(codec: Column, content: Column, size: Column) -> Column:
+    """A packed block as it was; its size is known from the block's header."""
+
+    @F.pandas_udf("binary")
+    def unpacked(ids: pd.Series, blocks: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([bytes(b) if i == 0 else pa.Codec(PACKERS[i]).decompress(b, decompressed_size=int(n), asbytes=True) for i, b, n in zip(ids, blocks, sizes)])
+
+    return unpacked(codec, content, size)
+
+
+def compress_bound(codec: Column, size: Column) -> Column:
+    """The most bytes that a block of a size can take, by the bounds of the two formats."""
+    zstd = size + F.shiftright(size, 8) + F.when(size < 131072, F.shiftright(131072 - size, 11)).otherwise(0)
+    return F.when(codec == CODECS["none"], size).when(codec == CODECS["lz4"], size + F.floor(size / 255) + 16).otherwise(zstd).cast("long")
+
+
 def key_hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """FNV-1a and times-33 hashes of 32 bits, column by column over the padded keys.  Characters
-    are signed, so those from 0x80 on enter with their sign extended."""
-    n = max(map(len, keys), default=0)
-    grid = np.zeros((len(keys), n), np.uint32)
-    sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-    for i, k in enumerate(keys):
-        grid[i, : len(k)] = np.frombuffer(k, np.int8).astype(np.int32).view(np.uint32)
+    """FNV-1a and times-33 hashes of 32 bits, a character of all keys at a time, over the keys one after
+    another; memory is that of the keys.  The last characters of the few longest keys are taken in turn.
+    Characters are signed, so those from 0x80 on enter with their sign extended."""
     a, b = np.full(len(keys), FNV_OFFSET, np.uint32), np.zeros(len(keys), np.uint32)
-    for j in range(n):
-        live, c = sizes > j, grid[:, j]
-        a = np.where(live, (a ^ c) * np.uint32(FNV_PRIME), a)
-        b = np.where(live, b * np.uint32(33) + c, b)
+    sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+    order = np.argsort(-sizes, kind="stable")
+    begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    flat = np.frombuffer(b"".join(keys), np.int8)
+    ends, j = sizes[order], 0
+    while True:
+        live = int(np.searchsorted(-ends, -j, "left"))  # keys with more than j characters
+        if live <= FEW_KEYS:
+            break
+        own = order[:live]
+        c = flat[begin[own] + j].astype(np.int32).view(np.uint32)
+        a[own] = (a[own] ^ c) * np.uint32(FNV_PRIME)
+        b[own] = b[own] * np.uint32(33) + c
+        j += 1
+    for i in order[:live].tolist():
+        x, y = int(a[i]), int(b[i])
+        for c in flat[begin[i] + j : begin[i] + sizes[i]].tolist():
+            x = (x ^ (c & 0xFFFFFFFF)) * FNV_PRIME & 0xFFFFFFFF
+            y = (y * 33 + c) & 0xFFFFFFFF
+        a[i], b[i] = x, y
     return a, b
 
 

@@ -11,6 +11,7 @@ from tidelog.operators import state
 
 #: The INFO reply: sections and fields of the protocol, with this engine's own version.
 INFO = "# Server\r\ntidelog_version:1.0.0\r\n\r\n# Keyspace\r\n"
+#: Fixed names of the protocol's commands.
 COMMANDS = ("ping", "set", "get", "del", "keys", "scan", "exists", "dbsize", "flushdb", "info", "health", "quit", "save", "bgsave", "command")
 
 
@@ -68,6 +69,21 @@ def static_reply(name: Column) -> Column:
     return F.when(low == "ping", F.lit("+PONG\r\n")).when(low.isin("quit", "command"), F.lit("+OK\r\n")).when(low == "info", bulk(F.lit(INFO)))
 
 
+def save(log: DataFrame, path: str, names: DataFrame) -> DataFrame:
+    """name, reply of SAVE and BGSAVE, which answer when the log's state is stored at `path`."""
+    state.latest(log).write.mode("overwrite").parquet(path)
+    return names.select("name", F.when(F.lower("name").isin("save", "bgsave"), F.lit("+OK\r\n")).alias("reply"))
+
+
+def retries(failed: DataFrame, nodes: int, tries: int = 3, wait_us: int = 100_000) -> DataFrame:
+    """seq, attempt, at_us, node: when and where a client tries requests (seq, start_us) that keep failing.
+    It waits twice as long after each attempt, and goes from node to node."""
+    attempt = F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt")
+    waited = (F.pow(F.lit(2), F.col("attempt")) - 1).cast("long") * wait_us
+    rows = failed.select("seq", "start_us", attempt)
+    return rows.select("seq", "attempt", (F.col("start_us") + waited).alias("at_us"), ((F.col("seq") + F.col("attempt")) % nodes).alias("node"))
+
+
 def dispatch(argv: DataFrame) -> DataFrame:
     """name (lower case), known, and the error reply of an unknown command; argv has column argv."""
     name = F.lower(F.get("argv", F.lit(0)))

@@ -7,7 +7,9 @@ keeps, never the order of files.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators import state
@@ -78,11 +80,35 @@ def compact_all(segments: DataFrame, bottom: int = MAX_LEVELS - 1) -> DataFrame:
     return merged.select(F.lit(-bottom).cast("long").alias("file_id"), F.lit(bottom).cast("int").alias("level"), "seq", "op", "key", "value")
 
 
+def poll(segments: DataFrame) -> DataFrame:
+    """What the scheduler leaves behind after one look: if a level's usage triggers it, everything merged to the
+    bottom, level by level; else the segments as they are."""
+    due = level_usage(segments).agg(F.bool_or("triggered")).first()[0]
+    return compact_all(segments) if due else segments.select("file_id", "level", "seq", "op", "key", "value")
+
+
 def write_segments(rows: DataFrame, path: str, codec: str = "zstd") -> None:
     """Sorted files by key range; footers hold each file's bounds, which prune point reads."""
     rows.repartitionByRange("key").sortWithinPartitions("key", "seq").write.mode("append").option("compression", codec).parquet(path)
 
 
+def read_footers(spark: SparkSession, path: str) -> DataFrame:
+    """file, n_rows, smallest, largest of segment files, from the statistics in their footers."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, raw in zip(batch.column(0), batch.column(1)):
+                meta = pq.ParquetFile(pa.BufferReader(raw.as_buffer())).metadata
+                at = [meta.row_group(0).column(i).path_in_schema for i in range(meta.num_columns)].index("key") if meta.num_row_groups else 0
+                stats = [meta.row_group(i).column(at).statistics for i in range(meta.num_row_groups)]
+                rows.append((name.as_py(), meta.num_rows, min((x.min for x in stats), default=None), max((x.max for x in stats), default=None)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (pa.string(), pa.int64(), pa.string(), pa.string()))], ["file", "n_rows", "smallest", "largest"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, n_rows long, smallest string, largest string")
+
+
 def prune(manifest_: DataFrame, key: str) -> DataFrame:
     """Files whose bounds admit a key."""
     return manifest_.where((F.col("smallest") <= key) & (F.col("largest") >= key))

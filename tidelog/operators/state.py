@@ -1,13 +1,13 @@
 """Keyed state from an ordered log of PUT and DEL rows.
 
 A log has columns seq (unique), op, key and value.  The row with the greatest seq of a key
-wins; a DEL, or a PUT of an empty value, means that the key is absent.  Rows are reduced before
-they are shuffled, and filters on key are pushed to the scan.
+wins; a DEL, or a PUT of an empty value, means that the key is absent.  Filters on key are pushed to
+the scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.schemas import SCAN_COUNT_DEFAULT, SCAN_COUNT_MAX
@@ -27,9 +27,11 @@ def latest(log: DataFrame, unique_seq: bool = True) -> DataFrame:
     """key, op, value, seq: each key's last row, tombstones included.
 
     With a unique seq the greatest seq of each key is found first, by a hash aggregation over two
-    narrow columns, and the rows with these seqs are picked by a semi-join; on a wide log that is
-    several times faster than carrying rows through max_by, whose buffers of strings need a sort.
-    Where rows may come twice (replays), max_by keeps one."""
+    narrow columns that reduces rows before they are shuffled, and the rows with these seqs are
+    picked by a semi-join: without a shuffle of the log where the seqs can be broadcast, else with
+    one by seq, which no key can skew.  Carrying rows through max_by shuffles them but once, but its
+    buffers of strings need a sort of the log; `unique_seq=False` does so, and must where rows may
+    come twice (replays), as a key's rows with one seq are all returned otherwise."""
     rows = log.select("key", "op", "value", "seq")
     if not unique_seq:
         return rows.groupBy("key").agg(F.max_by(F.struct("op", "value", "seq"), "seq").alias("s")).select("key", "s.*")
@@ -99,6 +101,35 @@ def scan_after(log: DataFrame, last_key: str | None, count: int | None = None) -
     return current_state(rows).orderBy("key").limit(page_size(count))
 
 
+def write_sorted(log: DataFrame, path: str) -> DataFrame:
+    """Live rows in files by key range, each row with its file's number and its place in the file."""
+    rows = current_state(log).repartitionByRange("key").sortWithinPartitions("key")
+    place = F.monotonically_increasing_id()  # the number of the partition above 33 bits of the place in it
+    rows.select("key", "value", "seq", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("place")).write.parquet(path)
+    return log.sparkSession.read.parquet(path)
+
+
+def numbered_pages(rows: DataFrame, count: int | None = None) -> DataFrame:
+    """page, pos, key, value, seq of all rows that write_sorted wrote: the pages of a whole walk in one plan.
+    Only the files' row counts are numbered in one task, not the rows."""
+    size = page_size(count)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    pos = F.col("offset") + F.col("place")
+    return rows.join(F.broadcast(offsets), "part").select(F.expr(f"(offset + place) div {size}").alias("page"), pos.alias("pos"), "key", "value", "seq")
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Add rows to a stored log.  Each call adds files; readers see a whole call or nothing of it."""
+    valid(rows.select("seq", "op", "key", "value")).write.mode("append").parquet(path)
+
+
+def hide(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows with column hidden: entries of a memory table that were removed by a flag stay counted."""
+    gone = keys.select("key").distinct().withColumn("hidden", F.lit(True))
+    return rows.join(gone, "key", "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
+
+
 def apply_puts(log: DataFrame, rows: DataFrame) -> DataFrame:
     """The log with PUTs of rows (key, value, seq) appended."""
     return log.select("seq", "op", "key", "value").unionByName(valid(rows.where("value is not null")).select("seq", F.lit("PUT").alias("op"), "key", "value"))

@@ -1,22 +1,22 @@
 """All queries over the driver tables, each with the SQL that gives the same rows in DuckDB.
 
-Queries without SQL fold rows in order, hash bytes or parse frames; tests hold them against
-brute force.
+Where a query writes and reads files or streams, its SQL states the rows that must come back.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import bloom, codecs
 from tidelog.operators import commands, history, metrics, replicas, replication, segments, shard, state
 from tidelog.plans import fixtures as fx
 from tidelog.plans.fixtures import sql
-from tidelog.sources import protocol, text, wal
+from tidelog.sources import protocol, snapshot, text, wal
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -35,9 +35,12 @@ def query(oracle: str | None = None, *views: str):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; a local one only where the cluster names none."""
+    """A new folder that all executors share.  Only a session of one machine may leave spark.checkpoint.dir
+    unset: then a local folder is taken."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
@@ -63,22 +66,39 @@ def kv_state_large(spark, d):
     return state.current_state(fx.ops_large(spark, d))
 
 
-@query()
+@query(f", al as (select * from ops union all select seq+1+(select max(seq) from ops), 'PUT', concat('new:',key), value from ops where value is not null) select key,value,seq from {fx.LAST.format('al')} where rn=1 and {LIVE}", "ops")
 def apply_puts(spark, d):
+    """A batch as long as the log itself, under new keys."""
     log = fx.ops(spark, d)
-    rows = log.where("seq < 50").select((F.col("seq") + 100000).alias("seq"), F.concat(F.lit("new:"), "key").alias("key"), "value")
+    end = fx.share_of_log(spark, d, 10)
+    rows = log.select((F.col("seq") + end + 1).alias("seq"), F.concat(F.lit("new:"), "key").alias("key"), "value")
     return state.current_state(state.apply_puts(log, rows))
 
 
-@query()
+@query(f", al as (select * from ops union all select row_number() over (order by key)+(select max(seq) from ops), 'DEL', key, null from (select distinct key from asked)) select key,value,seq from {fx.LAST.format('al')} where rn=1 and {LIVE}", "ops", "asked")
 def apply_deletes(spark, d):
+    """All keys that clients ask for are deleted, whether or not they exist."""
     log = fx.ops(spark, d)
-    rows = log.where("seq < 50").select((F.col("seq") + 100000).alias("seq"), "key")
+    end = fx.share_of_log(spark, d, 10)
+    rows = fx.asked(spark, d).distinct().select((F.xxhash64("key").bitwiseAND((1 << 40) - 1) + end + 1).alias("seq"), "key")
     return state.current_state(state.apply_deletes(log, rows))
 
 
-ORACLES["apply_puts"] = "with ops as (" + fx.SQL["ops"] + f"), al as (select * from ops union all select seq+100000, 'PUT', concat('new:',key), value from ops where seq<50 and value is not null) select key,value,seq from {fx.LAST.format('al')} where rn=1 and {LIVE}"
-ORACLES["apply_deletes"] = "with ops as (" + fx.SQL["ops"] + f"), al as (select * from ops union all select seq+100000, 'DEL', key, null from ops where seq<50) select key,value,seq from {fx.LAST.format('al')} where rn=1 and {LIVE}"
+@query("select key, value, seq from state_a", "state_a")
+def log_append(spark, d):
+    """A stored log that grows by two appends."""
+    path, log, middle = scratch(spark), fx.ops(spark, d), fx.share_of_log(spark, d, 5)
+    state.append(log.where(F.col("seq") <= middle), path)
+    state.append(log.where(F.col("seq") > middle), path)
+    return state.current_state(spark.read.schema(log.schema).parquet(path))
+
+
+@query("select l.key, case when a.key is null then value end as value, a.key is not null as hidden, count(*) over () as entries from last l left join (select distinct key from asked) a using (key)", "last", "asked")
+def memtable_hide(spark, d):
+    """Entries that are removed by a flag: they answer nothing and still count."""
+    rows = state.hide(state.latest(fx.ops(spark, d)), fx.asked(spark, d))
+    entries = rows.agg(F.count("*").alias("entries"))
+    return rows.select("key", F.when(~F.col("hidden"), F.col("value")).alias("value"), "hidden").join(F.broadcast(entries))
 
 
 @query("select key,value,seq from state_a where key='user:00000017'", "state_a")
@@ -143,19 +163,26 @@ def pages_until_short(page_after, size: int):
 
 @query("select key,value,seq from state_a", "state_a")
 def scan_all_pages(spark, d):
-    """Pages after the last key, until one is short: all keys once."""
-    log = fx.ops(spark, d).select("seq", "op", "key", "value")
+    """A client's walk: pages after the last key, until one is short, over a state that is written once
+    in key order, so a page reads the files that its bounds admit."""
+    rows = state.write_sorted(fx.ops(spark, d), scratch(spark)).select("key", "value", "seq")
 
     def page_after(last):
-        page = state.scan_after(log, last, 1000)
+        page = (rows if last is None else rows.where(F.col("key") > last)).orderBy("key").limit(1000)
         return page, *page.agg(F.count("*"), F.max("key")).first()
 
     pages = []
     for last, page, n, key in pages_until_short(page_after, 1000):
-        pages.append(state.between(state.current_state(log), None, key).where(F.lit(True) if last is None else F.col("key") > last) if n else page)
+        pages.append(state.between(rows, None, key).where(F.lit(True) if last is None else F.col("key") > last) if n else page)
     return metrics.union_all(pages)
 
 
+@query("select (row_number() over (order by key)-1)//25 as page, row_number() over (order by key)-1 as pos, key, value, seq from state_a", "state_a")
+def scan_numbered_pages(spark, d):
+    """All pages of a walk in one plan."""
+    return state.numbered_pages(state.write_sorted(fx.ops(spark, d), scratch(spark)), 25)
+
+
 # --- commands
 
 
@@ -206,6 +233,29 @@ def cmd_dispatch(spark, d):
     return commands.dispatch(fx.table(spark, d, "events").select(F.col("event_id").alias("id"), F.array(name, F.lit("x")).alias("argv")))
 
 
+@query("select name, '+OK'||chr(13)||chr(10) as reply, (select count(*) from last) as saved from (values ('SAVE'),('BGSAVE')) t(name)", "last")
+def cmd_save(spark, d):
+    path = scratch(spark)
+    replies = commands.save(fx.ops(spark, d), path, spark.createDataFrame([("SAVE",), ("BGSAVE",)], "name string"))
+    return replies.join(F.broadcast(spark.read.parquet(path).agg(F.count("*").alias("saved"))))
+
+
+@query("select seq, a::integer as attempt, start_us + (power(2,a)::bigint-1)*100000 as at_us, (seq+a)%3 as node from hist, range(3) t(a) where not success", "hist")
+def cmd_retries(spark, d):
+    """Attempts of the operations that failed."""
+    return commands.retries(fx.history(spark, d).where("not success"), 3)
+
+
+COMMIT = "(select coalesce(max(idx),0) from rlog where term=(select max(term) from rlog) and (select count(*) from peers where match_index>=idx)*2>(select count(*) from peers))"
+TERM = "(select max(term) from rlog)"
+
+
+def _commit(spark, d) -> tuple[int, int]:
+    """Commit index and current term: one row of a quorum and one of the log."""
+    log = fx.raft_log(spark, d)
+    return replication.commit_index(log, fx.peers(spark, d)).first()[0], log.agg(F.max("term")).first()[0] or 0
+
+
 STATS = "select (select cast(sum(strlen(key)+coalesce(strlen(value),0)) as bigint) from seg where file_id=(select max(file_id) from seg)) as memtable_size, (select count(*) from manifest) as sstable_count, (select count(*) filter (where op='PUT') - count(*) filter (where op='DEL') from ops) as total_keys, 1 as wal_enabled"
 
 
@@ -225,13 +275,24 @@ def health_stats(spark, d):
     return commands.health_text(_stats(spark, d))
 
 
-@query("select '{\"status\":\"ok\",\"role\":\"leader\",\"raft_term\":4,\"raft_commit_index\":9500,\"raft_applied_index\":9500,\"last_snapshot_index\":0,\"memtable_size\":'||memtable_size||',\"sstable_count\":'||sstable_count||',\"total_keys\":'||total_keys||',\"wal_enabled\":'||wal_enabled||'}' as body from (" + STATS + ")", "manifest")
+@query("select '{\"status\":\"ok\",\"role\":\"leader\",\"raft_term\":'||" + TERM + "||',\"raft_commit_index\":'||" + COMMIT + "||',\"raft_applied_index\":'||" + COMMIT + "||',\"last_snapshot_index\":'||(select max(idx)*6//10 from rlog)||',\"memtable_size\":'||memtable_size||',\"sstable_count\":'||sstable_count||',\"total_keys\":'||total_keys||',\"wal_enabled\":'||wal_enabled||'}' as body from (" + STATS + ")", "manifest", "peers")
 def health_json(spark, d):
-    named = _stats(spark, d).withColumns({"role": F.lit("leader"), "raft_term": F.lit(4), "raft_commit_index": F.lit(9500), "raft_applied_index": F.lit(9500), "last_snapshot_index": F.lit(0)})
+    """The leader's health: all that it has committed is applied; a snapshot holds six tenths of the log."""
+    commit, term = _commit(spark, d)
+    snapshot_at = (fx.share_of_log(spark, d, 10) + 1) * 6 // 10
+    named = _stats(spark, d).withColumns({"role": F.lit("leader"), "raft_term": F.lit(term), "raft_commit_index": F.lit(commit), "raft_applied_index": F.lit(commit), "last_snapshot_index": F.lit(snapshot_at)})
     return text.health_json(named)
 
 
-@query()
+@query(
+    """recursive hist as ({hist}), sized as (select seq, key, op, value, row_number() over (partition by key order by end_us, seq) as i from hist where success and op in ('put','cas','inc')),
+    f as (select key, cast(0 as bigint) as i, cast(null as bigint) as seq, true as applied, cast(null as varchar) as value from sized where i=1 union all
+      select s.key, s.i, s.seq, case when s.op<>'cas' then true else coalesce(strpos(s.value,'->')>0 and coalesce(f.value,'')=left(s.value, strpos(s.value,'->')-1), false) end,
+        case when s.op='put' then s.value when s.op='inc' then cast(case when regexp_full_match(coalesce(f.value,''),'[0-9]+') then cast(f.value as bigint) else 0 end + 1 as varchar)
+             when coalesce(strpos(s.value,'->')>0 and coalesce(f.value,'')=left(s.value, strpos(s.value,'->')-1), false) then substr(s.value, strpos(s.value,'->')+2) else f.value end
+      from f join sized s on s.key=f.key and s.i=f.i+1)
+    select seq, key, applied, value from f where i>0""".replace("recursive", "with recursive", 1).replace("{hist}", fx.SQL["hist"])
+)
 def cas_apply(spark, d):
     return history.apply_register_ops(fx.history(spark, d))
 
@@ -294,8 +355,10 @@ def segment_bounds(spark, d):
 
 @query("select * from manifest", "manifest")
 def manifest_text(spark, d):
-    """Catalog rows written as text lines and parsed again."""
-    return text.parse_manifest(text.manifest_lines(segments.manifest(fx.segments(spark, d))))
+    """Catalog rows written as a text file and parsed again."""
+    path = scratch(spark)
+    text.manifest_lines(segments.manifest(fx.segments(spark, d))).write.text(path)
+    return text.read_manifest(spark, path)
 
 
 @query("select file_id, level, file_size, (select max(file_id)+1 from manifest) as next_file_id from manifest where level=2", "manifest")
@@ -320,12 +383,15 @@ def codec_name(spark, d):
     return names.select("name", codecs.codec_id(F.col("name")).alias("id")).withColumn("back", codecs.codec_name(F.col("id")))
 
 
-@query("select key, 'x' as status, value as ref_value, value as this_value from state_a where false", "state_a")
+@query("select coalesce(a.key,b.key) as key, case when b.key is null then 'only_ref' when a.key is null then 'only_this' else 'value_diff' end as status, a.value as ref_value, b.value as this_value from state_a a full join state_b b on a.key=b.key where a.value is distinct from b.value", "state_a", "state_b")
 def backup_restore_diff(spark, d):
-    """A backup that is written, read and compared: no differences."""
-    path = scratch(spark)
-    replicas.backup(fx.ops(spark, d), path)
-    return replicas.diff(fx.state_a(spark, d), state.current_state(spark.read.parquet(path)))
+    """A replica's backup is written, read and compared with the leader's state; the leader's own backup, in the
+    same comparison, adds nothing."""
+    own, other = scratch(spark), scratch(spark)
+    replicas.backup(fx.ops(spark, d), own)
+    replicas.backup(fx.ops(spark, d).where("seq % 7 <> 0"), other)
+    leader = fx.state_a(spark, d)
+    return metrics.union_all([replicas.diff(leader, state.current_state(spark.read.parquet(p))) for p in (own, other)])
 
 
 @query("select key,value,seq from state_b", "state_b")
@@ -337,16 +403,16 @@ def snapshot_import(spark, d):
     return state.current_state(spark.read.parquet(path))
 
 
-@query("select * from rlog where idx>6000", "rlog")
+@query("select * from rlog where idx>(select max(seq)*6//10 from ops)", "rlog")
 def raft_log_load(spark, d):
-    return replication.load_after_snapshot(fx.raft_log(spark, d), 6000)
+    return replication.load_after_snapshot(fx.raft_log(spark, d), fx.share_of_log(spark, d, 6))
 
 
-@query("select cast(9500 as bigint) as last_included_index, (select term from rlog where idx=9500) as last_included_term, count(*) as file_count, cast(sum(file_size) as bigint) as total_size from manifest", "manifest", "rlog")
+@query("select " + COMMIT + " as last_included_index, (select term from rlog where idx=" + COMMIT + ") as last_included_term, count(*) as file_count, cast(sum(file_size) as bigint) as total_size from manifest", "manifest", "peers")
 def snapshot_meta(spark, d):
     """The side file of a snapshot, through JSON."""
     files = segments.manifest(fx.segments(spark, d)).agg(F.count("*").alias("file_count"), F.sum("file_size").alias("total_size"))
-    at = fx.raft_log(spark, d).where("idx = 9500").select(F.col("idx").alias("last_included_index"), F.col("term").alias("last_included_term"))
+    at = fx.raft_log(spark, d).where(F.col("idx") == _commit(spark, d)[0]).select(F.col("idx").alias("last_included_index"), F.col("term").alias("last_included_term"))
     path = scratch(spark)
     at.join(F.broadcast(files)).coalesce(1).write.json(path)
     return text.read_snapshot_meta(spark, path)
@@ -375,28 +441,29 @@ def _node_metrics(spark, d) -> DataFrame:
         F.count_if(op == "PUT").alias("kv_puts_total"), F.count_if(op == "DEL").alias("kv_deletes_total"), F.count_if(F.col("seq") % 5 == 0).alias("kv_gets_total"),
         F.count_if(F.col("seq") % 7 == 0).alias("kv_get_misses_total"), F.count_if(F.col("seq") % 11 == 0).alias("kv_scans_total"), F.count("*").alias("raft_log_count"), F.max("seq").alias("raft_last_applied"),
     )
-    fixed = {"kv_uptime_seconds": 3600, "kv_compactions_total": 2, "raft_term": 4, "raft_commit_index": 9500, "raft_snapshot_index": 0}
+    commit, term = _commit(spark, d)
+    fixed = {"kv_uptime_seconds": 3600, "kv_compactions_total": 2, "raft_term": term, "raft_commit_index": commit, "raft_snapshot_index": 0}  # uptime and compactions are those of no run
     leader = F.col("node") == 0
     return agg.withColumns({k: F.lit(v).cast("long") for k, v in fixed.items()} | {"raft_state": F.when(leader, 2).otherwise(0), "raft_is_leader": F.when(leader, 1).otherwise(0)})
 
 
-NODE_METRICS = "select seq%3 as node, count(*) filter (where op='PUT') as kv_puts_total, count(*) filter (where op='DEL') as kv_deletes_total, count(*) filter (where seq%5=0) as kv_gets_total, count(*) filter (where seq%7=0) as kv_get_misses_total, count(*) filter (where seq%11=0) as kv_scans_total, count(*) as raft_log_count, max(seq) as raft_last_applied, 3600 as kv_uptime_seconds, 2 as kv_compactions_total, 4 as raft_term, 9500 as raft_commit_index, 0 as raft_snapshot_index, case when seq%3=0 then 2 else 0 end as raft_state, case when seq%3=0 then 1 else 0 end as raft_is_leader from ops group by seq%3"
+NODE_METRICS = "select seq%3 as node, count(*) filter (where op='PUT') as kv_puts_total, count(*) filter (where op='DEL') as kv_deletes_total, count(*) filter (where seq%5=0) as kv_gets_total, count(*) filter (where seq%7=0) as kv_get_misses_total, count(*) filter (where seq%11=0) as kv_scans_total, count(*) as raft_log_count, max(seq) as raft_last_applied, 3600 as kv_uptime_seconds, 2 as kv_compactions_total, " + TERM + " as raft_term, " + COMMIT + " as raft_commit_index, 0 as raft_snapshot_index, case when seq%3=0 then 2 else 0 end as raft_state, case when seq%3=0 then 1 else 0 end as raft_is_leader from ops group by seq%3"
 EXPOSED_SQL = " || chr(10) || ".join(f"'# HELP {n} {h}' || chr(10) || '# TYPE {n} {k}' || chr(10) || '{n} ' || {n} || chr(10)" for n, k, h in metrics.EXPOSED)
 
 
-@query(f"select node, {EXPOSED_SQL} as body from ({NODE_METRICS})", "ops")
+@query(f"select node, {EXPOSED_SQL} as body from ({NODE_METRICS})", "ops", "peers")
 def prom_text(spark, d):
     return metrics.prometheus_text(_node_metrics(spark, d))
 
 
-@query(f"select node, name, cast(value as double) as value from (unpivot ({NODE_METRICS}) on columns(* exclude (node)) into name name value value)", "ops")
+@query(f"select node, name, cast(value as double) as value from (unpivot ({NODE_METRICS}) on columns(* exclude (node)) into name name value value)", "ops", "peers")
 def prom_parse(spark, d):
     """Metrics as text, parsed again."""
     lines = metrics.prometheus_text(_node_metrics(spark, d)).select("node", F.explode(F.split("body", "\n")).alias("line"))
     return text.parse_metrics(lines, "node")
 
 
-@query(f"select node, cast(kv_puts_total as double) as kv_puts_total, cast(raft_log_count as double) as raft_log_count from ({NODE_METRICS})", "ops")
+@query(f"select node, cast(kv_puts_total as double) as kv_puts_total, cast(raft_log_count as double) as raft_log_count from ({NODE_METRICS})", "ops", "peers")
 def metrics_pivot(spark, d):
     lines = metrics.prometheus_text(_node_metrics(spark, d)).select("node", F.explode(F.split("body", "\n")).alias("line"))
     return metrics.pivot(text.parse_metrics(lines, "node"), ["kv_puts_total", "raft_log_count"])
@@ -527,21 +594,22 @@ def verify_expected(spark, d):
     return replicas.verify(fx.state_a(spark, d), fx.state_b(spark, d))
 
 
-@query(f", s as (select key,value,seq from {fx.LAST.format('(select * from ops where seq<=8000)')} where rn=1 and {LIVE}) select coalesce(a.key,b.key) as key, case when b.key is null then 'only_ref' when a.key is null then 'only_this' else 'value_diff' end as status, a.value as ref_value, b.value as this_value from s a full join state_a b on a.key=b.key where a.value is distinct from b.value", "state_a")
+@query(f", s as (select key,value,seq from {fx.LAST.format('(select * from ops where seq<=(select max(seq)*8//10 from ops))')} where rn=1 and {LIVE}) select coalesce(a.key,b.key) as key, case when b.key is null then 'only_ref' when a.key is null then 'only_this' else 'value_diff' end as status, a.value as ref_value, b.value as this_value from s a full join state_a b on a.key=b.key where a.value is distinct from b.value", "state_a")
 def snapshot_vs_live(spark, d):
     log = fx.ops(spark, d)
-    return replicas.diff(replicas.snapshot(log, 8000), state.current_state(log))
+    return replicas.diff(replicas.snapshot(log, fx.share_of_log(spark, d, 8)), state.current_state(log))
 
 
-@query(f"select key,value,seq from {fx.LAST.format('(select * from ops where seq<=5000)')} where rn=1 and {LIVE} and key='user:00000017'", "ops")
+@query(f"select key,value,seq from {fx.LAST.format('(select * from ops where seq<=(select max(seq)*5//10 from ops))')} where rn=1 and {LIVE} and key='user:00000017'", "ops")
 def snapshot_get(spark, d):
-    return state.get(fx.ops(spark, d).where("seq <= 5000"), "user:00000017")
+    return state.get(fx.ops(spark, d).where(F.col("seq") <= fx.share_of_log(spark, d, 5)), "user:00000017")
 
 
-@query(f"select key,value,seq from {fx.LAST.format('(select * from ops where seq<=4999)')} where rn=1 and {LIVE} and key between 'user:00000010' and 'user:00000090'", "ops")
+@query(f"select key,value,seq from {fx.LAST.format('(select * from ops where seq<=(select max(seq)*4//10 from ops))')} where rn=1 and {LIVE} and key between 'user:00000010' and 'user:00000090'", "ops")
 def snapshot_scan(spark, d):
-    """At seq 5500 with the files flushed up to 4999: what is in memory only is not seen."""
-    return state.between(replicas.snapshot(fx.ops(spark, d), 5500, flushed_upto=4999), "user:00000010", "user:00000090")
+    """At half of the log with four tenths flushed: what is in memory only is not seen."""
+    upto = [fx.share_of_log(spark, d, n) for n in (5, 4)]
+    return state.between(replicas.snapshot(fx.ops(spark, d), upto[0], flushed_upto=upto[1]), "user:00000010", "user:00000090")
 
 
 @query("select file_id, level, file_size, smallest, largest from manifest where 'user:00000017' between smallest and largest", "manifest")
@@ -604,6 +672,66 @@ def compact_all(spark, d):
     return segments.compact_all(fx.segments(spark, d))
 
 
+DUE = "(select bool_or(case when level=0 then n>=2 else level<7 and bytes>=10485760*power(10,level-1) end) from (select level, count(*) as n, sum(file_size) as bytes from manifest group by level))"
+
+
+@query(f"select cast(-6 as bigint) as file_id, 6 as level, seq, op, key, value from last where {DUE} union all select file_id, level, seq, op, key, value from seg where not {DUE}", "last", "manifest")
+def compact_scheduled(spark, d):
+    """What one look of the compaction scheduler leaves behind."""
+    return segments.poll(fx.segments(spark, d))
+
+
+def _closed_store(spark, d) -> str:
+    """The folder of a store that was closed: its state in sorted files."""
+    path = scratch(spark)
+    segments.write_segments(state.latest(fx.ops(spark, d)), path)
+    return path
+
+
+@query("select key, op, value, seq from last where key between 'user:00000010' and 'user:00000050'", "last")
+def segment_write(spark, d):
+    """A closed store, read again between bounds, which the files' own bounds prune."""
+    return state.between(spark.read.schema("key string, op string, value string, seq long").parquet(_closed_store(spark, d)), "user:00000010", "user:00000050")
+
+
+@query("select count(*) as n_rows, min(key) as smallest, max(key) as largest, true as apart from last", "last")
+def segment_footer(spark, d):
+    """The footers of a closed store's files: rows and bounds, and that no two files' bounds overlap."""
+    files = segments.read_footers(spark, _closed_store(spark, d)).where("n_rows > 0")
+    before = Window.orderBy("smallest").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    apart = F.coalesce(F.col("smallest") > F.max("largest").over(before), F.lit(True))
+    return files.withColumn("apart", apart).agg(F.sum("n_rows").alias("n_rows"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.bool_and("apart").alias("apart"))
+
+
+def _blocks(spark, d) -> DataFrame:
+    """file_id, level, content: a segment's entries one after another."""
+    seg = fx.segments(spark, d)
+    entry = F.struct("seq", F.concat("key", F.coalesce("value", F.lit(""))).alias("e"))
+    return seg.groupBy("file_id", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]), "").cast("binary").alias("content"))
+
+
+BLOCKS = "(select file_id, level, encode(string_agg(key||coalesce(value,''), '' order by seq)) as content from seg group by file_id, level)"
+
+
+@query(f"select file_id, codec, octet_length(content) as size, lower(md5(content)) as digest, true as fits from {BLOCKS}, (values (0),(1),(2)) t(codec)", "seg")
+def codec_roundtrip(spark, d):
+    """Segments packed by each codec, within its bound, and unpacked."""
+    size = F.octet_length("content").cast("long")
+    blocks = _blocks(spark, d).select("file_id", "content", size.alias("size"), F.explode(F.array(*map(F.lit, sorted(codecs.CODECS.values())))).alias("codec"))
+    packed = blocks.withColumn("packed", codecs.compress(F.col("codec"), F.col("content")))
+    back = codecs.decompress(F.col("codec"), F.col("packed"), F.col("size"))
+    fits = F.octet_length("packed") <= codecs.compress_bound(F.col("codec"), F.col("size"))
+    return packed.select("file_id", "codec", "size", F.md5(back).alias("digest"), fits.alias("fits"))
+
+
+@query(f"select level as node, 'seg_'||lpad(file_id::varchar,6,'0') as name, octet_length(content) as size, lower(md5(content)) as digest, {COMMIT} as last_included_index, {TERM} as last_included_term from {BLOCKS}", "seg", "peers")
+def snapshot_pack(spark, d):
+    """Each level's files packed to a snapshot file and unpacked."""
+    files = _blocks(spark, d).select(F.col("level").alias("node"), F.format_string("seg_%06d", "file_id").alias("name"), "content")
+    back = snapshot.unpack(snapshot.pack(files, *_commit(spark, d)))
+    return back.select("node", "name", F.octet_length("content").cast("long").alias("size"), F.md5("content").alias("digest"), "last_included_index", "last_included_term")
+
+
 @query("select file_id, seq, key, prev_key from (select *, lag(key) over (partition by file_id order by seq) as prev_key from seg) where key<prev_key", "seg")
 def order_violations(spark, d):
     return segments.order_violations(fx.segments(spark, d))
@@ -626,9 +754,9 @@ def commit_index(spark, d):
     return replication.commit_index(fx.raft_log(spark, d), fx.peers(spark, d))
 
 
-@query(f"select key,value,seq from (select idx as seq, op, key, value, row_number() over (partition by key order by idx desc) as rn from rlog where idx>2000 and idx<=9500) where rn=1 and {LIVE}", "rlog")
+@query(f"select key,value,seq from (select idx as seq, op, key, value, row_number() over (partition by key order by idx desc) as rn from rlog where idx>(select max(seq)*2//10 from ops) and idx<={COMMIT}) where rn=1 and {LIVE}", "peers")
 def apply_committed(spark, d):
-    return replication.apply_committed(fx.raft_log(spark, d), 2000, 9500)
+    return replication.apply_committed(fx.raft_log(spark, d), fx.share_of_log(spark, d, 2), _commit(spark, d)[0])
 
 
 RECEIVED = "with rec as (select event_id as arrival, user_id%3 as node, 1+event_id//1700 as term, 1+event_id%400 as idx from events)"
@@ -655,18 +783,18 @@ def needs_snapshot(spark, d):
 
 @query("select key,value,seq+1 as seq from state_a", "state_a")
 def snapshot_plus_log(spark, d):
-    return replication.snapshot_plus_log(fx.raft_log(spark, d), 6000)
+    return replication.snapshot_plus_log(fx.raft_log(spark, d), fx.share_of_log(spark, d, 6))
 
 
-@query("select 5 as term, n_nationkey+1+(select max(idx) from rlog) as idx, 'PUT' as op, n_name as key, 'v' as value from nation union all select * from rlog where idx>9900", "rlog")
+@query("select " + TERM + " as term, n_nationkey+1+(select max(idx) from rlog) as idx, 'PUT' as op, n_name as key, 'v' as value from nation union all select * from rlog", "rlog")
 def raft_propose(spark, d):
     entries = fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("order"), F.lit("PUT").alias("op"), F.col("n_name").alias("key"), F.lit("v").alias("value"))
-    return replication.propose(fx.raft_log(spark, d), entries, 5).where("idx > 9900")
+    return replication.propose(fx.raft_log(spark, d), entries, _commit(spark, d)[1])
 
 
-@query("select * from rlog where idx>=7001 order by idx limit 128", "rlog")
+@query("select * from rlog where idx>=(select max(seq)*7//10 from ops) order by idx limit 128", "rlog")
 def repl_batch(spark, d):
-    return replication.replication_batch(fx.raft_log(spark, d), 7001)
+    return replication.replication_batch(fx.raft_log(spark, d), fx.share_of_log(spark, d, 7))
 
 
 ASKED_LOG = "(select n_nationkey as follower, n_nationkey*397 as prev_idx, case when n_nationkey%4=0 then 9 else 1+(n_nationkey*397-1)//3000 end as prev_term from nation)"
@@ -679,10 +807,12 @@ def log_match(spark, d):
     return replication.log_matches(fx.raft_log(spark, d), asked)
 
 
-@query("select a.idx, a.term, (a.term, a.idx) >= (cast(2 as bigint), cast(4000 as bigint)) as ok from rlog a where a.idx%100=0", "rlog")
+@query("select a.idx, a.term, (a.term, a.idx) >= ((select term from rlog where idx=" + COMMIT + "), " + COMMIT + ") as ok from rlog a", "peers")
 def log_up_to_date(spark, d):
-    log = fx.raft_log(spark, d).where("idx % 100 = 0")
-    return log.select("idx", "term", replication.up_to_date(F.col("term"), F.col("idx"), F.lit(2).cast("long"), F.lit(4000).cast("long")).alias("ok"))
+    """Candidates whose logs end at each entry, judged by a node whose log ends at the commit index."""
+    log, at = fx.raft_log(spark, d), _commit(spark, d)[0]
+    own = log.where(F.col("idx") == at).select(F.col("term").alias("own_term"), F.col("idx").alias("own_idx"))
+    return log.join(F.broadcast(own)).select("idx", "term", replication.up_to_date(F.col("term"), F.col("idx"), F.col("own_term"), F.col("own_idx")).alias("ok"))
 
 
 @query("select file_id, c as chunk, c*4096 as begin, least(4096, file_size-c*4096) as length from (select *, unnest(range(greatest(cast(ceil(file_size/4096) as bigint),1))) as c from manifest)", "manifest")
@@ -691,14 +821,14 @@ def snapshot_chunks(spark, d):
     return replication.snapshot_chunks(sizes, 4096)
 
 
-@query("select node, case when node=0 then 'LEADER' else 'FOLLOWER' end as role, (select max(term) from rlog) as term, least(match_index,9500) as commit_index, least(match_index,9500) as last_applied, match_index as log_count from peers", "peers")
+@query("select node, case when node=0 then 'LEADER' else 'FOLLOWER' end as role, (select max(term) from rlog) as term, least(match_index,c) as commit_index, least(match_index,c) as last_applied, match_index as log_count from peers, (select " + COMMIT + " as c)", "peers")
 def cluster_status(spark, d):
-    return replication.status(fx.raft_log(spark, d), fx.peers(spark, d), 9500)
+    return replication.status(fx.raft_log(spark, d), fx.peers(spark, d), _commit(spark, d)[0])
 
 
-@query("select node, match_index, cast(greatest(9500-match_index,0) as bigint) as lag from peers", "peers")
+@query("select node, match_index, cast(greatest(" + COMMIT + "-match_index,0) as bigint) as lag from peers", "peers")
 def replication_lag(spark, d):
-    return replication.lag(fx.raft_log(spark, d), fx.peers(spark, d), 9500)
+    return replication.lag(fx.raft_log(spark, d), fx.peers(spark, d), _commit(spark, d)[0])
 
 
 ROLES = "(select event_id as seq, user_id%3 as node, case event_type when 'purchase' then 2 when 'signup' then 1 when 'error' then 7 else 0 end as r from events)"
@@ -771,7 +901,7 @@ def stream_metrics(spark, d):
     return apply.windowed(rows).withColumn("total", F.round("total", 4))
 
 
-@query(f"select node, raft_term as term from ({NODE_METRICS}) where raft_is_leader=1", "ops")
+@query(f"select node, raft_term::integer as term from ({NODE_METRICS}) where raft_is_leader=1", "ops", "peers")
 def leader_node(spark, d):
     """The node whose exposed metrics say that it leads, of several the one with the greatest term."""
     lines = metrics.prometheus_text(_node_metrics(spark, d)).select("node", F.explode(F.split("body", "\n")).alias("line"))
@@ -825,7 +955,12 @@ def hex_roundtrip(spark, d):
     return fx.state_a(spark, d).select("key", codecs.to_hex(F.col("key")).alias("hexed")).withColumn("back", codecs.from_hex(F.col("hexed")))
 
 
-@query()
+#: The bytes of a text, and 32-bit hashes of ASCII keys, as list expressions.
+OCTETS = "list_transform(range(octet_length(encode({x}))), lambda i: ('0x'||substr(hex(encode({x})), 2*i+1, 2))::bigint)"
+CRC_TABLE = "(select list_transform(range(256), lambda n: list_reduce([n]||range(8), lambda a, k: case when a&1=1 then xor(a>>1, 3988292384) else a>>1 end)) as t)"
+
+
+@query("select seq, xor(list_reduce([4294967295::bigint]||c, lambda a, x: xor(a>>8, t[(xor(a, x)&255)+1])), 4294967295) as crc from (select seq, " + OCTETS.format(x="key||coalesce(value,'')") + " as c from ops), " + CRC_TABLE, "ops")
 def row_crc32(spark, d):
     return fx.ops(spark, d).select("seq", F.crc32(F.concat("key", F.coalesce("value", F.lit(""))).cast("binary")).alias("crc"))
 
@@ -854,24 +989,30 @@ def bloom_params(spark, d):
 
 
 def _filter(spark, d) -> tuple[DataFrame, bytes]:
+    """The live keys and the filter over them, sized by their number."""
     keys = fx.state_a(spark, d).select("key")
-    return keys, bytes(bloom.build(keys, *bloom.params(1000, 0.01)).first()[0])
+    return keys, bytes(bloom.build(keys, *bloom.sized(keys)).first()[0])
 
 
-@query()
+SIZE = "(select *, greatest(cast(floor(bits*0.69314718056/n) as bigint),1) as hashes from (select n, (cast(floor(-n*ln(0.01)/(0.69314718056*0.69314718056)) as bigint)+7)//8*8 as bits from (select count(*) as n from state_a)))"
+HASHES = "(select key, list_reduce([2166136261::bigint]||c, lambda a, x: (xor(a, x)*16777619)&4294967295) as h1, list_reduce([0::bigint]||c, lambda a, x: (a*33+x)&4294967295) as h2 from (select key, " + OCTETS.format(x="key") + " as c from {k}))"
+BITS = "(select key, ((h1+i*h2)&4294967295)%bits as bit from " + HASHES + ", " + SIZE + ", lateral (select unnest(range(hashes)) as i))"
+
+
+@query("select max(s.bits) as bits, max(s.hashes) as hashes, count(distinct bit) as ones from " + BITS.format(k="state_a") + ", " + SIZE + " s", "state_a")
 def bloom_build(spark, d):
     bits, hashes, body = bloom.deserialize(_filter(spark, d)[1])
     return spark.createDataFrame([(bits, hashes, sum(b.bit_count() for b in body))], "bits long, hashes long, ones long")
 
 
-@query()
+@query("select key, key in (select key from state_a) as there, bool_and(bit in (select bit from " + BITS.format(k="state_a") + ")) as may from " + BITS.format(k="(select distinct key from asked)") + " group by key", "state_a", "asked")
 def bloom_probe(spark, d):
     keys, raw = _filter(spark, d)
     asked = fx.asked(spark, d).distinct().join(keys.withColumn("there", F.lit(True)), "key", "left")
     return asked.select("key", F.coalesce("there", F.lit(False)).alias("there"), bloom.may_contain(raw, F.col("key")).alias("may"))
 
 
-@query("select 12+bits//8 as size, true as same from (select (cast(floor(-1000*ln(0.01)/(0.69314718056*0.69314718056)) as bigint)+7)//8*8 as bits)")
+@query("select 12+bits//8 as size, true as same from " + SIZE, "state_a")
 def bloom_roundtrip(spark, d):
     raw = _filter(spark, d)[1]
     return spark.createDataFrame([(len(raw), bloom.serialize(*bloom.deserialize(raw)) == raw)], "size long, same boolean")
@@ -882,6 +1023,13 @@ def lru_hits(spark, d):
     return bloom.lru_hits(fx.ops(spark, d).withColumn("part", F.col("seq") % 4), 30)
 
 
+ORACLES["lru_hits"] = f"""with recursive ops as ({fx.SQL['ops']}), a as (select seq%4 as part, key, row_number() over (partition by seq%4 order by seq) as i from ops),
+  f as (select part, cast(0 as bigint) as i, cast([] as varchar[]) as cache, cast(0 as bigint) as hits from a where i=1 union all
+    select a.part, a.i, case when list_contains(cache, a.key) or len(cache)<30 then list_append(list_filter(cache, lambda x: x<>a.key), a.key) else list_append(cache[2:], a.key) end,
+      hits + case when list_contains(cache, a.key) then 1 else 0 end from f join a on a.part=f.part and a.i=f.i+1)
+  select part, max(hits) as hits, max(i)-max(hits) as misses from f group by part"""
+
+
 # --- streams
 
 
@@ -895,3 +1043,32 @@ def stream_apply(spark, d):
     log = apply.read_log(spark, f"{path}/in", files_per_batch=1)
     apply.maintain_table(log, f"{path}/table", f"{path}/checkpoint").awaitTermination()
     return state.current_state(apply.read_table(spark, f"{path}/table"))
+
+
+@query("select key, op, value, seq from last", "last")
+def stream_changes(spark, d):
+    """Each key's newest row as a stream keeps it: the last that it reported."""
+    from tidelog.streaming import apply
+
+    path = scratch(spark)
+    fx.ops(spark, d).repartition(3, F.col("seq") % 3).write.parquet(f"{path}/in")
+    changes = apply.stream_changes(apply.read_log(spark, f"{path}/in", files_per_batch=1))
+    report = lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{path}/out/batch={epoch}")
+    changes.writeStream.outputMode("update").foreachBatch(report).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return state.latest(spark.read.schema("key string, op string, value string, seq long").parquet(f"{path}/out"), unique_seq=False)
+
+
+@query("select time_bucket(interval '5 seconds', ts) as start, event_type as name, count(*) as n, round(sum(value),4) as total from events group by 1,2")
+def stream_windows(spark, d):
+    """Windows over the events as a stream of files in order of time, with a watermark: the last report of each."""
+    from tidelog.streaming import apply
+
+    path = scratch(spark)
+    rows = fx.table(spark, d, "events").select("ts", F.col("event_type").alias("name"), "value")
+    rows.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+    report = lambda rows, epoch: rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/out/batch={epoch}")
+    apply.windowed(stream, late="365 days").writeStream.outputMode("update").foreachBatch(report).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.schema("start timestamp, name string, n long, total double, epoch long").parquet(f"{path}/out")
+    last = seen.groupBy("start", "name").agg(F.max_by(F.struct("n", "total"), "epoch").alias("x"))
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "name", "x.n", F.round("x.total", 4).alias("total"))

@@ -27,15 +27,20 @@ def ops(spark, sf_dir) -> DataFrame:
 
 
 def ops_large(spark, sf_dir) -> DataFrame:
-    """A log of lineitem's size.  seq packs the sort columns, whose order it keeps, so that no
-    global numbering is needed."""
+    """A log of lineitem's size.  seq packs order and line, and below them part and supplier modulo ten
+    million, so that lines keep their order at any size and no global numbering is needed."""
     li = table(spark, sf_dir, "lineitem")
-    seq = (F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey") * 13 + F.col("l_suppkey") % 13
+    seq = (F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 10_000_000 + (F.col("l_partkey") * 13 + F.col("l_suppkey") % 13) % 10_000_000
     returned = F.col("l_returnflag") == "R"
     value = F.when(~returned, F.concat("l_linestatus", F.lit(":"), F.col("l_linenumber").cast("string")))
     return li.select(seq.alias("seq"), F.when(returned, "DEL").otherwise("PUT").alias("op"), F.concat(F.lit("part:"), F.lpad(F.col("l_partkey").cast("string"), 8, "0")).alias("key"), value.alias("value"))
 
 
+def share_of_log(spark, sf_dir, tenths: int) -> int:
+    """The sequence number at so many tenths of the log."""
+    return (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) * tenths // 10
+
+
 def segments(spark, sf_dir) -> DataFrame:
     log = ops(spark, sf_dir).withColumn("file_id", F.floor(F.col("seq") / 1000) + 1)
     last = log.agg(F.max("file_id").alias("mx"))
@@ -94,7 +99,7 @@ def asked(spark, sf_dir) -> DataFrame:
 LAST = "(select *, row_number() over (partition by key order by seq desc) as rn from {})"
 SQL = {
     "ops": "select event_id as seq, case when event_type='error' then 'DEL' else 'PUT' end as op, concat('user:',lpad(cast(user_id as string),8,'0')) as key, case when event_type<>'error' then props end as value from events",
-    "ops_l": "select (l_orderkey*100+l_linenumber)*10000000+l_partkey*13+l_suppkey%13 as seq, case when l_returnflag='R' then 'DEL' else 'PUT' end as op, concat('part:',lpad(cast(l_partkey as string),8,'0')) as key, case when l_returnflag<>'R' then concat(l_linestatus,':',cast(l_linenumber as string)) end as value from lineitem",
+    "ops_l": "select (l_orderkey*100+l_linenumber)*10000000+(l_partkey*13+l_suppkey%13)%10000000 as seq, case when l_returnflag='R' then 'DEL' else 'PUT' end as op, concat('part:',lpad(cast(l_partkey as string),8,'0')) as key, case when l_returnflag<>'R' then concat(l_linestatus,':',cast(l_linenumber as string)) end as value from lineitem",
     "last": f"select * exclude(rn) from {LAST.format('ops')} where rn=1",
     "state_a": "select key,value,seq from last where op='PUT' and value<>''",
     "last_b": f"select * exclude(rn) from {LAST.format('(select * from ops where seq%7<>0)')} where rn=1",

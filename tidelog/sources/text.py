@@ -51,14 +51,6 @@ def parse_benchmark(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_sweep(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schemas.SWEEP)
-
-
-def write_sweep(sweep: DataFrame, path: str) -> None:
-    sweep.write.mode("overwrite").csv(path, header=True)
-
-
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.HISTORY).json(path)
 

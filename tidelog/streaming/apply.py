@@ -47,30 +47,58 @@ def stream_changes(log: DataFrame) -> DataFrame:
     return log.groupBy("key").applyInPandasWithState(fold, "key string, op string, value string, seq long", "seq long", "update", GroupStateTimeout.NoTimeout)
 
 
-def maintain_table(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch merges into a state table: a new version is written beside the old one and
-    named in a pointer row, so a reader or a repeated batch never sees half of it."""
+def maintain_table(log: DataFrame, path: str, checkpoint: str, merge_every: int = 16) -> StreamingQuery:
+    """A stored state that follows the log: each micro-batch adds its keys' last rows as a delta, and every
+    `merge_every` batches the deltas are merged into a new base, so a batch costs what it holds.
+
+    Deltas and bases carry their batch's number and count once they are complete; a repeated batch
+    writes its own again.  What a base replaced stays until the next merge, for readers that have begun."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
+        rows = state.latest(batch, unique_seq=False)
+        if (epoch + 1) % merge_every:
+            rows.write.mode("overwrite").parquet(f"{path}/delta={epoch}")
+            return
         spark = batch.sparkSession
         old = read_table(spark, path, before=epoch)
-        rows = batch.select("key", "op", "value", "seq")
-        state.latest(rows if old is None else rows.unionByName(old), unique_seq=False).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        state.latest(rows if old is None else rows.unionByName(old), unique_seq=False).write.mode("overwrite").parquet(f"{path}/base={epoch}")
+        _drop(spark, path, epoch - merge_every)
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version (below `before`), or None."""
+def _complete(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Numbers of the complete bases and deltas, read from the file system."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+    out: dict[str, list[int]] = {"base": [], "delta": []}
+    for status in fs.listStatus(root) if fs.exists(root) else ():
+        kind, eq, number = status.getPath().getName().partition("=")
+        if eq and kind in out and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            out[kind].append(int(number))
+    return out
+
+
+def _drop(spark: SparkSession, path: str, upto: int) -> None:
+    """Delete bases before number `upto` and deltas up to it: a base of that number or a later one holds them."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for kind, numbers in _complete(spark, path).items():
+        for n in numbers:
+            if n < upto or n == upto and kind == "delta":
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}={n}"), True)
+
+
+def read_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """key, op, value, seq: last rows of all keys after the newest complete batch (below `before`), or None."""
+    found = {k: sorted(n for n in v if before is None or n < before) for k, v in _complete(spark, path).items()}
+    base = found["base"][-1:]
+    parts = [f"{path}/base={n}" for n in base] + [f"{path}/delta={n}" for n in found["delta"] if not base or n > base[0]]
+    if not parts:
         return None
-    found = [s.getPath().getName() for s in fs.listStatus(root)]
-    versions = [int(n[2:]) for n in found if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    versions = [v for v in versions if before is None or v < before]
-    return spark.read.parquet(f"{path}/v={max(versions)}") if versions else None
+    rows = spark.read.parquet(*parts) if len(parts) > 1 else spark.read.parquet(parts[0])
+    return state.latest(rows, unique_seq=False)
 
 
 def windowed(samples: DataFrame, seconds: int = 5, late: str = "1 minute") -> DataFrame:
