@@ -67,6 +67,36 @@ def test_register_check_fires_and_is_exact(spark):
     assert history.register_violations(df.limit(0)).count() == 0
 
 
+def test_overlaps_of_operations_of_all_lengths(spark):
+    """From none to years: the pairs are those of a plain loop, and a long operation has few rows."""
+    r = random.Random(12)
+    year = 365 * 86_400_000_000
+    make = lambda n: [(i, r.choice("ab"), s, s + r.choice([0, 1, 59_999_999, 60_000_000, 4_000_000_000, 10**12, year, 3 * year]), "v") for i in range(n) for s in [r.randrange(0, 4 * year)]]
+    probes, writes = make(120), make(150)
+    schema = "seq long, key string, start_us long, end_us long, value string"
+    got = history.overlapping(spark.createDataFrame(probes, schema), spark.createDataFrame(writes, schema))
+    want = sorted((p[0], w[0]) for p in probes for w in writes if p[1] == w[1] and w[2] <= p[3] and w[3] >= p[2])
+    assert sorted(map(tuple, got.select("seq", "write_seq").collect())) == want and len(want) > 1000
+    none = spark.createDataFrame([], schema)
+    assert history.overlapping(none, none).count() == 0
+
+
+def test_rows_before_in_stretches(spark):
+    from tidelog.operators import ordered
+
+    r = random.Random(13)
+    rows = [(r.choice("ab"), i, r.choice([None, 1, 2]), r.random() < 0.3) for i in r.sample(range(5000), 300)]
+    df = spark.createDataFrame(rows, "k string, i long, v long, f boolean")
+    want = []
+    for k in "ab":
+        own = sorted((i, v, f) for kk, i, v, f in rows if kk == k)
+        want += [(k, i, own[n - 1][1] if n else None, own[n - 1][0] if n else None, sum(x[2] for x in own[: n + 1])) for n, (i, *_) in enumerate(own)]
+    for size in (1, 40, 1000, 10_000):
+        part = F.expr(f"i div {size}")
+        got = ordered.running_count(ordered.with_previous(df, "k", ["i"], part, pv="v", pi="i"), "k", ["i"], part, "f", "n")
+        assert sorted(map(tuple, got.select("k", "i", "pv", "pi", "n").collect())) == sorted(want)
+
+
 def test_wal_stops_at_damage(spark):
     records = [("PUT", b"k%d" % i, b"v" * i) for i in range(5)] + [("DEL", b"k1", None)]
     raw = [wal.encode_record(*r) for r in records]

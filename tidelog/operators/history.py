@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.ordered import with_previous
+
 
 def successful(history: DataFrame) -> DataFrame:
     return history.where("success")
@@ -34,17 +36,31 @@ def asof(probes: DataFrame, writes: DataFrame, stretch_us: int = 3_600_000_000)
     return seen.select("__p.*", F.col("__last.value").alias("last_value"), F.col("__last.end_us").alias("last_end_us"), F.col("__last.seq").alias("last_seq"))
 
 
-def overlapping(probes: DataFrame, writes: DataFrame, bucket_us: int = 60_000_000) -> DataFrame:
+def overlapping(probes: DataFrame, writes: DataFrame, bucket_us: int = 60_000_000, fan: int = 64) -> DataFrame:
     """seq, write_seq: writes of the probe's key that overlap it.  Both sides are cut into time
-    buckets, so the join is on key and bucket; a pair is kept in the bucket where it begins."""
+    buckets, so the join is on key and bucket; a pair is kept in the bucket where it begins.
+
+    Buckets have levels, each `fan` times as wide as the one below.  An operation is cut at the level where it
+    spans at most `fan` buckets and at the wider ones, and a pair meets at the level of its longer
+    operation; so one that stays open for long has few rows.  The longest operation sets the highest
+    level, mostly the first."""
+    lasted = F.coalesce(F.max(F.col("end_us") - F.col("start_us")), F.lit(0)).alias("d")
+    longest = probes.agg(lasted).union(writes.agg(lasted)).agg(F.max("d")).first()[0]
+    top = 0
+    while longest > bucket_us * fan ** (top + 1):
+        top += 1
+    sizes = [bucket_us * fan**k for k in range(top + 1)]
+    size = F.element_at(F.array(*[F.lit(x).cast("long") for x in sizes]), F.col("level") + 1)
+    own = sum((F.col("end_us") - F.col("start_us") > x * fan).cast("int") for x in sizes[:top]) if top else F.lit(0)
 
     def cut(df):
-        a, b = F.expr(f"start_us div {bucket_us}"), F.expr(f"end_us div {bucket_us}")
-        return df.withColumn("bucket", F.explode(F.sequence(a, F.greatest(a, b))))
+        levels = df.withColumn("own", own).withColumn("level", F.explode(F.sequence(F.col("own"), F.lit(top)))).withColumn("size", size)
+        a, b = F.expr("start_us div size"), F.expr("end_us div size")
+        return levels.withColumn("bucket", F.explode(F.sequence(a, F.greatest(a, b))))
 
-    w = cut(writes).select("key", "bucket", F.col("start_us").alias("w_start"), F.col("end_us").alias("w_end"), F.col("seq").alias("write_seq"), F.col("value").alias("w_value"))
-    hit = (F.col("w_start") <= F.col("end_us")) & (F.col("w_end") >= F.col("start_us")) & (F.col("bucket") == F.expr(f"greatest(start_us, w_start) div {bucket_us}"))
-    return cut(probes).join(w, ["key", "bucket"]).where(hit)
+    w = cut(writes).select("key", "level", "bucket", F.col("own").alias("w_own"), F.col("start_us").alias("w_start"), F.col("end_us").alias("w_end"), F.col("seq").alias("write_seq"), F.col("value").alias("w_value"))
+    hit = (F.col("w_start") <= F.col("end_us")) & (F.col("w_end") >= F.col("start_us")) & (F.col("level") == F.greatest("own", "w_own")) & (F.col("bucket") == F.expr("greatest(start_us, w_start) div size"))
+    return cut(probes).join(w, ["key", "level", "bucket"]).where(hit)
 
 
 def register_violations(history: DataFrame) -> DataFrame:
@@ -75,8 +91,8 @@ def increments(history: DataFrame) -> DataFrame:
 
 def increment_falls(history: DataFrame) -> DataFrame:
     """Increments whose result is less than the one before it, per key."""
-    w = Window.partitionBy("key").orderBy("end_us", "seq")
-    return increments(history).withColumn("prev", F.lag("v").over(w)).where("v < prev").select("seq", "key", "prev", "v")
+    rows = with_previous(increments(history), "key", ["end_us", "seq"], F.expr("end_us div 3600000000"), prev="v")
+    return rows.where("v < prev").select("seq", "key", "prev", "v")
 
 
 def reads_above_increments(history: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.ordered import with_previous
+
 
 def op_counters(log: DataFrame, reads: DataFrame) -> DataFrame:
     """puts_total, deletes_total, gets_total (hits only), get_misses_total.  reads has column hit."""
@@ -29,8 +31,7 @@ def engine_stats(log: DataFrame, manifest: DataFrame, unflushed: DataFrame, wal:
 
 def rate(samples: DataFrame) -> DataFrame:
     """name, bucket, per_bucket: growth of a cumulative counter since its last sample, per unit; null for the first."""
-    w = Window.partitionBy("name").orderBy("bucket")
-    prev = samples.withColumn("pt", F.lag("total").over(w)).withColumn("pb", F.lag("bucket").over(w))
+    prev = with_previous(samples, "name", ["bucket"], F.expr("bucket div 10000"), pt="total", pb="bucket")
     return prev.select("name", "bucket", F.round((F.col("total") - F.col("pt")) / (F.col("bucket") - F.col("pb")), 6).alias("per_bucket"))
 
 

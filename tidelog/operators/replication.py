@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators import state
+from tidelog.operators.ordered import running_count, with_previous
 from tidelog.schemas import CHUNK_BYTES, RAFT_SNAPSHOT_BYTES, RAFT_SNAPSHOT_ENTRIES, REPL_BATCH
 
 ENTRY_BYTES = 25
@@ -125,13 +126,14 @@ def status(log: DataFrame, peers: DataFrame, commit: int, leader: int = 0) -> Da
 
 def role_timeline(changes: DataFrame) -> DataFrame:
     """node, role, island, first_seq, last_seq, n: stretches in which a node kept its role."""
-    w = Window.partitionBy("node").orderBy("seq")
-    new = F.coalesce((F.col("role") != F.lag("role").over(w)).cast("int"), F.lit(1))
-    islands = changes.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = F.expr(f"seq div {STRETCH}")
+    new = F.coalesce(F.col("role") != F.col("prev"), F.lit(True))
+    marked = with_previous(changes, "node", ["seq"], part, prev="role").withColumn("new", new)
+    islands = running_count(marked, "node", ["seq"], part, "new", "island")
     return islands.groupBy("node", "role", "island").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"))
 
 
 def leader_switches(seen: DataFrame) -> DataFrame:
     """client_id, switches: how often the leader that a client sees changes."""
-    w = Window.partitionBy("client_id").orderBy("seq")
-    return seen.withColumn("prev", F.lag("leader").over(w)).groupBy("client_id").agg(F.count_if(F.col("leader") != F.col("prev")).alias("switches"))
+    rows = with_previous(seen, "client_id", ["seq"], F.expr(f"seq div {STRETCH}"), prev="leader")
+    return rows.groupBy("client_id").agg(F.count_if(F.col("leader") != F.col("prev")).alias("switches"))
