@@ -7,9 +7,9 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from test_ops import SCHEMA, brute_simhash  # noqa: E402
+from test_ops import SCHEMA, Items, brute_simhash  # noqa: E402
 
-from tidelog.llm import decontamination, toxicity  # noqa: E402
+from tidelog.llm import toxicity  # noqa: E402
 from tidelog.llm.labelled import training_rows  # noqa: E402
 
 
@@ -58,7 +58,7 @@ def test_run(spark, folder):
     ids = sorted(kept)
     _, comp = brute_simhash([kept[i] for i in ids], ids)
     kept = {i: kept[i] for i, c in zip(ids, comp) if i == c}
-    found = decontamination.Items([(n, x.encode()) for n, x in enumerate(items)], 5)
+    found = Items([(n, x.encode()) for n, x in enumerate(items)], 5)
     kept = {i: t for i, t in kept.items() if not found.found(t.encode(), 0.8)}
     rows = corpus_pipeline.run(spark, path).collect()
     assert sorted(r.doc_id for r in rows) == sorted(kept)
@@ -78,3 +78,25 @@ def test_stages_keep_columns(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, path).columns == docs.columns
         assert stage(spark, docs.limit(0), path).count() == 0
+
+
+def test_ids_that_repeat_and_further_columns(spark, tmp_path):
+    """Rows are documents: all different texts survive whatever their ids; other columns go."""
+    r = random.Random(14)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    texts = [say(60) for _ in range(24)] + ["", "x"]
+    rows = [(None if n % 9 == 8 else n // 2, t, "en", "s", len(t)) for n, t in enumerate(texts)]
+    rows += [(50, texts[0], "en", "s", 1), (0, texts[0], "en", "s", 1), (None, texts[8], "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("ids", "fp", "key", "__tidelog_text"):
+        df = df.withColumn(c, df.doc_id)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    from tidelog.llm import bpe
+
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "lang", "source", "ids", "ends", "n_tokens"]
+    voc = bpe.load_ranks(corpus_pipeline.byte_bpe_path())
+    decoded = [b"".join(voc[i] for i in np.frombuffer(x.ids, "<u4")).decode() for x in out.collect()]
+    assert sorted(decoded) == sorted(texts)
