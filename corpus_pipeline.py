@@ -1,7 +1,8 @@
 """A corpus from raw documents: five stages, each over all that the stage before it kept.
 
-run(spark, sf_dir) applies them to `documents`.  All but the last return its columns; texts
-that line dedup cuts get a new n_chars.
+run(spark, sf_dir) applies them to `documents`.  All but the last return the columns named in
+COLUMNS; further columns of the table are dropped by the first stage.  Texts that line dedup cuts
+get a new n_chars.  Rows are documents: rows that share an id, or have none, pass or go by themselves.
 """
 
 from __future__ import annotations
