@@ -715,6 +715,20 @@ def test_groups_grow_with_the_suffixes(spark, monkeypatch):
     assert substring_dedup.plan_groups(source.limit(0), 50, 16, 4_000_000)[0] == 16
 
 
+def test_several_groups_in_a_task(spark, corpus, monkeypatch):
+    """Fewer tasks than groups: a task takes its groups one after another, with the same results."""
+    monkeypatch.setattr(common, "MOST_TASKS", 3)
+    rows = list(enumerate(corpus))
+    got = substring_dedup.dedup_passages(frame(spark, corpus).select("doc_id", "text"), width=5).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == brute_passages(rows, 5)
+    short = [t for t in corpus if t is None or len(t) < 5000]
+    fps, comp = brute_simhash(short, list(range(len(short))))
+    monkeypatch.setattr(simhash, "AT_ONCE", 7)
+    assert sorted(r.component_id for r in simhash.near_duplicate_digests(frame(spark, short)).collect()) == sorted(comp)
+    seen = common.dealt(spark.range(1000).select((F.col("id") % 40).cast("int").alias("g"), "id"), "g", 40, lambda rows: [next(iter(rows))], "g int, id long").select("g").distinct().count()
+    assert seen == 40
+
+
 def test_words_decide_not_hashes(monkeypatch):
     """Nodes, strings and texts whose hashes collide."""
     r = random.Random(5)

@@ -174,3 +174,49 @@ def in_parts(batches, column: str, limit: int = 2_000_000):
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)
+
+
+#: Tasks of a shuffle that deals out groups, at most; a task with several takes one at a time.
+MOST_TASKS = 50_000
+
+
+def dealt(df: DataFrame, group: str, groups: int, run, schema: str) -> DataFrame:
+    """run(rows) over the rows of each group 0 .. groups - 1, where rows is an iterator of Arrow batches.
+    Groups have a task each, or share MOST_TASKS tasks, in which they follow each other."""
+    tasks = min(groups, MOST_TASKS)
+    at = df.columns.index(group)
+
+    def each(batches):
+        held_batch: list = []
+
+        def of_one():  # batches of one group, the first of another is held back
+            first = held_batch.pop()
+            own = first.column(at)[0].as_py()
+            while True:
+                column = first.column(at).to_numpy()
+                end = int(np.searchsorted(column != own, True)) if column[-1] != own else len(column)
+                yield first.slice(0, end)
+                if end < len(column):
+                    held_batch.append(first.slice(end))
+                    return
+                first = next((b for b in batches if b.num_rows), None)
+                if first is None:
+                    return
+                if first.column(at)[0].as_py() != own:
+                    held_batch.append(first)
+                    return
+
+        batches = iter(batches)
+        first = next((b for b in batches if b.num_rows), None)
+        if first is not None:
+            held_batch.append(first)
+        while held_batch:
+            rows = of_one()
+            yield from run(rows)
+            for _ in rows:  # what run has not read
+                pass
+
+    placed = df.repartitionById(tasks, F.col(group) if tasks == groups else F.pmod(F.col(group), F.lit(tasks)).cast("int"))
+    if tasks < groups:
+        placed = placed.sortWithinPartitions(group)
+    return placed.mapInArrow(each, schema)

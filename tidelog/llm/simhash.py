@@ -28,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import U64, binary, in_parts, looked_up, partitions, row_key, small_batches, text_bytes, written
+from tidelog.llm.common import U64, binary, dealt, in_parts, looked_up, partitions, row_key, small_batches, text_bytes, written
 from tidelog.llm.components import components
 
 SHINGLE, SEED, BITS, BLOCK = 3, 42, 64, 16
+#: Fingerprints whose variants a task holds at once.
+AT_ONCE = 20_000
 LOWEST = -(1 << 63)
 
 
@@ -74,24 +76,34 @@ def emit_variants(fps: DataFrame, buckets: int) -> DataFrame:
     """bucket, variants, flips: of each batch the variants that fall in a bucket range, packed:
     a fingerprint with at most one flipped bit (8 bytes) and mask * 64 + flipped bit + 1 (1)."""
 
-    def run(batches):
+    def gathered(batches):
+        """Fingerprints of many batches, so that rows stay large however many buckets there are."""
+        parts, n = [], 0
         for batch in batches:
-            fp = batch.column("fp").to_numpy().view(U64)
-            for at in range(0, len(fp), 20_000):
-                part = fp[at : at + 20_000]
-                for m, (mask, bits) in enumerate(_masks()):
-                    flips = np.array([0, *(1 << i for i in bits)], U64)
-                    variants = (part[:, None] ^ flips).ravel()
-                    marks = np.tile(np.array([m * 64, *(m * 64 + bits.index(i) + 1 for i in bits)], np.uint8), len(part))
-                    home = _bucket(variants, mask, m, buckets)
-                    order = np.argsort(home, kind="stable")
-                    home, variants, marks = home[order], variants[order], marks[order]
-                    cut = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])), len(home)) if len(home) else np.zeros(1, int)
-                    pairs = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(home[cut[:-1]].astype(np.int32)), binary([variants[a:b].tobytes() for a, b in pairs]), binary([marks[a:b].tobytes() for a, b in pairs])],
-                        ["bucket", "variants", "flips"],
-                    )
+            for at in range(0, batch.num_rows, AT_ONCE):
+                parts.append(batch.column("fp").to_numpy()[at : at + AT_ONCE].view(U64))
+                n += len(parts[-1])
+                if n >= AT_ONCE:
+                    yield np.concatenate(parts)
+                    parts, n = [], 0
+        if parts:
+            yield np.concatenate(parts)
+
+    def run(batches):
+        for part in gathered(batches):
+            for m, (mask, bits) in enumerate(_masks()):
+                flips = np.array([0, *(1 << i for i in bits)], U64)
+                variants = (part[:, None] ^ flips).ravel()
+                marks = np.tile(np.array([m * 64, *(m * 64 + bits.index(i) + 1 for i in bits)], np.uint8), len(part))
+                home = _bucket(variants, mask, m, buckets)
+                order = np.argsort(home, kind="stable")
+                home, variants, marks = home[order], variants[order], marks[order]
+                cut = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])), len(home)) if len(home) else np.zeros(1, int)
+                pairs = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(home[cut[:-1]].astype(np.int32)), binary([variants[a:b].tobytes() for a, b in pairs]), binary([marks[a:b].tobytes() for a, b in pairs])],
+                    ["bucket", "variants", "flips"],
+                )
 
     return fps.mapInArrow(run, "bucket int, variants binary, flips binary")
 
@@ -166,7 +178,7 @@ def _near(z, block, fp, changes, out_a, out_b) -> None:
 def links(fps: DataFrame, per_task: int = 4_000_000) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp, distinct) that join all components."""
     variants = fps.count() * 4 * (BITS - BLOCK + 1)
-    tasks = max(partitions(fps), -(-variants // per_task))
+    buckets = max(partitions(fps), -(-variants // per_task))
 
     def meet(batches):
         v, f = [], []
@@ -177,7 +189,7 @@ def links(fps: DataFrame, per_task: int = 4_000_000) -> DataFrame:
             a, b = bucket_links(np.frombuffer(b"".join(v), U64), np.frombuffer(b"".join(f), np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return emit_variants(fps.repartition(partitions(fps), "fp"), tasks).repartitionById(tasks, F.col("bucket")).mapInArrow(meet, "a long, b long")
+    return dealt(emit_variants(fps.repartition(partitions(fps), "fp"), buckets), "bucket", buckets, meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import BASE, BASE_INVERSE, U64, binary, in_parts, mix, partitions, powers, row_key, scan_schema, small_batches, text_bytes, window_hashes, written
+from tidelog.llm.common import BASE, BASE_INVERSE, U64, binary, dealt, in_parts, mix, partitions, powers, row_key, scan_schema, small_batches, text_bytes, window_hashes, written
 
 WIDTH, GRAM = 50, 8
 SEND_BYTES = 16 << 20
@@ -412,7 +412,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, g
             part = rows[i : i + 5000]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), binary([b"".join(r[2]) for r in part])], ["doc_id", "key", "spans"])
 
-    return source.mapInArrow(emit, schema).repartitionById(groups, F.col("home")).mapInArrow(build, "doc_id long, key long, spans binary")
+    return dealt(source.mapInArrow(emit, schema), "home", groups, build, "doc_id long, key long, spans binary")
 
 
 def dedup_passages(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
