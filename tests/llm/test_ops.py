@@ -453,16 +453,16 @@ class Items:
     def __init__(self, rows, width):
         self.items, self.seen = [], []
         for item_id, raw in rows:
-            words = raw.split()
-            w = min(width, len(words))
+            words = common.Words([raw])
+            w = min(width, int(words.lengths[0]))
             if w:
-                tokens, plain, slots, of = decontamination.template([words])
-                hashes, first = np.unique(decontamination.windows(tokens, slots, of, w), return_index=True)
+                tokens, plain, slots, described = decontamination.template(words)
+                hashes, first = np.unique(decontamination.windows(tokens, slots, described, np.zeros(len(plain), np.int64), w), return_index=True)
                 self.items.append((item_id, w, hashes[hashes != 0], first[hashes != 0].astype("<i4"), plain, slots))
 
     def found(self, raw, share):
         bits = np.full(1 << 10, 255, np.uint8)
-        got = decontamination.hits_of([raw.split()], sorted({i[1] for i in self.items}), bits)
+        got = decontamination.hits_of([raw], sorted({i[1] for i in self.items}), bits, None)
         out = []
         for item_id, w, hashes, first, plain, slots in self.items if got else []:
             if len(hashes) and (x := decontamination.found(got[0][1], got[0][2], w, int(np.ceil(share * len(hashes))), hashes, first, plain, slots)):
@@ -683,8 +683,8 @@ def loads(texts, width, gram, groups, hot):
     """Suffixes of each group."""
     out = np.zeros(groups, np.int64)
     for t in texts:
-        words = substring_dedup.Words([t.encode()]).hashes
-        _, ends, _ = substring_dedup.prefixes(words, np.arange(len(words) - width + 1), width, gram, substring_dedup.Strings(hot))
+        words = common.Words([t.encode()]).hashes
+        _, ends, _ = substring_dedup.prefixes(words, np.arange(len(words) - width + 1), width, gram, common.Strings(hot))
         out += np.bincount((ends % np.uint64(groups)).astype(np.int64), minlength=groups)
     return out
 
@@ -737,7 +737,7 @@ def test_words_decide_not_hashes(monkeypatch):
     place = substring_dedup.sorted_places(np.append(words, [0] * 7), 7)[:594]
     assert (np.unique(place, return_inverse=True)[1] == want).all()
     texts = [b" ".join(b"%d" % w for w in words[i : i + 50].tolist()) for i in range(0, 600, 50)]
-    held = substring_dedup.Words(texts)
+    held = common.Words(texts)
     nodes, doc, at = (want % 5).astype(np.uint64), np.arange(594) // 50, np.arange(594)
     assert not substring_dedup.agree(held, at, substring_dedup.first_passes(nodes, doc), 7)
     assert substring_dedup.agree(held, at, substring_dedup.first_passes(want.astype(np.uint64), doc), 7)
@@ -745,13 +745,14 @@ def test_words_decide_not_hashes(monkeypatch):
 
 def test_words_by_array_operations(corpus):
     texts = [(t or "").encode() for t in corpus] + [b" \t a\x0b\x0cb\r\n", b"x", b"", b"\x00 \xff\x00"]
-    held = substring_dedup.Words(texts)
+    held = common.Words(texts)
     split = [t.split() for t in texts]
     assert held.lengths.tolist() == [len(w) for w in split]
     flat = [w for t in split for w in t]
     assert held.text.split(b" ")[:-1] == flat and [held.slice(i, 1) for i in range(len(flat))] == flat
     assert len(np.unique(held.hashes)) == len(set(flat)) == len({(h, w) for h, w in zip(held.hashes.tolist(), flat)})
-    assert len(substring_dedup.Words([]).hashes) == len(substring_dedup.Words([b"", b" "]).hashes) == 0
+    assert held.hashes.tolist() == [common.word_hash(w) for w in flat]
+    assert len(common.Words([]).hashes) == len(common.Words([b"", b" "]).hashes) == 0
 
 
 @pytest.mark.parametrize("few", [2, 100])

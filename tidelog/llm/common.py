@@ -7,6 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +137,67 @@ def window_hashes(words: np.ndarray, *widths: int) -> list[np.ndarray]:
         return [mix((sums[k:] - sums[: n + 1 - k]) * back[: n + 1 - k]) if n >= k else np.zeros(0, U64) for k in widths]
 
 
+class Words:
+    """The words of several texts, one after another, by array operations on their bytes: `text` with one
+    space behind each word, `cut` where each begins (and the end), `lengths` of the texts in words, `hashes`."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) if texts else np.zeros(0, np.uint8)
+        blank = (data == 32) | (data - np.uint8(9) < 5)
+        after = blank.copy()
+        after[:1] = False
+        after[1:] &= ~blank[:-1]
+        ends = np.flatnonzero(after)
+        text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        self.lengths = np.diff(np.searchsorted(ends, text_ends), prepend=0)
+        plain = np.where(blank, np.uint8(32), data)[~blank | after]
+        self.text, self.bytes = plain.tobytes(), plain
+        self.cut = np.append(0, np.flatnonzero(plain == 32) + 1)
+        self.sums = np.zeros(len(plain) + 1, U64)
+        with np.errstate(over="ignore"):
+            np.cumsum((plain.astype(U64) + U64(1)) * powers(BASE, len(plain))[: len(plain)], out=self.sums[1:])
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return self.hashes_of(self.cut[:-1], self.cut[1:] - 1)
+
+    def hashes_of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of parts of the text, as word_hash gives them."""
+        with np.errstate(over="ignore"):
+            return mix((self.sums[end] - self.sums[begin]) * powers(BASE_INVERSE, len(self.bytes) + 1)[begin])
+
+    def slice(self, at: int, n: int) -> bytes:
+        return self.text[self.cut[at] : self.cut[at + n] - 1]
+
+
+def word_hash(word: bytes) -> int:
+    """The hash of one word."""
+    total = 0
+    for n, c in enumerate(word):
+        total += (c + 1) * (POWERS[n] if n < len(POWERS) else pow(BASE, n, 1 << 64))
+    x = total & MASK
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+POWERS, MASK = [pow(BASE, n, 1 << 64) for n in range(100)], (1 << 64) - 1
+
+
+class Strings:
+    """A set of hashes; most others are told by their low bits."""
+
+    def __init__(self, ordered: np.ndarray):
+        self.ordered, self.low = ordered, np.zeros(1 << 20, bool)
+        self.low[(ordered & U64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def hold(self, values: np.ndarray) -> np.ndarray:
+        out = self.low[(values & U64((1 << 20) - 1)).astype(np.int64)]
+        at = np.flatnonzero(out)
+        out[at] = self.ordered[np.minimum(np.searchsorted(self.ordered, values[at]), len(self.ordered) - 1)] == values[at] if len(self.ordered) else False
+        return out
+
+
 #: Rows of an Arrow batch between Spark and Python, at most.
 BATCH_ROWS = 1000
 

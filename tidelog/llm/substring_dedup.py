@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import BASE, BASE_INVERSE, U64, binary, dealt, in_parts, mix, partitions, powers, row_key, scan_schema, small_batches, text_bytes, window_hashes, written
+from tidelog.llm.common import U64, Strings, Words, binary, dealt, in_parts, partitions, row_key, scan_schema, small_batches, text_bytes, window_hashes, written
 
 WIDTH, GRAM = 50, 8
 SEND_BYTES = 16 << 20
@@ -46,32 +46,6 @@ COUNT_WORDS, RARE, FEW, PART = 2_000_000, 1 << 18, 100, 20
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
-class Words:
-    """The words of several texts, one after another, by array operations on their bytes: `text` with one
-    space behind each word, `cut` where each begins (and the end), `lengths` of the texts in words, `hashes`."""
-
-    def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) if texts else np.zeros(0, np.uint8)
-        blank = (data == 32) | (data - np.uint8(9) < 5)
-        after = blank.copy()
-        after[:1] = False
-        after[1:] &= ~blank[:-1]
-        ends = np.flatnonzero(after)
-        text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-        self.lengths = np.diff(np.searchsorted(ends, text_ends), prepend=0)
-        plain = np.where(blank, np.uint8(32), data)[~blank | after]
-        self.text = plain.tobytes()
-        self.cut = np.append(0, np.flatnonzero(plain == 32) + 1)
-        sums = np.zeros(len(plain) + 1, U64)
-        with np.errstate(over="ignore"):
-            np.cumsum((plain.astype(U64) + U64(1)) * powers(BASE, len(plain))[: len(plain)], out=sums[1:])
-            begin = self.cut[:-1]
-            self.hashes = mix((sums[self.cut[1:] - 1] - sums[begin]) * powers(BASE_INVERSE, len(plain))[begin])
-
-    def slice(self, at: int, n: int) -> bytes:
-        return self.text[self.cut[at] : self.cut[at + n] - 1]
-
-
 def least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
     """The least of every `width` consecutive values."""
     out, have = values, 1
@@ -82,20 +56,6 @@ def least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-class Strings:
-    """A set of hashes; most others are told by their low bits."""
-
-    def __init__(self, ordered: np.ndarray):
-        self.ordered, self.low = ordered, np.zeros(1 << 20, bool)
-        self.low[(ordered & U64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def hold(self, values: np.ndarray) -> np.ndarray:
-        out = self.low[(values & U64((1 << 20) - 1)).astype(np.int64)]
-        at = np.flatnonzero(out)
-        out[at] = self.ordered[np.minimum(np.searchsorted(self.ordered, values[at]), len(self.ordered) - 1)] == values[at] if len(self.ordered) else False
-        return out
-
-
 def starts_of(lengths: np.ndarray, width: int) -> np.ndarray:
     """Of texts that lie one after another the places where a window of each may begin."""
     end = np.cumsum(lengths)
