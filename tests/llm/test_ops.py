@@ -72,6 +72,16 @@ def test_bpe_is_the_library_s(tokenizer):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode_ordinary(t) for t in texts]
 
 
+def test_merges_in_step_are_those_one_by_one():
+    r = random.Random(7)
+    merger = bpe.Merger(bpe.load_ranks(queries.byte_bpe_path()))
+    pieces = {"".join(r.choice("abeintrs éñ한😀'!1 ") for _ in range(r.randint(1, 30))) for _ in range(3000)} | {"a" * n for n in range(1, 70)} | {"the", " of", "\n", "ababab" * 9}
+    merger.learn(list(pieces))
+    assert all(len(p.encode()) > merger.LONG or p in merger for p in pieces)
+    for p in pieces:
+        assert np.frombuffer(merger[p], "<u4").tolist() == merger.merge(p.encode()), p
+
+
 def test_bpe_query(spark, corpus, tokenizer):
     df = frame(spark, corpus).withColumn("ids", F.lit("clash")).withColumn("__text", F.lit(1))
     rows = bpe.token_digests(df, queries.byte_bpe_path()).collect()

@@ -5,7 +5,8 @@ and a white space also look one or two characters ahead.  The splitter is a fini
 over these symbols, and each symbol is a function from state to state.  Those functions
 compose associatively, so their (small) monoid is enumerated once and a prefix scan over
 blocks finds the state before every character; state and symbol tell where a piece begins.
-Pieces are merged by rank, results are cached by piece, byte offsets of the tokens are kept.
+Pieces are merged by rank, all new pieces of a batch in step; results are cached by piece, byte
+offsets of the tokens are kept.
 
 Nulls and empty texts give no tokens and decode to nothing.  A text of any length is cut at
 no place; a long piece is merged with a heap.  Repeated rows each get their row.
@@ -148,11 +149,70 @@ def symbols_of(points: np.ndarray, ends: np.ndarray, ranges) -> np.ndarray:
 class Merger(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers.  A cache of bounded size."""
 
-    LIMIT, LONG = 500_000, 64
+    LIMIT, LONG, AT_ONCE = 500_000, 64, 50_000
 
     def __init__(self, vocabulary: list[bytes]):
         super().__init__()
         self.ranks = {t: i for i, t in enumerate(vocabulary)}
+        self.none = len(vocabulary)
+        self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        # Pairs of tokens that make a token, as one number each, and the token.
+        look = self.ranks.get
+        pairs = {(a << 32) | b: r for t, r in self.ranks.items() for i in range(1, len(t)) if (a := look(t[:i])) is not None and (b := look(t[i:])) is not None}
+        self.pairs = np.sort(np.fromiter(pairs, np.int64, len(pairs)))
+        self.made = np.fromiter((pairs[k] for k in self.pairs.tolist()), np.int64, len(pairs))
+
+    def learn(self, pieces: list[str]) -> None:
+        """Merge new pieces and keep them, but for long ones."""
+        raws = [(p, r) for p in pieces if len(r := p.encode("utf-8", "replace")) <= self.LONG]
+        for at in range(0, len(raws), self.AT_ONCE):
+            part = raws[at : at + self.AT_ONCE]
+            own = [x for x in part if x[1] not in self.ranks]
+            self.update((p, self.ranks[r].to_bytes(4, "little")) for p, r in part if r in self.ranks)
+            if own:
+                self.update(zip((p for p, _ in own), self._merge_all([r for _, r in own])))
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that two tokens make, or `none`."""
+        if not len(self.pairs):
+            return np.full(len(left), self.none)
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.made[at], self.none)
+
+    def _merge_all(self, raws: list[bytes]) -> list[bytes]:
+        """In each step every piece makes its merge of the lowest rank, the leftmost of several."""
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        piece, token = np.repeat(np.arange(len(raws)), sizes), self.of_byte[np.frombuffer(b"".join(raws), np.uint8)]
+        rank = np.full(len(token), self.none)  # of a token with the next one
+        inside = np.flatnonzero(piece[1:] == piece[:-1])
+        rank[inside] = self._rank(token[inside], token[inside + 1])
+        done_piece, done_token = [], []
+        while len(token):
+            heads = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(rank)), heads)
+            at = best & 0xFFFFFFFF
+            more = (best >> 32) < self.none
+            stays = np.repeat(more, np.diff(np.append(heads, len(token))))
+            done_piece.append(piece[~stays])
+            done_token.append(token[~stays])
+            at = at[more]
+            token[at] = rank[at]
+            stays[at + 1] = False
+            place = np.cumsum(stays) - 1
+            piece, token, rank, at = piece[stays], token[stays], rank[stays], place[at]
+            rank[at] = self.none
+            right = at[at + 1 < len(token)]
+            right = right[piece[right + 1] == piece[right]]
+            rank[right] = self._rank(token[right], token[right + 1])
+            left = at[at > 0]
+            left = left[piece[left - 1] == piece[left]] - 1
+            rank[left] = self._rank(token[left], token[left + 1])
+        piece, token = np.concatenate(done_piece), np.concatenate(done_token)
+        order = np.argsort(piece, kind="stable")
+        data = token[order].astype("<u4").tobytes()
+        cut = np.append(0, np.cumsum(np.bincount(piece, minlength=len(raws))) * 4).tolist()
+        return [data[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
     def __missing__(self, piece: str) -> bytes:
         out = np.array(self.merge(piece.encode("utf-8", "replace")), "<u4").tobytes()
@@ -226,7 +286,9 @@ def encode_texts(texts: list[str], merger: Merger, ranges) -> list[bytes]:
     ends = (np.cumsum(lengths + 1) - 1)[:-1]
     starts = find_starts(symbols_of(points, ends, ranges))
     cuts = starts.tolist()
-    merged = list(map(merger.__getitem__, map(joined.__getitem__, map(slice, cuts, [*cuts[1:], len(joined)]))))
+    pieces = list(map(joined.__getitem__, map(slice, cuts, [*cuts[1:], len(joined)])))
+    merger.learn(list(set(pieces).difference(merger)))
+    merged = list(map(merger.__getitem__, pieces))
     at = np.searchsorted(starts, ends).tolist()
     return [b"".join(merged[a:b]) for a, b in zip([0, *(x + 1 for x in at)], [*at, len(merged)])]
 
