@@ -180,3 +180,18 @@ def test_saved_states_and_footers(spark, tmp_path):
     assert sum(n for *_, n in files) == 300 and all(a[1] < b[0] for a, b in zip(files, files[1:]))
     got = commands.retries(spark.createDataFrame([(5, 1000)], "seq long, start_us long"), 3).orderBy("attempt").collect()
     assert [(x.at_us, x.node) for x in got] == [(1000, 2), (101_000, 0), (301_000, 1)]
+
+
+def test_clients_look_for_the_leader_again(spark):
+    r = random.Random(19)
+    rows = [(i, i % 3, r.randrange(0, 60_000_000)) for i in range(300)] + [(900, 7, 5), (901, 7, 5_000_005), (902, 7, 5)]
+    want = []
+    for c in {x[1] for x in rows}:
+        known = None
+        for t, i in sorted((t, i) for i, k, t in rows if k == c):
+            if known is None or t - known >= 5_000_000:
+                known = t
+                want.append((c, i))
+    got = commands.leader_probes(spark.createDataFrame(rows, "seq long, client_id int, start_us long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert commands.leader_probes(got.select("client_id", "seq", F.lit(0).cast("long").alias("start_us")).limit(0)).count() == 0

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +86,23 @@ def retries(failed: DataFrame, nodes: int, tries: int = 3, wait_us: int = 100_00
     return rows.select("seq", "attempt", (F.col("start_us") + waited).alias("at_us"), ((F.col("seq") + F.col("attempt")) % nodes).alias("node"))
 
 
+def leader_probes(requests: DataFrame, ttl_us: int = 5_000_000) -> DataFrame:
+    """client_id, seq: the requests (client_id, seq, start_us) before which a client looks for the leader, as what it
+    knows is as old as `ttl_us` or older.  Each look starts the time anew, so a client's requests are gone
+    through in order, by one task."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start_us", "seq"], kind="stable")
+        times, at, out = pdf["start_us"].to_numpy(), 0, []
+        while at < len(times):
+            out.append(at)
+            at = int(np.searchsorted(times, times[at] + ttl_us, "left"))
+        return pdf.iloc[out][["client_id", "seq"]]
+
+    kind = requests.schema["client_id"].dataType.simpleString()
+    return requests.select("client_id", "seq", "start_us").groupBy("client_id").applyInPandas(fold, f"client_id {kind}, seq long")
+
+
 def dispatch(argv: DataFrame) -> DataFrame:
     """name (lower case), known, and the error reply of an unknown command; argv has column argv."""
     name = F.lower(F.get("argv", F.lit(0)))

@@ -246,6 +246,15 @@ def cmd_retries(spark, d):
     return commands.retries(fx.history(spark, d).where("not success"), 3)
 
 
+@query()
+def client_probes(spark, d):
+    """When each client looks for the leader again: what it knows holds for an hour here."""
+    return commands.leader_probes(fx.history(spark, d), 3_600_000_000)
+
+
+ORACLES["client_probes"] = f"with recursive hist as ({fx.SQL['hist']}), a as (select client_id, seq, start_us, row_number() over (partition by client_id order by start_us, seq) as i from hist), jumps as (select a.*, b.i as j from a asof left join (select client_id, start_us, min(i) as i from a group by 1, 2) b on a.client_id=b.client_id and a.start_us+3600000000<=b.start_us), f as (select client_id, seq, j from jumps where i=1 union all select n.client_id, n.seq, n.j from f join jumps n on n.client_id=f.client_id and n.i=f.j) select client_id, seq from f"
+
+
 COMMIT = "(select coalesce(max(idx),0) from rlog where term=(select max(term) from rlog) and (select count(*) from peers where match_index>=idx)*2>(select count(*) from peers))"
 TERM = "(select max(term) from rlog)"
 
