@@ -394,6 +394,18 @@ def accuracy(rows, n=240):
     return sum(r.predicted == int(r.doc_id % 3 == 0) for r in own) / len(own)
 
 
+def test_samples_are_bounded(spark):
+    from tidelog.llm.labelled import training_rows
+
+    docs = frame(spark, ["x" * 100] * 30 + ["y" * 50], [*range(30), 3])
+    y = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    free = [i for i in range(30) if crc32(str(i).encode()) % 3 != 1]
+    assert len(training_rows(docs, y, "quality", 1000)) == len(free)
+    assert len(training_rows(docs, y, "quality", 7)) == 7
+    assert len(training_rows(docs, y, "quality", 1000, most_bytes=450)) == 5 and len(training_rows(docs, y, "quality", 1000, most_bytes=1)) == 1
+    assert training_rows(docs, y.limit(0), "quality", 9) == []
+
+
 def plain(r):
     return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(60))
 
