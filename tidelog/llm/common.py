@@ -39,7 +39,16 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidelog_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `written` made and nothing will read again."""
+    spark, path = df.sparkSession, df._tidelog_path
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def text_bytes(text: str) -> Column:

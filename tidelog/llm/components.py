@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import discard, written
 
 
 SALTS = 8
@@ -41,7 +41,8 @@ def components(links: DataFrame) -> DataFrame:
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        links = written(_star(_star(links, True), False))
+        links, old = written(_star(_star(links, True), False)), links
+        discard(old)
         # Equal sums of hashes of all links: nothing has changed.
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
