@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, decontamination, line_dedup, simhash, toxicity
-from tidelog.llm.common import table, written
+from tidelog.llm.common import discard, table, written
 from tidelog.llm.queries import byte_bpe_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -54,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, old = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if old is not None:
+            discard(old)
+        old = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
