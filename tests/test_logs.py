@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from tidelog.functions import bloom, codecs
+from tidelog.functions import bloom, cache, codecs
 from tidelog.operators import history, replication, shard, state
 from tidelog.sources import protocol, text, wal
 from tidelog.streaming import apply
@@ -170,24 +170,24 @@ def test_filters_are_sized_by_their_keys(spark):
     assert bloom.sized(keys) == bloom.params(3000, 0.01) and bloom.sized(keys.limit(0)) == bloom.params(1, 0.01)
 
 
-def test_least_recently_used(spark):
+def test_least_recently_used(spark, small_batches):
     from collections import OrderedDict
 
     r = random.Random(4)
     rows = [(i, i % 2, f"k{r.randrange(12)}") for i in range(400)]
     want = {}
     for part in (0, 1):
-        cache, hits = OrderedDict(), 0
+        held, hits = OrderedDict(), 0
         for _, p, k in rows:
             if p == part:
-                hits += k in cache
-                cache.pop(k, None)
-                cache[k] = 1
-                if len(cache) > 5:
-                    cache.popitem(last=False)
+                hits += k in held
+                held.pop(k, None)
+                held[k] = 1
+                if len(held) > 5:
+                    held.popitem(last=False)
         want[part] = (hits, 200 - hits)
     df = spark.createDataFrame(rows, "seq long, part long, key string").orderBy(F.rand(1))
-    assert {x.part: (x.hits, x.misses) for x in bloom.lru_hits(df, 5).collect()} == want
+    assert {x.part: (x.hits, x.misses) for x in cache.lru_hits(df, 5).collect()} == want
 
 
 def test_blocks_and_snapshot_files(spark):
@@ -311,7 +311,7 @@ def test_catalog_of_files(spark):
     assert [r.file_id for r in segments.prune(files, "b").collect()] == [1]
 
 
-def test_cas_and_increments(spark):
+def test_cas_and_increments(spark, small_batches):
     rows = [("put", "v0"), ("cas", "v0->w"), ("cas", "v0->x"), ("inc", None), ("inc", None), ("cas", "bad")]
     df = spark.createDataFrame([(i, "k", op, v, i, True) for i, (op, v) in enumerate(rows)], "seq long, key string, op string, value string, end_us long, success boolean")
     got = [(r.applied, r.value) for r in history.apply_register_ops(df).orderBy("seq").collect()]

@@ -114,17 +114,19 @@ def test_diff_and_backup(spark, tmp_path):
     assert replicas.diff(state.current_state(a), state.current_state(spark.read.parquet(str(tmp_path / "b")))).count() == 0
 
 
-def test_flush_batches_restart_at_the_limit(spark):
+def test_flush_batches_restart_at_the_limit(spark, small_batches):
     r = random.Random(3)
-    rows = [(i, 0, "k", "x" * r.randint(0, 30)) for i in range(200)]
+    rows = [(i, i % 3 % 2, "k", "x" * r.choice([0, 5, 30, 63, 64, 200])) for i in range(300)]
     df = spark.createDataFrame(rows, "seq long, part long, key string, value string")
     got = {x.seq: x.batch for x in segments.flush_batches(df, 64).collect()}
-    batch = used = 0
-    for i, _, k, v in rows:
-        assert got[i] == batch
-        used += len(k) + len(v)
-        if used >= 64:
-            batch, used = batch + 1, 0
+    for part in (0, 1):
+        batch = used = 0
+        for i, p, k, v in rows:
+            if p == part:
+                assert got[i] == batch
+                used += len(k) + len(v)
+                if used >= 64:
+                    batch, used = batch + 1, 0
 
 
 def test_prefix_lengths(spark):
@@ -182,7 +184,7 @@ def test_saved_states_and_footers(spark, tmp_path):
     assert [(x.at_us, x.node) for x in got] == [(1000, 2), (101_000, 0), (301_000, 1)]
 
 
-def test_clients_look_for_the_leader_again(spark):
+def test_clients_look_for_the_leader_again(spark, small_batches):
     r = random.Random(19)
     rows = [(i, i % 3, r.randrange(0, 60_000_000)) for i in range(300)] + [(900, 7, 5), (901, 7, 5_000_005), (902, 7, 5)]
     want = []

@@ -96,22 +96,3 @@ def may_contain(raw: bytes, key: Column) -> Column:
         return pd.Series(((own[at >> 3] >> (at & 7)) & 1).all(axis=1))
 
     return probe(key)
-
-
-def lru_hits(trace: DataFrame, capacity: int) -> DataFrame:
-    """part, hits, misses of a cache of `capacity` entries over each part's ordered accesses."""
-    from collections import OrderedDict
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        cache, hits = OrderedDict(), 0
-        for key in pdf.sort_values("seq")["key"]:
-            if key in cache:
-                cache.move_to_end(key)
-                hits += 1
-            else:
-                cache[key] = True
-                if len(cache) > capacity:
-                    cache.popitem(last=False)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "hits": [hits], "misses": [len(pdf) - hits]})
-
-    return trace.select("part", "seq", "key").groupBy("part").applyInPandas(fold, "part long, hits long, misses long")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators import state
+from tidelog.operators.ordered import folded
 
 #: The INFO reply: sections and fields of the protocol, with this engine's own version.
 INFO = "# Server\r\ntidelog_version:1.0.0\r\n\r\n# Keyspace\r\n"
@@ -91,16 +92,23 @@ def leader_probes(requests: DataFrame, ttl_us: int = 5_000_000) -> DataFrame:
     knows is as old as `ttl_us` or older.  Each look starts the time anew, so a client's requests are gone
     through in order, by one task."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_us", "seq"], kind="stable")
-        times, at, out = pdf["start_us"].to_numpy(), 0, []
-        while at < len(times):
-            out.append(at)
-            at = int(np.searchsorted(times, times[at] + ttl_us, "left"))
-        return pdf.iloc[out][["client_id", "seq"]]
+    def begin():
+        known = None
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal known
+            times, out = pdf["start_us"].to_numpy(), []
+            at = 0 if known is None else int(np.searchsorted(times, known + ttl_us))
+            while at < len(times):
+                out.append(at)
+                known = int(times[at])
+                at = int(np.searchsorted(times, known + ttl_us))
+            return pdf.iloc[out][["client_id", "seq"]]
+
+        return step
 
     kind = requests.schema["client_id"].dataType.simpleString()
-    return requests.select("client_id", "seq", "start_us").groupBy("client_id").applyInPandas(fold, f"client_id {kind}, seq long")
+    return folded(requests.select("client_id", "seq", "start_us"), "client_id", ["start_us", "seq"], begin, f"client_id {kind}, seq long")
 
 
 def dispatch(argv: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ not a range join, so it costs one shuffle and one sort however many writes a key
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordered import with_previous
+from tidelog.operators.ordered import folded, with_previous
 
 
 def successful(history: DataFrame) -> DataFrame:
@@ -112,23 +113,26 @@ def throughput(history: DataFrame) -> DataFrame:
 def apply_register_ops(history: DataFrame) -> DataFrame:
     """seq, applied, value: a register's value after each put, inc and cas, in order of (end_us,
     seq).  Read-modify-write is a fold, so each key is folded in one ordered pass."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["end_us", "seq"])
-        now, out = None, []
-        for op, value in zip(pdf["op"], pdf["value"]):
-            done = True
-            if op == "put":
-                now = value
-            elif op == "inc":
-                now = str((int(now) if now and now.isdigit() else 0) + 1)
-            else:
-                expected, arrow, new = (value or "").partition("->")
-                done = bool(arrow) and (now or "") == expected
-                now = new if done else now
-            out.append((done, now))
-        return pd.DataFrame({"seq": pdf["seq"], "key": pdf["key"], "applied": [a for a, _ in out], "value": [b for _, b in out]})
+    def begin():
+        now = None
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal now
+            out = []
+            for op, value in zip(pdf["op"], pdf["value"]):
+                done = True
+                if op == "put":
+                    now = value
+                elif op == "inc":
+                    now = str((int(now) if now and now.isdigit() else 0) + 1)
+                else:
+                    expected, arrow, new = (value or "").partition("->")
+                    done = bool(arrow) and (now or "") == expected
+                    now = new if done else now
+                out.append((done, now))
+            return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "key": pdf["key"].to_numpy(), "applied": [a for a, _ in out], "value": [b for _, b in out]})
+
+        return step
 
     rows = successful(history).where("op in ('put', 'inc', 'cas')").select("seq", "key", "op", "value", "end_us")
-    return rows.groupBy("key").applyInPandas(fold, "seq long, key string, applied boolean, value string")
+    return folded(rows, "key", ["end_us", "seq"], begin, "seq long, key string, applied boolean, value string")

@@ -1,11 +1,16 @@
-"""Rows and the ones before them, in order, without a task that holds a whole key.
+"""Rows in order: the ones before them, running counts, and folds, without a task that holds a whole key.
 
 The order is cut into stretches.  Ordered windows run within a key's stretch; what a later stretch needs of
-the earlier ones is one row a stretch, and only these are windowed over a whole key.
+the earlier ones is one row a stretch, and only these are windowed over a whole key.  A fold that cannot be
+cut has a task a key, which reads the key's sorted rows as a stream and holds one batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,3 +35,21 @@ def running_count(rows: DataFrame, by: str, order: list[str], stretch: Column, f
     counted = cut.groupBy(by, "__stretch").agg(F.count_if(flag).alias("__n"))
     before = counted.select(by, "__stretch", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__earlier"))
     return near.join(before, [by, "__stretch"]).withColumn(name, F.col("__near") + F.col("__earlier")).drop("__stretch", "__near", "__earlier")
+
+
+def folded(rows: DataFrame, by: str, order: list[str], begin: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """For each value of `by`, begin() gives a function that is called with one batch after another of its rows in
+    order, and whose frames are the result."""
+
+    def run(frames):
+        last, step = None, None
+        for pdf in frames:
+            keys = pdf[by].to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(pdf)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a < b:
+                    if step is None or keys[a] != last:
+                        last, step = keys[a], begin()
+                    yield step(pdf.iloc[a:b])
+
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)

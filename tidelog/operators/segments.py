@@ -6,6 +6,7 @@ keeps, never the order of files.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators import state
+from tidelog.operators.ordered import folded
 from tidelog.schemas import L0_FILE_LIMIT, L1_BYTES, MAX_LEVELS, MEMTABLE_BYTES
 
 
@@ -141,16 +143,24 @@ def flush_batches(log: DataFrame, limit: int = MEMTABLE_BYTES, partition: str =
     """seq, batch: which flush takes each row.  The running bytes restart from zero at each flush,
     so rows are folded in order, per partition of the log (a store's own log)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        batch, used, out = 0, 0, []
-        for size in pdf["bytes"].tolist():
-            out.append(batch)
-            used += size
-            if used >= limit:
-                batch, used = batch + 1, 0
-        return pd.DataFrame({partition: pdf[partition], "seq": pdf["seq"], "batch": out})
+    def begin():
+        batch = used = 0
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal batch, used
+            upto = np.cumsum(pdf["bytes"].to_numpy())
+            out, at, before = np.empty(len(pdf), np.int64), 0, 0
+            while at < len(pdf):
+                end = int(np.searchsorted(upto, limit - used + before)) + 1  # with the row that reaches the limit
+                out[at:end] = batch
+                if end > len(pdf):
+                    used += int(upto[-1]) - before
+                    break
+                batch, used, at, before = batch + 1, 0, max(end, at + 1), int(upto[end - 1])
+            return pd.DataFrame({partition: pdf[partition], "seq": pdf["seq"], "batch": out})
+
+        return step
 
     sized = log.select(partition, "seq", row_bytes().cast("long").alias("bytes"))
     kind = sized.schema[partition].dataType.simpleString()
-    return sized.groupBy(partition).applyInPandas(fold, f"{partition} {kind}, seq long, batch long")
+    return folded(sized, partition, ["seq"], begin, f"{partition} {kind}, seq long, batch long")

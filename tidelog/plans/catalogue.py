@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions import bloom, codecs
+from tidelog.functions import bloom, cache, codecs
 from tidelog.operators import commands, history, metrics, replicas, replication, segments, shard, state
 from tidelog.plans import fixtures as fx
 from tidelog.plans.fixtures import sql
@@ -1029,7 +1029,7 @@ def bloom_roundtrip(spark, d):
 
 @query()
 def lru_hits(spark, d):
-    return bloom.lru_hits(fx.ops(spark, d).withColumn("part", F.col("seq") % 4), 30)
+    return cache.lru_hits(fx.ops(spark, d).withColumn("part", F.col("seq") % 4), 30)
 
 
 ORACLES["lru_hits"] = f"""with recursive ops as ({fx.SQL['ops']}), a as (select seq%4 as part, key, row_number() over (partition by seq%4 order by seq) as i from ops),
