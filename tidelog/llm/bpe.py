@@ -149,7 +149,7 @@ def symbols_of(points: np.ndarray, ends: np.ndarray, ranges) -> np.ndarray:
 class Merger(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers.  A cache of bounded size."""
 
-    LIMIT, LONG, AT_ONCE = 500_000, 64, 50_000
+    LIMIT, LONG, AT_ONCE = 400_000, 64, 20_000
 
     def __init__(self, vocabulary: list[bytes]):
         super().__init__()
@@ -305,7 +305,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     def run(batches):
         merger = held(("pieces", hash(tuple(vocabulary))), lambda: Merger(vocabulary))
         sizes = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-        for batch in in_parts(batches, "__tidelog_text"):
+        for batch in in_parts(batches, "__tidelog_text", 1_000_000):
             if not batch.num_rows:
                 continue
             ids = encode_texts([x.as_py().decode("utf-8", "replace") for x in batch.column("__tidelog_text")], merger, ranges)
