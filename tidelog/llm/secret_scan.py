@@ -28,6 +28,7 @@ import random
 import re
 import string
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -235,6 +236,12 @@ def train(findings=None, **options) -> Forest:
     return Forest(**options).fit(x, np.array([f[3] for f in found], float))
 
 
+@lru_cache(1)
+def default_forest() -> Forest:
+    """The forest of the generated findings, trained once."""
+    return train()
+
+
 def assigned(text: str) -> list[tuple[int, int]]:
     """Values after secret names; unbroken ones without quotes and stops at their edges."""
     out, at = [], 0
@@ -264,7 +271,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
 def scan(docs: DataFrame, text: str = "text", forest: Forest | None = None, threshold: float = THRESHOLD, path: str | None = None) -> DataFrame:
     """doc_id, begin, end, score, secret_sha256: a row for each finding.  `path` names the column of the
     files' paths, if there is one."""
-    forest = forest or train()
+    forest = forest or default_forest()
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "begin", "end", "score", "secret_sha256"]
     types = [pa.int64(), pa.int64(), pa.float64(), pa.string()]
