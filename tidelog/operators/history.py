@@ -37,16 +37,17 @@ def asof(probes: DataFrame, writes: DataFrame, stretch_us: int = 3_600_000_000)
     return seen.select("__p.*", F.col("__last.value").alias("last_value"), F.col("__last.end_us").alias("last_end_us"), F.col("__last.seq").alias("last_seq"))
 
 
-def overlapping(probes: DataFrame, writes: DataFrame, bucket_us: int = 60_000_000, fan: int = 64) -> DataFrame:
+def overlapping(probes: DataFrame, writes: DataFrame, bucket_us: int = 60_000_000, fan: int = 64, within: DataFrame | None = None) -> DataFrame:
     """seq, write_seq: writes of the probe's key that overlap it.  Both sides are cut into time
     buckets, so the join is on key and bucket; a pair is kept in the bucket where it begins.
 
     Buckets have levels, each `fan` times as wide as the one below.  An operation is cut at the level where it
     spans at most `fan` buckets and at the wider ones, and a pair meets at the level of its longer
     operation; so one that stays open for long has few rows.  The longest operation sets the highest
-    level, mostly the first."""
+    level, mostly the first; it is looked for in `within`, which holds both sides, if that is given."""
     lasted = F.coalesce(F.max(F.col("end_us") - F.col("start_us")), F.lit(0)).alias("d")
-    longest = probes.agg(lasted).union(writes.agg(lasted)).agg(F.max("d")).first()[0]
+    sides = [within] if within is not None else [probes, writes]
+    longest = max(side.agg(lasted).first()[0] for side in sides)
     top = 0
     while longest > bucket_us * fan ** (top + 1):
         top += 1
@@ -70,7 +71,7 @@ def register_violations(history: DataFrame) -> DataFrame:
     reads = ok.where("op = 'get'").select("seq", "key", "start_us", "end_us", "result")
     writes = ok.where("op = 'put'").select("seq", "key", "start_us", "end_us", "value")
     suspect = asof(reads, writes).where("last_value is null or last_value <> result")
-    beside = overlapping(suspect, writes).where("w_value = result").select("seq").distinct()
+    beside = overlapping(suspect, writes, within=ok).where("w_value = result").select("seq").distinct()
     return suspect.join(beside, "seq", "left_anti").select("seq", "key", "result", "last_value")
 
 

@@ -259,10 +259,13 @@ COMMIT = "(select coalesce(max(idx),0) from rlog where term=(select max(term) fr
 TERM = "(select max(term) from rlog)"
 
 
-def _commit(spark, d) -> tuple[int, int]:
-    """Commit index and current term: one row of a quorum and one of the log."""
-    log = fx.raft_log(spark, d)
-    return replication.commit_index(log, fx.peers(spark, d)).first()[0], log.agg(F.max("term")).first()[0] or 0
+def _commit(spark, d) -> int:
+    """The index that a quorum holds."""
+    return replication.commit_index(fx.raft_log(spark, d), fx.peers(spark, d)).first()[0]
+
+
+def _term(spark, d) -> int:
+    return fx.raft_log(spark, d).agg(F.max("term")).first()[0] or 0
 
 
 STATS = "select (select cast(sum(strlen(key)+coalesce(strlen(value),0)) as bigint) from seg where file_id=(select max(file_id) from seg)) as memtable_size, (select count(*) from manifest) as sstable_count, (select count(*) filter (where op='PUT') - count(*) filter (where op='DEL') from ops) as total_keys, 1 as wal_enabled"
@@ -287,7 +290,7 @@ def health_stats(spark, d):
 @query("select '{\"status\":\"ok\",\"role\":\"leader\",\"raft_term\":'||" + TERM + "||',\"raft_commit_index\":'||" + COMMIT + "||',\"raft_applied_index\":'||" + COMMIT + "||',\"last_snapshot_index\":'||(select max(idx)*6//10 from rlog)||',\"memtable_size\":'||memtable_size||',\"sstable_count\":'||sstable_count||',\"total_keys\":'||total_keys||',\"wal_enabled\":'||wal_enabled||'}' as body from (" + STATS + ")", "manifest", "peers")
 def health_json(spark, d):
     """The leader's health: all that it has committed is applied; a snapshot holds six tenths of the log."""
-    commit, term = _commit(spark, d)
+    commit, term = _commit(spark, d), _term(spark, d)
     snapshot_at = (fx.share_of_log(spark, d, 10) + 1) * 6 // 10
     named = _stats(spark, d).withColumns({"role": F.lit("leader"), "raft_term": F.lit(term), "raft_commit_index": F.lit(commit), "raft_applied_index": F.lit(commit), "last_snapshot_index": F.lit(snapshot_at)})
     return text.health_json(named)
@@ -421,7 +424,7 @@ def raft_log_load(spark, d):
 def snapshot_meta(spark, d):
     """The side file of a snapshot, through JSON."""
     files = segments.manifest(fx.segments(spark, d)).agg(F.count("*").alias("file_count"), F.sum("file_size").alias("total_size"))
-    at = fx.raft_log(spark, d).where(F.col("idx") == _commit(spark, d)[0]).select(F.col("idx").alias("last_included_index"), F.col("term").alias("last_included_term"))
+    at = fx.raft_log(spark, d).where(F.col("idx") == _commit(spark, d)).select(F.col("idx").alias("last_included_index"), F.col("term").alias("last_included_term"))
     path = scratch(spark)
     at.join(F.broadcast(files)).coalesce(1).write.json(path)
     return text.read_snapshot_meta(spark, path)
@@ -450,7 +453,7 @@ def _node_metrics(spark, d) -> DataFrame:
         F.count_if(op == "PUT").alias("kv_puts_total"), F.count_if(op == "DEL").alias("kv_deletes_total"), F.count_if(F.col("seq") % 5 == 0).alias("kv_gets_total"),
         F.count_if(F.col("seq") % 7 == 0).alias("kv_get_misses_total"), F.count_if(F.col("seq") % 11 == 0).alias("kv_scans_total"), F.count("*").alias("raft_log_count"), F.max("seq").alias("raft_last_applied"),
     )
-    commit, term = _commit(spark, d)
+    commit, term = _commit(spark, d), _term(spark, d)
     fixed = {"kv_uptime_seconds": 3600, "kv_compactions_total": 2, "raft_term": term, "raft_commit_index": commit, "raft_snapshot_index": 0}  # uptime and compactions are those of no run
     leader = F.col("node") == 0
     return agg.withColumns({k: F.lit(v).cast("long") for k, v in fixed.items()} | {"raft_state": F.when(leader, 2).otherwise(0), "raft_is_leader": F.when(leader, 1).otherwise(0)})
@@ -534,7 +537,7 @@ def asof_last_write(spark, d):
 def overlap_writes(spark, d):
     ok = history.successful(fx.history(spark, d))
     reads = ok.where("op = 'get'").select("seq", "key", "start_us", "end_us")
-    return history.overlapping(reads, ok.where("op = 'put'").select("seq", "key", "start_us", "end_us", "value")).select("seq", "write_seq")
+    return history.overlapping(reads, ok.where("op = 'put'").select("seq", "key", "start_us", "end_us", "value"), within=ok).select("seq", "write_seq")
 
 
 @query(
@@ -737,7 +740,7 @@ def codec_roundtrip(spark, d):
 def snapshot_pack(spark, d):
     """Each level's files packed to a snapshot file and unpacked."""
     files = _blocks(spark, d).select(F.col("level").alias("node"), F.format_string("seg_%06d", "file_id").alias("name"), "content")
-    back = snapshot.unpack(snapshot.pack(files, *_commit(spark, d)))
+    back = snapshot.unpack(snapshot.pack(files, _commit(spark, d), _term(spark, d)))
     return back.select("node", "name", F.octet_length("content").cast("long").alias("size"), F.md5("content").alias("digest"), "last_included_index", "last_included_term")
 
 
@@ -765,7 +768,7 @@ def commit_index(spark, d):
 
 @query(f"select key,value,seq from (select idx as seq, op, key, value, row_number() over (partition by key order by idx desc) as rn from rlog where idx>(select max(seq)*2//10 from ops) and idx<={COMMIT}) where rn=1 and {LIVE}", "peers")
 def apply_committed(spark, d):
-    return replication.apply_committed(fx.raft_log(spark, d), fx.share_of_log(spark, d, 2), _commit(spark, d)[0])
+    return replication.apply_committed(fx.raft_log(spark, d), fx.share_of_log(spark, d, 2), _commit(spark, d))
 
 
 RECEIVED = "with rec as (select event_id as arrival, user_id%3 as node, 1+event_id//1700 as term, 1+event_id%400 as idx from events)"
@@ -798,7 +801,7 @@ def snapshot_plus_log(spark, d):
 @query("select " + TERM + " as term, n_nationkey+1+(select max(idx) from rlog) as idx, 'PUT' as op, n_name as key, 'v' as value from nation union all select * from rlog", "rlog")
 def raft_propose(spark, d):
     entries = fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("order"), F.lit("PUT").alias("op"), F.col("n_name").alias("key"), F.lit("v").alias("value"))
-    return replication.propose(fx.raft_log(spark, d), entries, _commit(spark, d)[1])
+    return replication.propose(fx.raft_log(spark, d), entries, _term(spark, d))
 
 
 @query("select * from rlog where idx>=(select max(seq)*7//10 from ops) order by idx limit 128", "rlog")
@@ -819,7 +822,7 @@ def log_match(spark, d):
 @query("select a.idx, a.term, (a.term, a.idx) >= ((select term from rlog where idx=" + COMMIT + "), " + COMMIT + ") as ok from rlog a", "peers")
 def log_up_to_date(spark, d):
     """Candidates whose logs end at each entry, judged by a node whose log ends at the commit index."""
-    log, at = fx.raft_log(spark, d), _commit(spark, d)[0]
+    log, at = fx.raft_log(spark, d), _commit(spark, d)
     own = log.where(F.col("idx") == at).select(F.col("term").alias("own_term"), F.col("idx").alias("own_idx"))
     return log.join(F.broadcast(own)).select("idx", "term", replication.up_to_date(F.col("term"), F.col("idx"), F.col("own_term"), F.col("own_idx")).alias("ok"))
 
@@ -832,12 +835,12 @@ def snapshot_chunks(spark, d):
 
 @query("select node, case when node=0 then 'LEADER' else 'FOLLOWER' end as role, (select max(term) from rlog) as term, least(match_index,c) as commit_index, least(match_index,c) as last_applied, match_index as log_count from peers, (select " + COMMIT + " as c)", "peers")
 def cluster_status(spark, d):
-    return replication.status(fx.raft_log(spark, d), fx.peers(spark, d), _commit(spark, d)[0])
+    return replication.status(fx.raft_log(spark, d), fx.peers(spark, d), _commit(spark, d))
 
 
 @query("select node, match_index, cast(greatest(" + COMMIT + "-match_index,0) as bigint) as lag from peers", "peers")
 def replication_lag(spark, d):
-    return replication.lag(fx.raft_log(spark, d), fx.peers(spark, d), _commit(spark, d)[0])
+    return replication.lag(fx.raft_log(spark, d), fx.peers(spark, d), _commit(spark, d))
 
 
 ROLES = "(select event_id as seq, user_id%3 as node, case event_type when 'purchase' then 2 when 'signup' then 1 when 'error' then 7 else 0 end as r from events)"
