@@ -214,3 +214,21 @@ def test_toxic_rows_go_whatever_their_ids(spark, table, rows):
     y = spark.createDataFrame([(i, 0, int(i == 15)) for i in (7, 3, 4, 10, 11, 12, 13, 14, 15)], "doc_id long, quality int, toxic int")
     scored = toxicity.score(table, y).collect()
     assert len(scored) == len(rows) and toxicity.without_toxic(table, y).count() == sum(1 - r.predicted for r in scored)
+
+
+def test_only_one_machine_may_lack_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidelog.llm.common import shared_dir
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", ""):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(SimpleNamespace(conf=Conf({"spark.master": master})))
+        named = SimpleNamespace(conf=Conf({"spark.master": master, "spark.checkpoint.dir": "hdfs://x/y/"}))
+        assert shared_dir(named).startswith("hdfs://x/y/tidelog-")
+    for master in ("local", "local[4]", "local[*]"):
+        alone = SimpleNamespace(conf=Conf({"spark.master": master}))
+        assert shared_dir(alone).startswith("file:///") and "spark.checkpoint.dir" in alone.conf
