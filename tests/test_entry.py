@@ -48,3 +48,18 @@ def test_only_the_queries_of_what_cannot_be_imported_go(monkeypatch):
     with pytest.warns(UserWarning) if gone else contextlib.nullcontext():
         left = __spark_entry__.queries()
     assert len(left) > 125 and not gone & set(left)
+
+
+def test_only_one_machine_may_lack_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidelog.plans.catalogue import scratch
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch(SimpleNamespace(conf=Conf({"spark.master": master})))
+    assert scratch(SimpleNamespace(conf=Conf({"spark.master": "local[2]"}))).startswith("file:///")
+    assert scratch(SimpleNamespace(conf=Conf({"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x"}))).startswith("hdfs://x/tidelog-")
